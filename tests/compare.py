@@ -1,0 +1,38 @@
+"""Run a query on Spark and its SQL in DuckDB and compare every value."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import duckdb
+
+TABLES = "region nation customer supplier part orders lineitem".split()
+
+
+def duck(folder: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for table in TABLES:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    return con
+
+
+def duck_rows(con, sql: str):
+    cursor = con.execute(sql)
+    names = [d[0] for d in cursor.description]
+    return names, cursor.fetchall()
+
+
+def ordered(names, rows):
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return [names[i] for i in order], Counter(tuple(row[i] for i in order) for row in rows)
+
+
+def assert_same(df, con, sql: str) -> int:
+    spark_names, spark_rows = ordered(df.columns, [tuple(r) for r in df.collect()])
+    sql_names, sql_rows = ordered(*duck_rows(con, sql))
+    assert spark_names == sql_names
+    missing, surplus = sql_rows - spark_rows, spark_rows - sql_rows
+    assert not missing and not surplus, (
+        f"only in SQL: {list(missing)[:3]}; only in Spark: {list(surplus)[:3]}"
+    )
+    return sum(spark_rows.values())
