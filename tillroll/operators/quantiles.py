@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rank error of at most 1/ACCURACY of the rows; exact below ACCURACY rows.
-ACCURACY = 10_000
+# Rank error of at most 1/ACCURACY of the rows; exact up to ACCURACY / 2 rows.
+ACCURACY = 100_000
 
 
 def cut_offs(df: DataFrame, columns: Sequence[str], parts: int) -> DataFrame:

@@ -27,6 +27,7 @@ from tillroll.operators.filters import (
     products_in_scope,
 )
 from tillroll.plans.preparation import sales_master, with_profit
+from tillroll.plans.rollups import profit_of_product, sales_per_product
 
 EVERYTHING = SalesFilter()
 
@@ -151,10 +152,10 @@ def items_by_category(t: RetailTables, chosen: SalesFilter = EVERYTHING) -> Data
     )
 
 
-def customer_acquisition(t: RetailTables) -> DataFrame:
+def customer_acquisition(customers: DataFrame) -> DataFrame:
     """New customers per month, over all customers."""
     return (
-        t.customers.dropna(subset=["registration_date"])
+        customers.dropna(subset=["registration_date"])
         .groupBy(year_month(F.col("registration_date")).alias("registration_date"))
         .agg(F.count(F.lit(1)).alias("new_customers"))
     )
@@ -187,7 +188,7 @@ def profit_margin(t: RetailTables, chosen: SalesFilter = EVERYTHING) -> DataFram
     """Percent of revenue kept as profit; 0 unless there is revenue."""
     totals = _sales_per_product(t, chosen, "cost_price").agg(
         F.coalesce(F.sum("revenue"), F.lit(0)).alias("revenue"),
-        F.coalesce(F.sum(_product_profit()), F.lit(0)).alias("profit"),
+        F.coalesce(F.sum(profit_of_product()), F.lit(0)).alias("profit"),
     )
     margin = percent_or_zero(F.col("profit"), F.col("revenue"))
     return totals.select(
@@ -202,7 +203,7 @@ def profit_by_category(t: RetailTables, chosen: SalesFilter = EVERYTHING) -> Dat
         _sales_per_product(t, chosen, "category", "cost_price")
         .dropna(subset=["category"])
         .groupBy("category")
-        .agg(_sum_or_zero(_product_profit()).alias("profit"))
+        .agg(_sum_or_zero(profit_of_product()).alias("profit"))
         .orderBy(F.desc("profit"), "category")
     )
 
@@ -229,7 +230,7 @@ def lowest_stock(t: RetailTables, threshold: int = 50, n: int = 20) -> DataFrame
 def low_stock_report(t: RetailTables, threshold: int = 50) -> DataFrame:
     return (
         _low_stock(t, threshold)
-        .orderBy("stock_quantity")
+        .orderBy("stock_quantity", "product_id")
         .select("product_name", "category", "brand", "stock_quantity")
     )
 
@@ -245,36 +246,25 @@ def _sales_per_order(
     profit: bool = False,
 ) -> DataFrame:
     """order_id, revenue, the order columns and, if asked for, profit."""
-    lines = lines_in_scope(t.order_items, t.products, chosen)
-    sums = {"revenue": F.sum(line_amount())}
+    sums = [F.sum(line_amount()).alias("revenue")]
     if profit:
-        lines = with_profit(lines, t.products)
-        sums["profit"] = F.sum("profit")
-    per_order = lines.groupBy("order_id").agg(*[s.alias(name) for name, s in sums.items()])
+        products = products_in_scope(t.products, chosen)
+        lines = with_profit(t.order_items, products, "inner" if chosen.categories else "left")
+        sums.append(F.sum("profit").alias("profit"))
+    else:
+        lines = lines_in_scope(t.order_items, t.products, chosen)
+    per_order = lines.groupBy("order_id").agg(*sums)
     orders = orders_in_scope(t.orders, t.customers, chosen).select("order_id", *order_columns)
     return per_order.join(orders, "order_id", "inner" if chosen.narrows_orders else "left")
 
 
 def _sales_per_product(t: RetailTables, chosen: SalesFilter, *product_columns: str) -> DataFrame:
     """product_id, revenue, units and priced_units, with the product columns."""
-    lines = t.order_items.select("order_id", "product_id", "quantity", "unit_price")
-    if chosen.narrows_orders:
-        orders = orders_in_scope(t.orders, t.customers, chosen).select("order_id")
-        lines = lines.join(orders, "order_id", "left_semi")
-    per_product = lines.groupBy("product_id").agg(
-        F.sum(line_amount()).alias("revenue"),
-        F.sum("quantity").alias("units"),
-        F.sum(F.when(F.col("unit_price").isNotNull(), F.col("quantity"))).alias("priced_units"),
-    )
+    orders = orders_in_scope(t.orders, t.customers, chosen) if chosen.narrows_orders else None
     products = products_in_scope(t.products, chosen).select("product_id", *product_columns)
-    return per_product.join(products, "product_id", "inner" if chosen.categories else "left")
-
-
-def _product_profit() -> Column:
-    """Profit of all lines of one product: the cost price is the same for each."""
-    whole_cost = F.col("cost_price") * F.col("priced_units")
-    known_cost = F.col("cost_price").isNotNull() & F.col("priced_units").isNotNull()
-    return F.when(known_cost, F.col("revenue") - whole_cost)
+    return sales_per_product(t.order_items, orders).join(
+        products, "product_id", "inner" if chosen.categories else "left"
+    )
 
 
 def _revenue_by_product_column(t: RetailTables, chosen: SalesFilter, column: str) -> DataFrame:

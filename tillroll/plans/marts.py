@@ -14,6 +14,7 @@ from tillroll.model import StoreModel
 from tillroll.operators import quantiles
 from tillroll.plans import measures
 from tillroll.plans.measures import DELIVERED, ESTIMATED, PURCHASED
+from tillroll.session import stored
 from tillroll.sources.files import replace_table
 
 RFM_PARTS = 5
@@ -24,7 +25,8 @@ def sales_summary(model: StoreModel) -> DataFrame:
 
     Payments and reviews are brought to one row per order first, so a second
     payment or review never repeats a line. Everything at order grain is
-    joined before the lines, which then shuffle once by order_id.
+    joined before the lines, and the narrow product and seller columns come
+    first, so the finished rows never shuffle again.
     """
     orders = (
         model.orders.join(model.customers, "customer_id", "left")
@@ -32,9 +34,9 @@ def sales_summary(model: StoreModel) -> DataFrame:
         .join(measures.review_per_order(model.order_reviews), "order_id", "left")
     )
     return (
-        model.order_items.join(orders, "order_id", "left")
-        .join(model.products, "product_id", "left")
+        model.order_items.join(model.products, "product_id", "left")
         .join(model.sellers, "seller_id", "left")
+        .join(orders, "order_id", "left")
         .select(
             "order_id",
             "customer_unique_id",
@@ -122,15 +124,10 @@ def customer_segments(facts: DataFrame) -> DataFrame:
     """Recency, frequency and monetary scores from 1 to 5, and a segment.
 
     Recency counts from the day of the last sale in the data. Scores compare
-    with the quintile cut-offs over all customers.
+    with the quintile cut-offs over all customers. The customer rows are read
+    three times (last day, cut-offs, scores), so they are stored in between.
     """
-    per_customer = facts.where(F.col("customer_unique_id").isNotNull()).groupBy(
-        "customer_unique_id"
-    ).agg(
-        F.to_date(F.max(PURCHASED)).alias("last_day"),
-        F.count("order_id").alias("frequency"),
-        reported(F.sum("price")).alias("monetary"),
-    )
+    per_customer = stored(_customer_activity(facts), "customer-activity")
     newest = per_customer.agg(F.max("last_day")).scalar()
     customers = per_customer.select(
         "customer_unique_id",
@@ -151,6 +148,15 @@ def customer_segments(facts: DataFrame) -> DataFrame:
     return scored.withColumn("rfm_segment", segment_name())
 
 
+def _customer_activity(facts: DataFrame) -> DataFrame:
+    known = facts.where(F.col("customer_unique_id").isNotNull())
+    return known.groupBy("customer_unique_id").agg(
+        F.to_date(F.max(PURCHASED)).alias("last_day"),
+        F.count("order_id").alias("frequency"),
+        reported(F.sum("price")).alias("monetary"),
+    )
+
+
 def segment_name() -> Column:
     """Our own naming; the scores carry the information."""
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")

@@ -171,8 +171,7 @@ def delivery_histogram(facts: DataFrame, width: int = 5) -> DataFrame:
         F.sum("lines").alias("line_count"),
         F.sum(F.col("delivery_days") * F.col("lines")).alias("_days"),
     )
-    mean = binned.agg(ratio(F.sum("_days"), F.sum("line_count"))).scalar()
-    return binned.select("bin_start", "line_count", mean.alias("mean_delivery_days"))
+    return shares.ratio_of_totals(binned, "_days", "line_count", "mean_delivery_days").drop("_days")
 
 
 def revenue_in_period(facts: DataFrame, year: int | None = None, quarter: int | None = None) -> DataFrame:

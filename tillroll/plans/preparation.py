@@ -45,16 +45,15 @@ def clean_orders(orders: DataFrame) -> DataFrame:
     return with_calendar(fill_payment_method(orders))
 
 
-def with_profit(order_items: DataFrame, products: DataFrame) -> DataFrame:
+def with_profit(order_items: DataFrame, products: DataFrame, how: str = "left") -> DataFrame:
     """Look up each line's cost price and derive its profit.
 
-    Lines of an unknown product stay, with NULL profit. Lines that already
-    carry a stored profit are returned as they are.
+    Lines of an unknown product stay, with NULL profit, unless ``how`` is
+    "inner".
     """
-    if "profit" in order_items.columns:
-        return order_items
     costs = products.select("product_id", "cost_price")
-    return order_items.join(costs, "product_id", "left").withColumn("profit", line_profit())
+    lines = order_items.drop("cost_price", "profit")
+    return lines.join(costs, "product_id", how).withColumn("profit", line_profit())
 
 
 def order_totals(orders: DataFrame, order_items: DataFrame) -> DataFrame:
@@ -72,15 +71,16 @@ def order_totals(orders: DataFrame, order_items: DataFrame) -> DataFrame:
 def sales_master(tables: RetailTables) -> DataFrame:
     """Every order line with its order, product and customer.
 
-    Customers are attached to the orders first. The lines, by far the largest
-    table, then shuffle once by order_id instead of once per dimension.
+    Customers are attached to the orders, not to the lines. The narrow product
+    columns come before the wide order columns, so the finished rows never
+    shuffle again.
     """
     order_side = tables.orders.join(tables.customers, "customer_id", "left")
     lines = tables.order_items.drop("cost_price", "profit")
     return (
-        lines.join(order_side, "order_id", "left")
-        .join(tables.products, "product_id", "left")
+        lines.join(tables.products, "product_id", "left")
         .withColumn("profit", line_profit())
+        .join(order_side, "order_id", "left")
     )
 
 

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.dates import on_days
 from tillroll.functions.money import reported
-from tillroll.model import RetailTables, StoreModel
 from tillroll.operators import integrity
 from tillroll.operators.filters import SalesFilter
 from tillroll.plans import dashboard, marts, measures, preparation, sales
 from tillroll.plans.measures import DELIVERED, ESTIMATED, PURCHASED
 from tillroll.session import apply_runtime_settings, run_folder
-from tillroll.sources import files, warehouse
+from tillroll.sources import files
+from tillroll.sources.warehouse import PreparedTables, WarehouseStore, WarehouseTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,16 +50,16 @@ def _measure(measure: Callable[..., DataFrame], *columns: str, by: tuple[str, ..
     return run
 
 
-def _retail(spark: SparkSession, folder: str) -> RetailTables:
-    return warehouse.retail_tables(apply_runtime_settings(spark), folder)
+def _retail(spark: SparkSession, folder: str) -> WarehouseTables:
+    return WarehouseTables(apply_runtime_settings(spark), folder)
 
 
-def _prepared(spark: SparkSession, folder: str) -> RetailTables:
-    return warehouse.prepared_tables(apply_runtime_settings(spark), folder)
+def _prepared(spark: SparkSession, folder: str) -> PreparedTables:
+    return PreparedTables(apply_runtime_settings(spark), folder)
 
 
-def _store(spark: SparkSession, folder: str) -> StoreModel:
-    return warehouse.store_model(apply_runtime_settings(spark), folder)
+def _store(spark: SparkSession, folder: str) -> WarehouseStore:
+    return WarehouseStore(apply_runtime_settings(spark), folder)
 
 
 def _doubles(df: DataFrame, *columns: str) -> DataFrame:
@@ -67,11 +67,11 @@ def _doubles(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _clean_customers(spark: SparkSession, folder: str) -> DataFrame:
-    return preparation.clean_customers(warehouse.uncleaned_customers(spark, folder))
+    return preparation.clean_customers(_retail(spark, folder).uncleaned_customers)
 
 
 def _clean_orders(spark: SparkSession, folder: str) -> DataFrame:
-    orders = preparation.clean_orders(warehouse.uncleaned_orders(spark, folder))
+    orders = preparation.clean_orders(_retail(spark, folder).uncleaned_orders)
     return _doubles(orders, "total_amount")
 
 
@@ -109,7 +109,7 @@ def _csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 def _table_replace(spark: SparkSession, folder: str) -> DataFrame:
     """Replace a stored table by the older orders, append the newer, read all."""
-    orders = preparation.clean_orders(warehouse.uncleaned_orders(spark, folder))
+    orders = preparation.clean_orders(_retail(spark, folder).uncleaned_orders)
     older = on_days(F.col("order_date"), date(1900, 1, 1), date(1997, 12, 31))
     path = run_folder(spark, "orders-table")
     files.replace_table(orders, path)
@@ -124,11 +124,7 @@ def _customer_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _customer_acquisition(spark: SparkSession, folder: str) -> DataFrame:
-    t = _prepared(spark, folder)
-    registered = warehouse.registered_customers(spark, folder)
-    return dashboard.customer_acquisition(
-        RetailTables(registered, t.products, t.orders, t.order_items)
-    )
+    return dashboard.customer_acquisition(_retail(spark, folder).registered_customers)
 
 
 def _part_kpis(spark: SparkSession, folder: str) -> DataFrame:

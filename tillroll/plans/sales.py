@@ -12,11 +12,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.money import line_amount, reported
+from tillroll.functions.money import reported
 from tillroll.functions.ratios import percent, ratio
 from tillroll.model import RetailTables
 from tillroll.operators import averages, membership, periods, toplists
-from tillroll.plans.preparation import with_profit
+from tillroll.plans.rollups import profit_of_product, sales_per_product
 from tillroll.sources.catalog import replace_view
 
 DELIVERED = "Delivered"
@@ -132,24 +132,22 @@ def payment_methods(t: RetailTables, status: str = DELIVERED) -> DataFrame:
 
 
 def profit_margin(t: RetailTables, status: str = DELIVERED) -> DataFrame:
-    per_order = (
-        with_profit(t.order_items, t.products)
-        .groupBy("order_id")
-        .agg(F.sum("profit").alias("profit"), F.sum(line_amount()).alias("revenue"))
-    )
-    delivered = per_order.join(_with_status(t, status).select("order_id"), "order_id")
-    margin = percent(F.sum("profit"), F.sum("revenue"))
+    costs = t.products.select("product_id", "cost_price")
+    delivered = _sales_per_product(t, status).join(costs, "product_id", "left")
+    total_profit = F.sum(profit_of_product())
     return delivered.agg(
-        reported(F.sum("profit")).alias("total_profit"),
-        F.round(margin, 2).alias("overall_profit_margin_percentage"),
+        reported(total_profit).alias("total_profit"),
+        F.round(percent(total_profit, F.sum("revenue")), 2).alias(
+            "overall_profit_margin_percentage"
+        ),
     )
 
 
 def low_stock(t: RetailTables, threshold: int = 50) -> DataFrame:
     return (
         t.products.where(F.col("stock_quantity") < threshold)
+        .orderBy("stock_quantity", "product_id")
         .select("product_name", "category", "stock_quantity")
-        .orderBy("stock_quantity")
     )
 
 
@@ -258,13 +256,7 @@ def _revenue_by_customer_column(t: RetailTables, column: str, status: str) -> Da
 
 
 def _sales_per_product(t: RetailTables, status: str) -> DataFrame:
-    delivered = _with_status(t, status).select("order_id")
-    lines = t.order_items.select("order_id", "product_id", line_amount().alias("amount"))
-    return (
-        lines.join(delivered, "order_id")
-        .groupBy("product_id")
-        .agg(F.sum("amount").alias("revenue"))
-    )
+    return sales_per_product(t.order_items, _with_status(t, status))
 
 
 def _revenue_by_product_column(

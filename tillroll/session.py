@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution does the size checks and the skew splitting that the
 # plans rely on: a join side is broadcast only once its measured shuffle size
@@ -61,3 +61,14 @@ def shared_folder(spark: SparkSession) -> str:
 def run_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder, so concurrent runs never collide."""
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate table below the shared folder and read it back.
+
+    Later steps start from files that outlive any executor, instead of
+    recomputing the joins above them.
+    """
+    path = run_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

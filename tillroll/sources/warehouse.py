@@ -1,169 +1,198 @@
 """Bind the star-schema parquet files to the retail and marketplace models.
 
 The binding is a pure projection or a join on a key, so filters and column
-selection in the analyses reach the parquet scans.
+selection in the analyses reach the parquet scans. A table is opened when an
+analysis first asks for it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.functions.money import money
-from tillroll.model import RetailTables, StoreModel
 from tillroll.plans import preparation
 
+# Declared, so that opening a table runs no job to look at its files.
+COLUMNS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT",
+    "supplier": "s_suppkey BIGINT, s_name STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+    "p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+    "l_quantity DOUBLE, l_extendedprice DOUBLE, l_shipdate TIMESTAMP_NTZ",
+}
+
+
+
+class WarehouseTables:
+    """Clean retail tables: payment gaps kept, calendar columns present."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark = spark
+        self._folder = folder.rstrip("/")
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        nation = self.scan("nation")
+        region = self.scan("region")
+        return (
+            self.scan("customer")
+            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+            .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+            .selectExpr(
+                "c_custkey AS customer_id",
+                "c_name AS customer_name",
+                "n_name AS city",
+                "r_name AS state",
+            )
+        )
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return self.scan("part").selectExpr(
+            "p_partkey AS product_id",
+            "p_name AS product_name",
+            "p_type AS category",
+            "p_brand AS brand",
+            "CAST(p_retailprice AS DECIMAL(18,2)) AS cost_price",
+            "p_size AS stock_quantity",
+        )
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return preparation.with_calendar(self.uncleaned_orders)
+
+    @cached_property
+    def order_items(self) -> DataFrame:
+        return self.scan("lineitem").selectExpr(
+            "l_orderkey * 10 + l_linenumber AS order_item_id",
+            "l_orderkey AS order_id",
+            "l_partkey AS product_id",
+            "CAST(l_quantity AS INT) AS quantity",
+            "CAST(l_extendedprice AS DECIMAL(18,2)) AS unit_price",
+        )
+
+    @cached_property
+    def uncleaned_orders(self) -> DataFrame:
+        return self.scan("orders").selectExpr(
+            "o_orderkey AS order_id",
+            "o_custkey AS customer_id",
+            "o_orderdate AS order_date",
+            "nullif(o_orderpriority, '4-NOT SPECIFIED') AS payment_method",
+            # Nested if: a status condition then folds into one on o_orderstatus.
+            "if(o_orderstatus = 'F', 'Delivered', if(o_orderstatus = 'P', 'Pending',"
+            " if(o_orderkey % 2 = 0, 'Shipped', 'Cancelled'))) AS order_status",
+            "CAST(o_totalprice AS DECIMAL(18,2)) AS total_amount",
+        )
+
+    @cached_property
+    def registered_customers(self) -> DataFrame:
+        """Customers with the day of their first order as registration date."""
+        first_order = self.uncleaned_orders.groupBy("customer_id").agg(
+            F.to_date(F.min("order_date")).alias("registration_date")
+        )
+        return self.customers.join(first_order, "customer_id", "left")
+
+    @cached_property
+    def uncleaned_customers(self) -> DataFrame:
+        """Customers with missing emails and repeated rows, as a raw extract has them."""
+        rows = self.registered_customers.withColumn(
+            "email", F.expr("CASE WHEN customer_id % 20 != 0 THEN concat(customer_name, '@x') END")
+        )
+        return rows.unionByName(rows.where("customer_id % 100 = 0"))
+
+    def named(self) -> dict[str, DataFrame]:
+        return {
+            "customers": self.customers,
+            "products": self.products,
+            "orders": self.orders,
+            "order_items": self.order_items,
+        }
+
+    def scan(self, table: str) -> DataFrame:
+        return self._spark.read.schema(COLUMNS[table]).parquet(f"{self._folder}/{table}.parquet")
+
+
+class PreparedTables(WarehouseTables):
+    """What the dashboard reads: payment gaps are filled."""
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return preparation.clean_orders(self.uncleaned_orders)
 
-def retail_tables(spark: SparkSession, folder: str) -> RetailTables:
-    """Clean tables: payment gaps kept, calendar columns present."""
-    return RetailTables(
-        customers=_customers(spark, folder),
-        products=_products(spark, folder),
-        orders=preparation.with_calendar(_orders(spark, folder)),
-        order_items=_order_items(spark, folder),
-    )
-
-
-def prepared_tables(spark: SparkSession, folder: str) -> RetailTables:
-    """What the dashboard reads: like the above, with payment gaps filled."""
-    tables = retail_tables(spark, folder)
-    return RetailTables(
-        customers=tables.customers,
-        products=tables.products,
-        orders=preparation.fill_payment_method(tables.orders),
-        order_items=tables.order_items,
-    )
-
-
-def uncleaned_customers(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers with missing emails and repeated rows, as a raw extract has them."""
-    email = F.when(
-        F.col("customer_id") % 20 != 0, F.concat(F.col("customer_name"), F.lit("@x"))
-    )
-    rows = registered_customers(spark, folder).withColumn("email", email)
-    return rows.unionByName(rows.where(F.col("customer_id") % 100 == 0))
-
-
-def uncleaned_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return _orders(spark, folder)
-
-
-def registered_customers(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers with the day of their first order as registration date."""
-    first_order = (
-        _orders(spark, folder)
-        .groupBy("customer_id")
-        .agg(F.to_date(F.min("order_date")).alias("registration_date"))
-    )
-    return _customers(spark, folder).join(first_order, "customer_id", "left")
-
-
-def store_model(spark: SparkSession, folder: str) -> StoreModel:
-    orders = _scan(spark, folder, "orders")
-    lines = _scan(spark, folder, "lineitem")
-    last_arrival = lines.groupBy(F.col("l_orderkey").alias("order_id")).agg(
-        F.max("l_shipdate").alias("last_arrival")
-    )
-    purchases = orders.select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderdate").alias("order_purchase_timestamp"),
-        (F.col("o_orderdate") + F.expr("INTERVAL 60 DAYS")).alias("order_estimated_delivery_date"),
-    )
-    arrived = F.when(
-        F.col("last_arrival") >= F.col("order_purchase_timestamp"), F.col("last_arrival")
-    )
-    return StoreModel(
-        orders=purchases.join(last_arrival, "order_id", "left")
-        .withColumn("order_delivered_customer_date", arrived)
-        .drop("last_arrival"),
-        order_items=lines.select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_partkey").alias("product_id"),
-            F.col("l_suppkey").alias("seller_id"),
-            money("l_extendedprice").alias("price"),
-        ),
-        order_payments=orders.select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_orderpriority").alias("payment_type"),
-            (F.col("o_orderkey") % 24 + 1).cast("int").alias("payment_installments"),
-            money("o_totalprice").alias("payment_value"),
-        ),
-        order_reviews=lines.groupBy(F.col("l_orderkey").alias("order_id")).agg(
-            F.max(F.least("l_linenumber", F.lit(5))).alias("review_score")
-        ),
-        customers=_customers(spark, folder).select(
+
+class WarehouseStore:
+    """The marketplace model behind the marts."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._tables = WarehouseTables(spark, folder)
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        last_arrival = (
+            self._tables.scan("lineitem")
+            .groupBy(F.col("l_orderkey").alias("order_id"))
+            .agg(F.max("l_shipdate").alias("last_arrival"))
+        )
+        purchases = self._tables.scan("orders").selectExpr(
+            "o_orderkey AS order_id",
+            "o_custkey AS customer_id",
+            "o_orderdate AS order_purchase_timestamp",
+            "o_orderdate + INTERVAL 60 DAYS AS order_estimated_delivery_date",
+        )
+        return purchases.join(last_arrival, "order_id", "left").selectExpr(
+            "order_id",
             "customer_id",
-            F.col("customer_id").alias("customer_unique_id"),
-            F.col("city").alias("customer_state"),
-        ),
-        products=_scan(spark, folder, "part").select(
-            F.col("p_partkey").alias("product_id"),
-            F.col("p_type").alias("category"),
-        ),
-        sellers=_scan(spark, folder, "supplier").select(
-            F.col("s_suppkey").alias("seller_id"),
-            F.col("s_name").alias("seller_name"),
-        ),
-    )
-
-
-def _scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
-
-
-def _customers(spark: SparkSession, folder: str) -> DataFrame:
-    nation = _scan(spark, folder, "nation")
-    region = _scan(spark, folder, "region")
-    return (
-        _scan(spark, folder, "customer")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-        .select(
-            F.col("c_custkey").alias("customer_id"),
-            F.col("c_name").alias("customer_name"),
-            F.col("n_name").alias("city"),
-            F.col("r_name").alias("state"),
+            "order_purchase_timestamp",
+            "order_estimated_delivery_date",
+            "CASE WHEN last_arrival >= order_purchase_timestamp THEN last_arrival END"
+            " AS order_delivered_customer_date",
+        )
+
+    @cached_property
+    def order_items(self) -> DataFrame:
+        return self._tables.scan("lineitem").selectExpr(
+            "l_orderkey AS order_id",
+            "l_partkey AS product_id",
+            "l_suppkey AS seller_id",
+            "CAST(l_extendedprice AS DECIMAL(18,2)) AS price",
+        )
+
+    @cached_property
+    def order_payments(self) -> DataFrame:
+        return self._tables.scan("orders").selectExpr(
+            "o_orderkey AS order_id",
+            "o_orderpriority AS payment_type",
+            "CAST(o_orderkey % 24 + 1 AS INT) AS payment_installments",
+            "CAST(o_totalprice AS DECIMAL(18,2)) AS payment_value",
+        )
+
+    @cached_property
+    def order_reviews(self) -> DataFrame:
+        return (
+            self._tables.scan("lineitem")
+            .groupBy(F.col("l_orderkey").alias("order_id"))
+            .agg(F.expr("max(least(l_linenumber, 5)) AS review_score"))
+        )
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return self._tables.customers.selectExpr(
+            "customer_id", "customer_id AS customer_unique_id", "city AS customer_state"
+        )
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return self._tables.products.select("product_id", "category")
+
+    @cached_property
+    def sellers(self) -> DataFrame:
+        return self._tables.scan("supplier").selectExpr(
+            "s_suppkey AS seller_id", "s_name AS seller_name"
         )
-    )
-
-
-def _products(spark: SparkSession, folder: str) -> DataFrame:
-    return _scan(spark, folder, "part").select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_name").alias("product_name"),
-        F.col("p_type").alias("category"),
-        F.col("p_brand").alias("brand"),
-        money("p_retailprice").alias("cost_price"),
-        F.col("p_size").alias("stock_quantity"),
-    )
-
-
-def _orders(spark: SparkSession, folder: str) -> DataFrame:
-    return _scan(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderdate").alias("order_date"),
-        F.nullif(F.col("o_orderpriority"), F.lit("4-NOT SPECIFIED")).alias("payment_method"),
-        _order_status().alias("order_status"),
-        money("o_totalprice").alias("total_amount"),
-    )
-
-
-def _order_status() -> Column:
-    return (
-        F.when(F.col("o_orderstatus") == "F", "Delivered")
-        .when(F.col("o_orderstatus") == "P", "Pending")
-        .when(F.col("o_orderkey") % 2 == 0, "Shipped")
-        .otherwise("Cancelled")
-    )
-
-
-def _order_items(spark: SparkSession, folder: str) -> DataFrame:
-    return _scan(spark, folder, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order_item_id"),
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        money("l_extendedprice").alias("unit_price"),
-    )
