@@ -1,0 +1,83 @@
+"""Hand-sized retail tables."""
+
+from __future__ import annotations
+
+from datetime import date, datetime
+from decimal import Decimal
+
+from tillroll.model import RetailTables, StoreModel
+from tillroll.plans.preparation import with_calendar
+
+CUSTOMERS = "customer_id string, customer_name string, city string, state string"
+PRODUCTS = (
+    "product_id string, product_name string, category string, brand string, "
+    "cost_price decimal(10,2), stock_quantity int"
+)
+ORDERS = (
+    "order_id string, customer_id string, order_date timestamp_ntz, payment_method string, "
+    "order_status string, total_amount decimal(10,2)"
+)
+ITEMS = (
+    "order_item_id string, order_id string, product_id string, quantity int, "
+    "unit_price decimal(10,2)"
+)
+
+
+def day(text: str) -> datetime:
+    return datetime.combine(date.fromisoformat(text), datetime.min.time())
+
+
+def dec(value) -> Decimal | None:
+    return None if value is None else Decimal(str(value))
+
+
+def retail(spark, customers=(), products=(), orders=(), items=()) -> RetailTables:
+    """Rows as tuples in schema order; amounts as numbers, dates as ISO text."""
+    order_rows = [(o, c, day(d), p, s, dec(a)) for o, c, d, p, s, a in orders]
+    return RetailTables(
+        customers=spark.createDataFrame(list(customers), CUSTOMERS),
+        products=spark.createDataFrame(
+            [(i, n, c, b, dec(cost), q) for i, n, c, b, cost, q in products], PRODUCTS
+        ),
+        orders=with_calendar(spark.createDataFrame(order_rows, ORDERS)),
+        order_items=spark.createDataFrame(
+            [(str(n), o, p, q, dec(price)) for n, (o, p, q, price) in enumerate(items)], ITEMS
+        ),
+    )
+
+
+def store(spark, orders=(), items=(), payments=(), reviews=(), customers=(), products=(), sellers=()):
+    return StoreModel(
+        orders=spark.createDataFrame(
+            [(o, c, day(p), d and day(d), day(e)) for o, c, p, d, e in orders],
+            "order_id string, customer_id string, order_purchase_timestamp timestamp_ntz, "
+            "order_delivered_customer_date timestamp_ntz, "
+            "order_estimated_delivery_date timestamp_ntz",
+        ),
+        order_items=spark.createDataFrame(
+            [(o, p, s, dec(price)) for o, p, s, price in items],
+            "order_id string, product_id string, seller_id string, price decimal(10,2)",
+        ),
+        order_payments=spark.createDataFrame(
+            [(o, t, n, dec(v)) for o, t, n, v in payments],
+            "order_id string, payment_type string, payment_installments int, "
+            "payment_value decimal(10,2)",
+        ),
+        order_reviews=spark.createDataFrame(list(reviews), "order_id string, review_score int"),
+        customers=spark.createDataFrame(
+            list(customers),
+            "customer_id string, customer_unique_id string, customer_state string",
+        ),
+        products=spark.createDataFrame(list(products), "product_id string, category string"),
+        sellers=spark.createDataFrame(list(sellers), "seller_id string, seller_name string"),
+    )
+
+
+def rows(df) -> list[tuple]:
+    return [tuple(r) for r in df.collect()]
+
+
+def row_set(df) -> set[tuple]:
+    found = rows(df)
+    assert len(found) == len(set(found))
+    return set(found)

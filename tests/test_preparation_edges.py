@@ -1,0 +1,131 @@
+from __future__ import annotations
+
+from datetime import date
+from decimal import Decimal
+
+import pytest
+from tables import day, retail, row_set, rows
+
+from tillroll.operators.integrity import check_foreign_keys, check_primary_keys
+from tillroll.plans import preparation
+
+RAW = "customer_id string, customer_name string, email string, registration_date date"
+
+
+def test_duplicate_customers_leave_one_row(spark):
+    raw = spark.createDataFrame(
+        [("c1", "a", None, date(2024, 1, 1))] * 3 + [("c2", "b", "b@x", date(2024, 1, 2))], RAW
+    )
+    assert row_set(preparation.clean_customers(raw)) == {
+        ("c1", "a", "no_email@example.com", date(2024, 1, 1)),
+        ("c2", "b", "b@x", date(2024, 1, 2)),
+    }
+
+
+def test_differing_duplicates_keep_the_first_by_the_given_order(spark):
+    raw = spark.createDataFrame(
+        [("c1", "late", "l@x", date(2024, 5, 1)), ("c1", "early", "e@x", date(2024, 1, 1))], RAW
+    )
+    kept = preparation.clean_customers(raw, order_by=["registration_date"])
+    assert rows(kept) == [("c1", "early", "e@x", date(2024, 1, 1))]
+
+
+def test_orders_get_payment_method_and_calendar(spark):
+    raw = spark.createDataFrame(
+        [("o1", "2024-06-02 02:28:04.672063", None), ("o2", "2024-12-31 23:59:59", "UPI")],
+        "order_id string, order_date string, payment_method string",
+    )
+    cleaned = preparation.clean_orders(raw)
+    assert dict(cleaned.dtypes)["order_date"] == "timestamp_ntz"
+    assert row_set(cleaned.drop("order_date")) == {("o1", "Unknown", 2024, 6), ("o2", "UPI", 2024, 12)}
+    assert rows(cleaned.selectExpr("date_format(order_date, 'SSSSSS')").limit(1)) == [("672063",)]
+
+
+def test_a_bad_date_stops_the_job(spark):
+    raw = spark.createDataFrame([("o1", "soon", "UPI")], "order_id string, order_date string, payment_method string")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        preparation.clean_orders(raw).collect()
+
+
+def test_profit_multiplies_the_whole_margin(spark):
+    t = retail(
+        spark,
+        products=[("p1", "lamp", "home", "b", 6, 1)],
+        items=[("o1", "p1", 3, 10), ("o1", "p9", 1, 10)],
+    )
+    priced = preparation.with_profit(t.order_items, t.products)
+    assert row_set(priced.select("product_id", "profit")) == {("p1", Decimal("12.00")), ("p9", None)}
+
+
+def test_order_without_lines_totals_zero(spark):
+    t = retail(
+        spark,
+        orders=[("o1", "c1", "2024-01-01", "UPI", "Delivered", 1), ("o2", "c1", "2024-01-01", "UPI", "Delivered", 1)],
+        items=[("o1", "p1", 2, 1.05), ("o1", "p2", 1, 3.1)],
+    )
+    totals = preparation.order_totals(t.orders, t.order_items)
+    assert row_set(totals.select("order_id", "total_amount")) == {("o1", Decimal("5.20")), ("o2", Decimal("0.00"))}
+
+
+def test_master_keeps_lines_without_order_or_product(spark):
+    t = retail(
+        spark,
+        customers=[("c1", "a", "x", "n")],
+        products=[("p1", "lamp", "home", "b", 6, 1)],
+        orders=[("o1", "c1", "2024-01-01", "UPI", "Delivered", 1)],
+        items=[("o1", "p1", 1, 10), ("o9", "p1", 1, 10), ("o1", "p9", 1, 10), (None, None, 1, 10)],
+    )
+    master = preparation.sales_master(t)
+    found = {tuple(r) for r in master.select("order_id", "product_id", "state", "profit").collect()}
+    assert found == {
+        ("o1", "p1", "n", Decimal("4.00")),
+        ("o9", "p1", None, Decimal("4.00")),
+        ("o1", "p9", "n", None),
+        (None, None, None, None),
+    }
+    assert len(master.columns) == len(set(master.columns))
+
+
+def test_key_checks_report_duplicates_nulls_and_orphans(spark):
+    t = retail(
+        spark,
+        customers=[("c1", "a", "x", "n"), ("c1", "a", "x", "n"), (None, "b", "x", "n"), ("c2", "b", "x", "n")],
+        products=[("p1", "lamp", "home", "b", 6, 1)],
+        orders=[("o1", "c1", "2024-01-01", "UPI", "Delivered", 1), ("o2", "c8", "2024-01-01", "UPI", "Delivered", 1),
+                ("o3", None, "2024-01-01", "UPI", "Delivered", 1)],
+        items=[("o1", "p1", 1, 1), ("o7", "p1", 1, 1), ("o7", "p3", 1, 1)],
+    )
+    assert row_set(check_primary_keys(t.named())) == {
+        ("customers", 1, 1, 1), ("products", 0, 0, 0), ("orders", 0, 0, 0), ("order_items", 0, 0, 0)
+    }
+    assert row_set(check_foreign_keys(t.named())) == {
+        ("orders", "customer_id", "customers", 1, 1),
+        ("order_items", "order_id", "orders", 1, 2),
+        ("order_items", "product_id", "products", 1, 1),
+    }
+
+
+def test_prepare_folder_loads_csv_extracts(spark, tmp_path):
+    (tmp_path / "customers.csv").write_text(
+        "customer_id,customer_name,gender,email,phone,city,state,country,registration_date\n"
+        'C1,"Rao, A",Female,,1,Pune,MH,India,2024-01-05\n'
+        'C1,"Rao, A",Female,,1,Pune,MH,India,2024-01-05\n'
+    )
+    (tmp_path / "products.csv").write_text(
+        "product_id,product_name,category,brand,price,cost_price,stock_quantity\n"
+        "P1,Lamp,Home,B,12.50,10.00,4\n"
+    )
+    (tmp_path / "orders.csv").write_text(
+        "order_id,customer_id,order_date,payment_method,shipping_method,order_status,total_amount\n"
+        "O1,C1,2024-06-02 02:28:04.672063,,Standard,Delivered,25.0\n"
+    )
+    (tmp_path / "order_items.csv").write_text(
+        "order_item_id,order_id,product_id,quantity,unit_price\nI1,O1,P1,2,12.5\n"
+    )
+    t = preparation.prepare_folder(spark, str(tmp_path), str(tmp_path / "tables"))
+    assert rows(t.customers.select("customer_name", "email")) == [("Rao, A", "no_email@example.com")]
+    assert rows(t.orders.select("order_date", "payment_method", "order_month")) == [
+        (day("2024-06-02").replace(hour=2, minute=28, second=4, microsecond=672063), "Unknown", 6)
+    ]
+    again = preparation.prepare_folder(spark, str(tmp_path), str(tmp_path / "tables"))
+    assert rows(again.order_items.select("cost_price", "profit")) == [(Decimal("10.00"), Decimal("5.00"))]
