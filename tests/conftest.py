@@ -11,7 +11,14 @@ from tillroll.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(cores=8, shuffle_partitions=8)
+def spark(tmp_path_factory):
+    session = local_session(
+        cores=8,
+        shuffle_partitions=8,
+        **{
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+        },
+    )
     yield session
     session.stop()
