@@ -50,10 +50,25 @@ def test_ranks_with_equal_totals(spark):
         customers=[(c, f"name {c}", "x", "north") for c in totals],
         orders=[order(n, customer=c, amount=a) for n, (c, a) in enumerate(totals.items())],
     )
+    ranked = sales.customer_rank_by_state(t)
+    assert row_set(ranked.drop("row_num")) == {
+        ("north", "name c5", 90.0, 1, 1),
+        ("north", "name c1", 50.0, 2, 2),
+        ("north", "name c2", 50.0, 2, 2),
+    }
+    # any order among equals will do, but no number twice
+    assert {(r.row_num, r.rank_val) for r in ranked.collect()} == {(1, 1), (2, 2), (3, 2)}
+
+
+def test_ranks_of_customers_without_a_state(spark):
+    t = retail(
+        spark,
+        customers=[("c1", "a", "x", None), ("c2", "b", "x", None), ("c3", "c", "x", "n")],
+        orders=[order(1, "c1", amount=5), order(2, "c2", amount=8), order(3, "c3", amount=1),
+                order(4, "c3", amount=None)],
+    )
     assert row_set(sales.customer_rank_by_state(t)) == {
-        ("north", "name c5", 90.0, 1, 1, 1),
-        ("north", "name c1", 50.0, 2, 2, 2),
-        ("north", "name c2", 50.0, 3, 2, 2),
+        (None, "b", 8.0, 1, 1, 1), (None, "a", 5.0, 2, 2, 2), ("n", "c", 1.0, 1, 1, 1)
     }
 
 

@@ -1,4 +1,4 @@
-"""Top and bottom lists with a fixed order among ties."""
+"""Top and bottom lists with a fixed order among ties, and first rows per key."""
 
 from __future__ import annotations
 
@@ -20,30 +20,6 @@ def largest(df: DataFrame, by: str, column: str, ties: str) -> Column:
     return top_n(df, by, 1, ties).select(column).scalar()
 
 
-def rank_within(
-    df: DataFrame,
-    group: str,
-    by: str,
-    ties: str,
-    up_to: int,
-) -> DataFrame:
-    """row_num, rank_val and dense_rank_val of the rows with rank up to ``up_to``.
-
-    The rank filter sits right above its window, so each task drops the rows
-    that cannot qualify before the shuffle and a hot group shrinks to a few
-    rows per task. Numbering the survivors gives the same row numbers as
-    numbering everything, because rank rises with the row number.
-    """
-    ordered = Window.partitionBy(group).orderBy(F.desc(by))
-    numbered = Window.partitionBy(group).orderBy(F.desc(by), F.asc(ties))
-    return (
-        df.withColumn("rank_val", F.rank().over(ordered))
-        .withColumn("dense_rank_val", F.dense_rank().over(ordered))
-        .where(F.col("rank_val") <= up_to)
-        .withColumn("row_num", F.row_number().over(numbered))
-    )
-
-
 def keep_first(df: DataFrame, key: str, order_by: list[str | Column]) -> DataFrame:
     """One row per key, the first by ``order_by``.
 

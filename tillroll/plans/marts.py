@@ -184,10 +184,8 @@ def refresh(model: StoreModel, folder: str) -> DataFrame:
     The summary is written first and the other marts read it back, so the
     joins run once per refresh. A rerun after a failure replaces every table.
     """
-    spark = model.orders.sparkSession
     folder = folder.rstrip("/")
-    replace_table(sales_summary(model), f"{folder}/v_sales_summary")
-    summary = spark.read.parquet(f"{folder}/v_sales_summary")
+    summary = replace_table(sales_summary(model), f"{folder}/v_sales_summary")
     region = ("customer_state", "customer_unique_id", "review_score")
     seller = ("seller_id", "review_score", PURCHASED, DELIVERED)
     marts = {
@@ -204,18 +202,11 @@ def refresh(model: StoreModel, folder: str) -> DataFrame:
         "v_regional_sales": regional_sales(summary_facts(summary, *region)),
         "v_payment_analysis": payment_analysis(model.order_payments),
     }
-    for name, mart in marts.items():
-        replace_table(mart, f"{folder}/{name}")
-    return mart_row_counts(summary, marts, folder)
-
-
-def mart_row_counts(summary: DataFrame, marts: dict[str, DataFrame], folder: str) -> DataFrame:
-    spark = summary.sparkSession
-    stored = {"v_sales_summary": summary} | {
-        name: spark.read.parquet(f"{folder}/{name}") for name in marts
+    written = {"v_sales_summary": summary} | {
+        name: replace_table(mart, f"{folder}/{name}") for name, mart in marts.items()
     }
     counts = [
         df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("mart"), "row_count")
-        for name, df in stored.items()
+        for name, df in written.items()
     ]
     return reduce(DataFrame.unionByName, counts)

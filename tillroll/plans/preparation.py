@@ -97,7 +97,8 @@ def prepare(raw: RetailTables) -> RetailTables:
 def prepare_folder(spark: SparkSession, csv_folder: str, table_folder: str) -> RetailTables:
     """The load job: CSV extracts in, replaced parquet tables out."""
     prepared = prepare(files.read_csv_tables(spark, csv_folder))
-    for name, df in prepared.named().items():
-        files.replace_table(df, f"{table_folder.rstrip('/')}/{name}")
-    return files.read_tables(spark, table_folder)
+    folder = table_folder.rstrip("/")
+    return RetailTables(
+        **{name: files.replace_table(df, f"{folder}/{name}") for name, df in prepared.named().items()}
+    )
 

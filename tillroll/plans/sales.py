@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.money import reported
 from tillroll.functions.ratios import percent, ratio
 from tillroll.model import RetailTables
-from tillroll.operators import averages, membership, periods, toplists
+from tillroll.operators import averages, membership, periods, ranking, toplists
 from tillroll.plans.rollups import profit_of_product, sales_per_product
 from tillroll.sources.catalog import replace_view
 
@@ -172,13 +172,13 @@ def customer_rank_by_state(t: RetailTables, up_to: int = 3, status: str = DELIVE
     spenders = _spend_per_customer(t, status).join(
         t.customers.select("customer_id", "customer_name", "state"), "customer_id"
     )
-    ranked = toplists.rank_within(spenders, "state", "total_spent", "customer_id", up_to)
+    ranked = ranking.rank_within(spenders, "state", "total_spent", "customer_id", up_to)
     return ranked.select(
         "state",
         "customer_name",
         reported("total_spent").alias("total_spent"),
-        "row_num",
-        "rank_val",
+        F.col("row_num").cast("int").alias("row_num"),
+        F.col("rank_val").cast("int").alias("rank_val"),
         "dense_rank_val",
     )
 

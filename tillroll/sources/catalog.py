@@ -27,6 +27,12 @@ def catalog_tables(spark: SparkSession, database: str = "default") -> RetailTabl
     return RetailTables(**{name: spark.table(f"{database}.{name}") for name in schemas.TABLES})
 
 
+def register_tables(tables: RetailTables) -> None:
+    """Make the four tables visible to ``spark.sql`` under their own names."""
+    for name, df in tables.named().items():
+        df.createOrReplaceTempView(name)
+
+
 def replace_view(df: DataFrame, name: str) -> DataFrame:
     """(Re)create a session view and return it as a table."""
     df.createOrReplaceTempView(name)

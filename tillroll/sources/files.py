@@ -44,12 +44,13 @@ def read_tables(spark: SparkSession, folder: str) -> RetailTables:
     )
 
 
-def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Write a table anew, dropping what was there."""
+def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write a table anew, dropping what was there, and return it as stored."""
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def append_rows(df: DataFrame, path: str) -> None:
