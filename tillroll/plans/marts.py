@@ -181,25 +181,26 @@ def segment_counts(segments: DataFrame) -> DataFrame:
 def refresh(model: StoreModel, folder: str) -> DataFrame:
     """Recompute and replace all marts below ``folder``; returns their row counts.
 
-    The summary is written first and the other marts read it back, so the
-    joins run once per refresh. A rerun after a failure replaces every table.
+    The summary is written first and the other marts start from it, so the
+    joins run once per refresh. Its lines are summed per order once more and
+    stored for the three marts at order grain. A rerun after a failure
+    replaces every table.
     """
     folder = folder.rstrip("/")
     summary = replace_table(sales_summary(model), f"{folder}/v_sales_summary")
-    region = ("customer_state", "customer_unique_id", "review_score")
+    order_columns = ("customer_state", "customer_unique_id", "review_score", PURCHASED)
     seller = ("seller_id", "review_score", PURCHASED, DELIVERED)
+    orders = stored(summary_facts(summary, *order_columns), "order-facts")
     marts = {
-        "v_monthly_sales": monthly_sales(summary_facts(summary, PURCHASED)),
+        "v_monthly_sales": monthly_sales(orders),
         "v_category_performance": category_performance(
             summary_facts(summary, "category", "review_score")
         ),
-        "v_customer_segments": customer_segments(
-            summary_facts(summary, "customer_unique_id", PURCHASED)
-        ),
+        "v_customer_segments": customer_segments(orders),
         "v_seller_performance": seller_performance(
             summary_facts(summary, *seller), model.sellers
         ),
-        "v_regional_sales": regional_sales(summary_facts(summary, *region)),
+        "v_regional_sales": regional_sales(orders),
         "v_payment_analysis": payment_analysis(model.order_payments),
     }
     written = {"v_sales_summary": summary} | {

@@ -85,8 +85,9 @@ class WarehouseTables:
             "o_custkey AS customer_id",
             "o_orderdate AS order_date",
             "nullif(o_orderpriority, '4-NOT SPECIFIED') AS payment_method",
-            # Nested if: a status condition then folds into one on o_orderstatus.
-            "if(o_orderstatus = 'F', 'Delivered', if(o_orderstatus = 'P', 'Pending',"
+            # Nested if and <=>: order_status = 'Delivered' then folds into
+            # o_orderstatus <=> 'F' and reaches the scan.
+            "if(o_orderstatus <=> 'F', 'Delivered', if(o_orderstatus <=> 'P', 'Pending',"
             " if(o_orderkey % 2 = 0, 'Shipped', 'Cancelled'))) AS order_status",
             "CAST(o_totalprice AS DECIMAL(18,2)) AS total_amount",
         )
