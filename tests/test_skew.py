@@ -9,9 +9,9 @@ from datetime import date
 import pytest
 from tables import row_set, rows
 
-from tillroll.model import RetailTables
+from tillroll.model import RetailTables, StoreModel
 from tillroll.operators.filters import SalesFilter
-from tillroll.plans import dashboard, preparation, sales
+from tillroll.plans import dashboard, marts, measures, preparation, sales
 
 LINES = 60_000
 
@@ -109,6 +109,13 @@ def test_hot_product_is_split_when_lines_look_up_costs(spark, hot, pandas_master
     assert total[0] == pytest.approx(lines.profit.sum()) and total[1] == LINES
 
 
+def test_hot_order_is_split_in_the_master(spark, hot):
+    with settings(spark, **SMALL_LIMITS):
+        master = preparation.sales_master(hot)
+        assert final_plan(master).split("SortMergeJoin", 1)[1].startswith("(skew=true)")
+        assert master.count() == LINES
+
+
 def test_hot_customer_is_split_above_the_city_average(spark, hot, pandas_master):
     _, orders = pandas_master
     with settings(spark, **SMALL_LIMITS):
@@ -173,6 +180,43 @@ def test_a_hot_value_is_numbered_in_pieces(spark):
     assert sorted(r.row_num for r in hot) == list(range(1, 1501))
 
 
+def test_hot_order_is_split_in_the_sales_summary(spark):
+    lines = spark.range(0, LINES, 1, 16).selectExpr(
+        "if(id % 3 = 0, 0, id % 6000) AS order_id", "id % 500 AS product_id", "id % 90 AS seller_id",
+        "cast(id % 97 + 0.25 AS decimal(18,2)) AS price",
+    )
+    orders = spark.range(0, 6000, 1, 16)
+    model = StoreModel(
+        orders=orders.selectExpr(
+            "id AS order_id", "if(id % 3 = 0, 0, id % 700) AS customer_id",
+            "timestamp_ntz'2024-01-01' AS order_purchase_timestamp",
+            "timestamp_ntz'2024-01-03' AS order_delivered_customer_date",
+            "timestamp_ntz'2024-01-09' AS order_estimated_delivery_date",
+        ),
+        order_items=lines,
+        order_payments=orders.selectExpr(
+            "id AS order_id", "'card' AS payment_type", "1 AS payment_installments",
+            "cast(1 AS decimal(18,2)) AS payment_value",
+        ),
+        order_reviews=orders.selectExpr("id AS order_id", "cast(id % 5 + 1 AS int) AS review_score"),
+        customers=spark.range(700).selectExpr(
+            "id AS customer_id", "id AS customer_unique_id", "concat('s', id % 9) AS customer_state"
+        ),
+        products=spark.range(500).selectExpr("id AS product_id", "concat('c', id % 7) AS category"),
+        sellers=spark.range(90).selectExpr("id AS seller_id", "concat('n', id) AS seller_name"),
+    )
+    with settings(spark, **SMALL_LIMITS):
+        summary = marts.sales_summary(model)
+        top_join = final_plan(summary).split("SortMergeJoin", 1)[1]
+        assert top_join.startswith("(skew=true)")
+        assert summary.count() == LINES
+        by_part = measures.core_kpis(measures.part_facts(model, "category", "review_score"), "category")
+        from_summary = marts.category_performance(
+            marts.summary_facts(summary, "category", "review_score")
+        )
+        assert row_set(by_part) == row_set(from_summary)
+
+
 def test_hot_duplicate_leaves_one_row_per_task_before_the_shuffle(spark):
     raw = spark.range(0, 9000, 1, 8).selectExpr(
         "if(id % 3 = 0, 0, id) AS customer_id", "'n' AS customer_name", "string(null) AS email"

@@ -6,7 +6,8 @@ the ``lines``-weighted measure per order, so the lines are reduced once, by
 partial sums, before any join.
 
 ``part_facts`` is the same at the grain of one attribute of the lines (product
-category, seller) and the order.
+category, seller) and the order. Use it grouped by that attribute only: an
+order has a row per part.
 """
 
 from __future__ import annotations
@@ -38,7 +39,12 @@ def order_facts(model: StoreModel, *columns: str) -> DataFrame:
 
 
 def part_facts(model: StoreModel, part: str, *columns: str) -> DataFrame:
-    """Facts per (part, order); ``part`` is "category" or a column of the lines."""
+    """Facts per (part, order); ``part`` is "category" or a column of the lines.
+
+    The lines are summed before the order columns are joined. Joining first
+    would save a shuffle, but a hot order would then reach one task whole:
+    adaptive execution splits a join side only where it is a plain shuffle.
+    """
     lines = model.order_items
     if part == "category":
         lines = lines.join(model.products.select("product_id", part), "product_id", "left")
@@ -202,6 +208,7 @@ def review_per_order(reviews: DataFrame) -> DataFrame:
 def _with_order_columns(
     facts: DataFrame, model: StoreModel, columns: tuple[str, ...]
 ) -> DataFrame:
+    """Join the tables that hold one of the requested columns, by order_id."""
     from_customers = [c for c in columns if c in ("customer_unique_id", "customer_state")]
     from_orders = [c for c in columns if c in ORDER_DATES]
     if from_customers or from_orders:

@@ -25,12 +25,15 @@ def apply_runtime_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", **extra: str
+) -> SparkSession:
     """A single-JVM session for tests and benchmarks."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tillroll")
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
