@@ -4,14 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-MONEY = T.DecimalType(18, 2)
-
-
-def money(value: Column | str) -> Column:
-    """A stored two-decimal amount as an exact decimal."""
-    return _col(value).cast(MONEY)
 
 
 def line_amount(price: Column | str = "unit_price", quantity: Column | str = "quantity") -> Column:

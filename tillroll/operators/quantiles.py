@@ -1,26 +1,92 @@
-"""Cut-off values that split a column into equal parts."""
+"""Exact cut-off values that split a column into equal parts, without a global sort."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-# Rank error of at most 1/ACCURACY of the rows; exact up to ACCURACY / 2 rows.
-ACCURACY = 100_000
+# The approximate percentile is off by at most 1/ACCURACY of the rows. The
+# bracket around a cut-off is ten times as wide on either side.
+ACCURACY = 10_000
+MARGIN = 10 / ACCURACY
 
 
-def cut_offs(df: DataFrame, columns: Sequence[str], parts: int) -> DataFrame:
-    """One row; per column an array of the ``parts - 1`` inner cut-offs.
+def cut_offs(df: DataFrame, columns: Sequence[str], parts: int) -> dict[str, list[float]]:
+    """The ``parts - 1`` inner cut-offs of each column, none for an empty column.
 
-    Each task keeps a summary of bounded size, so no global sort is needed.
+    The i-th cut-off is the smallest value with at least i / parts of the
+    values at or below it. Approximate percentiles first bracket every
+    cut-off. A second job counts the values below each bracket and the few
+    distinct values inside, and finds the exact place from those counts. Only
+    the brackets and the cut-offs, a few numbers each, reach the driver.
+    ``df`` is read several times, so pass a stored table.
     """
-    shares = [i / parts for i in range(1, parts)]
-    return df.agg(*[F.percentile_approx(c, shares, ACCURACY).alias(c) for c in columns])
+    brackets = df.agg(*[_bracket(c, parts).alias(c) for c in columns]).first()
+    entries = [
+        _entry(c, part, parts, brackets[c])
+        for c in columns
+        for part in range(1, parts)
+        if brackets[c]["rows"]
+    ]
+    cuts = {c: [] for c in columns}
+    if entries:
+        for row in sorted(_search(df, entries).collect(), key=lambda r: r["part"]):
+            cuts[row["metric"]].append(row["cut"])
+    return cuts
 
 
-def score(value: Column, cuts: Column, parts: int) -> Column:
-    """1 up to ``parts``: one more than the number of cut-offs below the value."""
-    steps = [F.when(value > cuts[i], 1).otherwise(0) for i in range(parts - 1)]
-    return sum(steps, F.lit(1))
+def score(value: Column, cuts: Sequence[float]) -> Column:
+    """1 plus the number of cut-offs below the value."""
+    return sum((F.when(value > cut, 1).otherwise(0) for cut in cuts), F.lit(1))
+
+
+def _bracket(column: str, parts: int) -> Column:
+    value = F.col(column).cast("double")
+    low = [max(i / parts - MARGIN, 0.0) for i in range(1, parts)]
+    high = [min(i / parts + MARGIN, 1.0) for i in range(1, parts)]
+    return F.struct(
+        F.count(column).alias("rows"),
+        F.percentile_approx(value, low, ACCURACY).alias("low"),
+        F.percentile_approx(value, high, ACCURACY).alias("high"),
+    )
+
+
+def _entry(column: str, part: int, parts: int, bracket: Row) -> Column:
+    """What a row contributes to the search for one cut-off.
+
+    A value above the bracket contributes nothing, one below it an entry
+    without a value.
+    """
+    value = F.col(column).cast("double")
+    low, high = bracket["low"][part - 1], bracket["high"][part - 1]
+    place = -(-bracket["rows"] * part // parts)
+    entry = F.struct(
+        F.lit(column).alias("metric"),
+        F.lit(part).alias("part"),
+        F.lit(place).cast("bigint").alias("place"),
+        F.when(value >= low, value).alias("value"),
+    )
+    return F.when(value <= high, entry)
+
+
+def _search(df: DataFrame, entries: list[Column]) -> DataFrame:
+    """metric, part and cut of every cut-off.
+
+    All values below a bracket are one entry after the count, so the running
+    count over the entries reaches the wanted place inside the bracket.
+    """
+    hits = df.select(F.explode(F.array_compact(F.array(*entries))).alias("hit")).select("hit.*")
+    counted = hits.groupBy("metric", "part", "place", "value").agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+    ascending = Window.partitionBy("metric", "part").orderBy(F.asc_nulls_first("value"))
+    at_place = counted.withColumn("reached", F.sum("rows").over(ascending)).where(
+        F.col("reached") >= F.col("place")
+    )
+    outside = F.raise_error(F.lit("a cut-off lies outside its bracket")).cast("double")
+    return at_place.groupBy("metric", "part").agg(
+        F.coalesce(F.min_by("value", "reached"), outside).alias("cut")
+    )

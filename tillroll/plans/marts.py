@@ -137,14 +137,13 @@ def customer_segments(facts: DataFrame) -> DataFrame:
         "frequency",
         "monetary",
     )
-    metrics = ["recency_days", "frequency", "monetary"]
-    cut = quantiles.cut_offs(customers, metrics, RFM_PARTS).select(F.struct(*metrics)).scalar()
+    cut = quantiles.cut_offs(customers, ["recency_days", "frequency", "monetary"], RFM_PARTS)
     scored = customers.withColumns(
         {
             "r_score": F.lit(RFM_PARTS + 1)
-            - quantiles.score(F.col("recency_days"), cut["recency_days"], RFM_PARTS),
-            "f_score": quantiles.score(F.col("frequency"), cut["frequency"], RFM_PARTS),
-            "m_score": quantiles.score(F.col("monetary"), cut["monetary"], RFM_PARTS),
+            - quantiles.score(F.col("recency_days"), cut["recency_days"]),
+            "f_score": quantiles.score(F.col("frequency"), cut["frequency"]),
+            "m_score": quantiles.score(F.col("monetary"), cut["monetary"]),
         }
     )
     return scored.withColumn("rfm_segment", segment_name())
