@@ -5,8 +5,9 @@ from datetime import date
 import pytest
 from tables import retail, row_set, rows
 
+from tillroll.model import RetailTables
 from tillroll.operators.filters import SalesFilter
-from tillroll.plans import dashboard
+from tillroll.plans import dashboard, preparation
 
 
 @pytest.fixture(scope="module")
@@ -102,6 +103,16 @@ def test_filtered_lines_agree_with_the_summaries(spark, shop):
         assert rows(total) == rows(dashboard.home_kpis(shop, chosen))
 
 
+def test_stored_profit_gives_the_same_pages_without_products(spark, shop):
+    items = preparation.with_profit(shop.order_items, shop.products)
+    loaded = RetailTables(shop.customers, shop.products, shop.orders, items)
+    garden = SalesFilter(categories=("garden",))
+    for page in (dashboard.home_kpis, dashboard.daily_profit, dashboard.profit_by_category):
+        for chosen in (SalesFilter(), garden):
+            assert row_set(page(loaded, chosen)) == row_set(page(shop, chosen))
+    assert row_set(dashboard.filtered_sales(loaded)) == row_set(dashboard.filtered_sales(shop))
+
+
 def test_filter_options(spark, shop):
     february = SalesFilter(start=date(2024, 2, 1), end=date(2024, 2, 29))
     assert row_set(dashboard.filter_options(shop, february)) == {

@@ -245,12 +245,16 @@ def _sales_per_order(
     order_columns: tuple[str, ...],
     profit: bool = False,
 ) -> DataFrame:
-    """order_id, revenue, the order columns and, if asked for, profit."""
+    """order_id, revenue, the order columns and, if asked for, profit.
+
+    A profit stored with the lines saves the join to the products.
+    """
     sums = [F.sum(line_amount()).alias("revenue")]
     if profit:
+        sums.append(F.sum("profit").alias("profit"))
+    if profit and "profit" not in t.order_items.columns:
         products = products_in_scope(t.products, chosen)
         lines = with_profit(t.order_items, products, "inner" if chosen.categories else "left")
-        sums.append(F.sum("profit").alias("profit"))
     else:
         lines = lines_in_scope(t.order_items, t.products, chosen)
     per_order = lines.groupBy("order_id").agg(*sums)
