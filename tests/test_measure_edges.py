@@ -5,6 +5,7 @@ from tables import row_set, rows, store
 
 from tillroll.plans import marts, measures
 from tillroll.plans.measures import DELIVERED, ESTIMATED, PURCHASED
+from tillroll.sources.catalog import import_views
 
 
 @pytest.fixture(scope="module")
@@ -175,5 +176,6 @@ def test_refresh_twice_gives_the_same_marts(spark, shop, tmp_path):
     first = row_set(marts.refresh(shop, str(tmp_path)))
     assert first == row_set(marts.refresh(shop, str(tmp_path)))
     assert dict(first)["v_sales_summary"] == 6
+    assert import_views(spark, ["v_sales_summary"])["v_sales_summary"].count() == 6
     stored = spark.read.parquet(str(tmp_path / "v_monthly_sales"))
     assert row_set(stored.select("month", "order_count")) == {("2024-01", 2), ("2024-03", 1), ("2025-02", 1)}

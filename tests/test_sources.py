@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import types as T
 from tables import rows
 
 from tillroll import schemas
@@ -19,6 +20,31 @@ def test_csv_keeps_declared_types(spark, tmp_path):
     assert row[1] == "Levi's, Jeans" and str(row[4]) == "12.30" and row[5] is None
 
 
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    path = str(tmp_path / "c.csv")
+    with open(path, "w") as f:
+        f.write("name,note,empty\n")
+        f.write('"Rao ""Bo"", A","two\nlines",""\n')
+        f.write("back\\slash,plain,\n")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "note", "empty")])
+    expected = [('Rao "Bo", A', "two\nlines", None), ("back\\slash", "plain", None)]
+    df = files.read_csv(spark, path, schema, line_breaks=True)
+    assert sorted(rows(df)) == sorted(expected)
+    files.export_csv(df, str(tmp_path / "again"))
+    again = files.read_csv(spark, str(tmp_path / "again"), schema, line_breaks=True)
+    assert sorted(rows(again)) == sorted(expected)
+
+
+def test_csv_timestamps_with_and_without_fraction(spark, tmp_path):
+    path = str(tmp_path / "o.csv")
+    with open(path, "w") as f:
+        f.write(",".join(schemas.ORDERS.fieldNames()) + "\n")
+        f.write("O1,C1,2024-06-02 02:28:04.672063,,Standard,Delivered,1.5\n")
+        f.write("O2,C1,2024-06-02 02:28:04,UPI,Standard,Delivered,2\n")
+    found = {r.order_id: r.order_date for r in files.read_csv(spark, path, schemas.ORDERS).collect()}
+    assert found["O1"].microsecond == 672063 and found["O2"].second == 4
+
+
 def test_csv_with_a_broken_number_stops(spark, tmp_path):
     path = str(tmp_path / "p.csv")
     with open(path, "w") as f:

@@ -47,10 +47,11 @@ def filter_options(t: RetailTables, chosen: SalesFilter = EVERYTHING) -> DataFra
     how = "inner" if dated.has_dates else "left"
     orders = orders_in_scope(t.orders, t.customers, dated)
 
-    products = sold.join(orders.select("order_id"), "order_id", how).select("product_id").distinct()
-    categories = products.join(
-        t.products.select("product_id", "category"), "product_id", "left"
-    )
+    kept = sold
+    if dated.has_dates:
+        kept = sold.join(orders.select("order_id"), "order_id", "left_semi")
+    products = kept.select("product_id").distinct()
+    categories = products.join(t.products.select("product_id", "category"), "product_id", "left")
     sold_orders = sold.select("order_id").distinct()
     buyers = (
         sold_orders.join(orders.select("order_id", "customer_id"), "order_id", how)

@@ -15,6 +15,7 @@ from tillroll.operators import quantiles
 from tillroll.plans import measures
 from tillroll.plans.measures import DELIVERED, ESTIMATED, PURCHASED
 from tillroll.session import stored
+from tillroll.sources.catalog import replace_view
 from tillroll.sources.files import replace_table
 
 RFM_PARTS = 5
@@ -182,6 +183,8 @@ def segment_counts(segments: DataFrame) -> DataFrame:
 def refresh(model: StoreModel, folder: str) -> DataFrame:
     """Recompute and replace all marts below ``folder``; returns their row counts.
 
+    Each mart also becomes a session view under its own name.
+
     The summary is written first and the other marts start from it, so the
     joins run once per refresh. Its lines are summed per order once more and
     stored for the three marts at order grain. A rerun after a failure
@@ -207,8 +210,9 @@ def refresh(model: StoreModel, folder: str) -> DataFrame:
     written = {"v_sales_summary": summary} | {
         name: replace_table(mart, f"{folder}/{name}") for name, mart in marts.items()
     }
+    views = {name: replace_view(df, name) for name, df in written.items()}
     counts = [
         df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("mart"), "row_count")
-        for name, df in written.items()
+        for name, df in views.items()
     ]
     return reduce(DataFrame.unionByName, counts)

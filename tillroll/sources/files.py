@@ -11,18 +11,24 @@ from tillroll import schemas
 from tillroll.model import RetailTables
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+# A quote inside a quoted value is doubled, as other CSV writers do it.
+QUOTING = {"quote": '"', "escape": '"'}
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = False
+) -> DataFrame:
     """CSV with a header row and a declared schema.
 
     A value that does not fit its declared type stops the job instead of
-    turning into NULL, and the header must name the declared columns.
+    turning into NULL, and the header must name the declared columns. Ask for
+    ``line_breaks`` only if quoted values contain any: a file then cannot be
+    split between tasks.
     """
     return (
         spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("mode", "FAILFAST")
-        .option("multiLine", False)
+        .options(header=True, enforceSchema=False, mode="FAILFAST", multiLine=line_breaks)
+        .options(**QUOTING)
         .csv(path)
     )
 
@@ -60,4 +66,4 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 def export_csv(df: DataFrame, path: str) -> None:
     """A report as a folder of CSV parts, each with a header row."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(header=True, **QUOTING).csv(path)
