@@ -19,10 +19,12 @@ def clean_customers(customers: DataFrame, order_by: list[str] | None = None) ->
     """One row per customer, with a placeholder for a missing email.
 
     Files have no row order on a cluster, so where duplicates differ the first
-    by ``order_by`` stays (all other columns unless given).
+    by ``order_by`` stays. The other columns decide among equals, so a repeated
+    task keeps the same row.
     """
-    order_by = order_by or [c for c in customers.columns if c != "customer_id"]
-    return keep_first(customers, "customer_id", order_by).fillna({"email": NO_EMAIL})
+    first = list(order_by or [])
+    rest = [c for c in customers.columns if c not in first and c != "customer_id"]
+    return keep_first(customers, "customer_id", first + rest).fillna({"email": NO_EMAIL})
 
 
 def fill_payment_method(orders: DataFrame) -> DataFrame:
