@@ -11,9 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.llm import neardup, repetition
-from tillroll.llm.queries import table
+from tillroll.llm import decontamination, neardup, personal, repetition
+from tillroll.llm.queries import coded_and_decoded, table
 from tillroll.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -29,9 +30,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.first_of_groups(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage as similar as 0.8 to a benchmark item."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind; n_chars follows the text."""
+    return personal.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded_sha256) of every document."""
+    return coded_and_decoded(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_rules),
     ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("personal data", personal_data),
+    ("SentencePiece", token_ids),
 ]
 
 # Fingerprints, suffix arrays and the lattice search are beyond SQL; tests/llm compares with brute force.

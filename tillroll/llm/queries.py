@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import neardup, repetition
+from tillroll.llm import decontamination, neardup, personal, pieces, repetition
+from tillroll.session import apply_runtime_settings
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -15,21 +16,43 @@ PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(_
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of the folder. Python workers find this package where the driver found it, or as installed."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", PACKAGE_ROOT)
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return apply_runtime_settings(spark).read.parquet(f"{folder}/{name}.parquet")
+
+
+def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.benchmark_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.quality_measures(table(spark, folder, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.personal_spans(table(spark, folder, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = neardup.near_groups(table(spark, folder, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every text, and the digest of the text that decoding gives back."""
+    return coded_and_decoded(table(spark, folder, "documents"))
+
+
+def coded_and_decoded(docs: DataFrame) -> DataFrame:
+    model = pieces.PieceModel.load()
+    coded = pieces.decode(pieces.encode(docs, model=model), model=model)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op4_quality_rules": op4_quality_rules,
+    "op5_personal_data": op5_personal_data,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {}

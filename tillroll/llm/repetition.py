@@ -13,6 +13,7 @@ tie and the longest text alone sets the number of doublings. Nothing is shuffled
 from __future__ import annotations
 
 import itertools
+import re
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tillroll.llm.texts import WORDS_AT_ONCE, as_text, code_points, map_batches, raw_texts, slices
+from tillroll.llm.texts import WORD, WORDS_AT_ONCE, as_text, code_points, map_batches, raw_texts, slices
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 3
@@ -152,9 +153,7 @@ def _measured(raws: list[bytes], limits: Limits) -> dict[str, np.ndarray]:
 
 def repeat_spans(text: str | None, shortest: int = Limits.shortest_repeat) -> list[tuple[int, int]]:
     """The union of a text's maximal repeats as code-point spans, end exclusive; none for null."""
-    import re
-
-    spots = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+    spots = [(m.start(), m.end()) for m in re.finditer(WORD, text or "")]
     codes, owner = _numbered([[text[a:b].encode() for a, b in spots]])
     marks = np.r_[False, covered(repeat_lengths(codes, owner), shortest), False]
     edges = np.flatnonzero(marks[1:] != marks[:-1])

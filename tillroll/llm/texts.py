@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WHITE = b" \t\n\x0b\x0c\r"
+WORD = r"[^\x20\x09-\x0D]+"
 # Work arrays of one step cover about so many words, however long the batch is.
 WORDS_AT_ONCE = 400_000
 
