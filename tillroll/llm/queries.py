@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import decontamination, neardup, personal, pieces, repetition
-from tillroll.session import apply_runtime_settings
+from tillroll.llm import archive, classlm, decontamination, neardup, personal, pieces, repetition, units, wordpiece
+from tillroll.session import apply_runtime_settings, run_folder
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -23,6 +23,15 @@ def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontamination.benchmark_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op3_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page archived, and its record read back."""
+    pages = table(spark, folder, "pages")
+    target = run_folder(spark, "archive")
+    archive.write_archive(pages, target)
+    records = archive.read_records(spark, target, pages.schema["page_id"].dataType.simpleString())
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.quality_measures(table(spark, folder, "documents"))
 
@@ -31,11 +40,23 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal.personal_spans(table(spark, folder, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return units.without_repeats(table(spark, folder, "documents"))
+
+
+def op7_class_model(spark: SparkSession, folder: str) -> DataFrame:
+    return classlm.corpus_scores(table(spark, folder, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = neardup.near_groups(table(spark, folder, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, folder, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every text, and the digest of the text that decoding gives back."""
     return coded_and_decoded(table(spark, folder, "documents"))
@@ -49,10 +70,59 @@ def coded_and_decoded(docs: DataFrame) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op3_warc_archive": op3_warc_archive,
     "op4_quality_rules": op4_quality_rules,
     "op5_personal_data": op5_personal_data,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_class_model": op7_class_model,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+# Five hexadecimal digits of the digest make four characters of base 32.
+WARC_SQL = """
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+digests AS (
+  SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex,
+         max(page_id) OVER (PARTITION BY body) AS owner
+  FROM bodies
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    (CAST('0x' || substr(hex, 1 + 5 * CAST(i // 4 AS INTEGER), 5) AS INTEGER) >> (15 - 5 * CAST(i % 4 AS INTEGER))) & 31
+  AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM digests
+"""
+
+LINES_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS place
+  FROM documents WHERE text IS NOT NULL
+),
+placed AS (
+  SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place) AS stop,
+         regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM lines
+),
+numbered AS (
+  SELECT *, stop - length(line) - 1 AS start,
+         CASE WHEN len(words) >= 5 THEN row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, place) END AS nth
+  FROM placed
+),
+marked AS (SELECT *, least(stop, length(text)) AS finish, coalesce(nth, 1) > 1 AS gone FROM numbered)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(m.kept, '') END AS text,
+       coalesce(m.removed, '') AS removed, coalesce(m.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN (
+  SELECT doc_id,
+    string_agg(substr(text, CAST(start + 1 AS BIGINT), CAST(finish - start AS BIGINT)), '' ORDER BY place) FILTER (NOT gone) AS kept,
+    string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(finish AS BIGINT) AS VARCHAR), ',' ORDER BY place) FILTER (gone) AS removed,
+    count(*) FILTER (gone) AS n_removed
+  FROM marked GROUP BY doc_id
+) m ON m.doc_id = d.doc_id
+"""
+
+ORACLES = {"op3_warc_archive": WARC_SQL, "op6_line_dedup": LINES_SQL}
