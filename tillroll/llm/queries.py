@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import archive, classlm, decontamination, neardup, personal, pieces, repetition, units, wordpiece
+from tillroll.llm import archive, classlm, decontamination, neardup, personal, pieces, repetition, units, weaklabels, wordpiece
 from tillroll.session import apply_runtime_settings, run_folder
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -23,6 +23,10 @@ def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontamination.benchmark_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return weaklabels.quality(table(spark, folder, "documents"))
+
+
 def op3_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     """Every page archived, and its record read back."""
     pages = table(spark, folder, "pages")
@@ -70,6 +74,7 @@ def coded_and_decoded(docs: DataFrame) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_warc_archive": op3_warc_archive,
     "op4_quality_rules": op4_quality_rules,
     "op5_personal_data": op5_personal_data,
