@@ -1,0 +1,108 @@
+from __future__ import annotations
+
+import random
+
+import pyarrow as pa
+import pytest
+
+from tillroll.llm import decontamination as D
+
+
+def brute(words, items):
+    """The best window of each item by looking at all windows."""
+    found = {}
+    for number, item in enumerate(items):
+        width, size = min(len(item), len(words)), min(5, len(item))
+        best = None
+        for start in range(len(words) - width + 1) if item and len(words) >= size else ():
+            similarity = D.weighted_similarity(words[start : start + width], item, size)
+            if similarity >= 0.8 and (best is None or similarity > best[1]):
+                best = (start, similarity)
+        if best:
+            found[number] = best
+    return found
+
+
+def index(texts):
+    return D.BenchmarkIndex(pa.array(range(len(texts))), pa.array(texts, pa.string()))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_matches_against_all_windows(seed):
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(400)}".encode()
+    items = [[word() for _ in range(r.choice([1, 2, 4, 5, 6, 16, 30, 59]))] for _ in range(12)] + [[], [b"a"] * 20]
+    found_by = index([b" ".join(item).decode() for item in items])
+    texts = []
+    for _ in range(12):
+        text = [word() for _ in range(r.randrange(60))]
+        for _ in range(2):
+            part = list(r.choice(items))
+            if part and r.random() < 0.6:
+                part[r.randrange(len(part))] = b"other"
+            if part and r.random() < 0.3:
+                part = part[2:]
+            at = r.randrange(len(text) + 1)
+            text = text[:at] + part + text[at:]
+        texts.append(text)
+    texts += [[], [b"a"] * 50, [b"a"] * 3]
+    for text, found in zip(texts, found_by.matches(texts)):
+        assert {m[0]: (m[1], m[4]) for m in found} == brute(text, items)
+
+
+def test_fingerprints_differ_within_the_radius():
+    """Windows as similar as 0.8 are found through their fingerprints, whichever word was changed."""
+    r = random.Random(3)
+    item = [f"t{i}".encode() for i in range(55)]
+    finder = index([b" ".join(item).decode()])
+    tried = 0
+    for _ in range(300):
+        text = list(item)
+        text[r.randrange(55)] = b"%d" % r.getrandbits(30)
+        if D.weighted_similarity(text, item, 5) >= 0.8:
+            tried += 1
+            assert finder.matches([[b"x"] * 20 + text + [b"y"] * 20])[0]
+    assert tried > 250
+
+
+def test_multi_index_finds_all_within_radius():
+    size = D._Size(20, [(i, [f"{i}x{j}".encode() for j in range(20)]) for i in range(40)])
+    r = random.Random(1)
+    prints = []
+    for own in size.prints.tolist():
+        for _ in range(5):
+            x = own
+            for bit in r.sample(range(64), r.randrange(30)):
+                x ^= 1 << bit
+            prints.append(x)
+    import numpy as np
+
+    window, item, distance = size.candidates(np.array(prints, np.uint64))
+    expected = {(i, j) for i, a in enumerate(prints) for j, b in enumerate(size.prints.tolist()) if (a ^ b).bit_count() <= D.RADIUS}
+    assert set(zip(window.tolist(), item.tolist())) == expected and distance.max() <= D.RADIUS
+
+
+def test_spans_blocks_and_case(spark, docs):
+    items = [(10, "One two three four five six seven"), (20, "alpha beta gamma delta epsilon zeta"), (30, "one two three four five six seven")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    text = "é ONE two\nthree four five  six seven end alpha"
+    source = docs([(1, text), (2, "one two three four"), (None, text), (3, None)])
+    for block_bytes in (1 << 20, 10):
+        found = D.benchmark_matches(source, benchmark, block_bytes=block_bytes).collect()
+        assert sorted((str(r["doc_id"]), r["item_id"], text[r["start"] : r["end"]], r["similarity"]) for r in found) == sorted(
+            (i, item, "ONE two\nthree four five  six seven", 1.0) for i in ("1", "None") for item in (10, 30)
+        )
+        kept = D.drop_contaminated(source, benchmark, block_bytes=block_bytes)
+        assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+
+
+def test_documents(spark, middle):
+    benchmark = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    rows = benchmark.collect()
+    items = [row["text"].encode().lower().split() for row in rows]
+    found = {}
+    for r in D.benchmark_matches(middle, benchmark).collect():
+        found.setdefault(r["doc_id"], {})[r["item_id"]] = r["similarity"]
+    for row in middle.where("n_chars < 1500").collect()[:120]:
+        expected = {rows[k]["item_id"]: s for k, (_, s) in brute(row["text"].encode().lower().split(), items).items()}
+        assert found.get(row["doc_id"], {}) == expected

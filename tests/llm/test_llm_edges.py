@@ -1,0 +1,89 @@
+"""Empty tables, nulls, repeated rows, clashing columns and very long texts, for every operator."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tillroll.llm import archive, classlm, decontamination, neardup, personal, pieces, repetition, units, weaklabels, wordpiece
+from tillroll.session import run_folder
+
+BENCHMARK = [(1, "one two three four five six seven eight nine ten"), (2, None), (3, ""), (None, "alpha beta gamma")]
+
+
+def benchmark(spark):
+    return spark.createDataFrame(BENCHMARK, "item_id long, text string")
+
+
+def archived(docs):
+    spark, folder = docs.sparkSession, run_folder(docs.sparkSession, "archive")
+    archive.write_archive(docs.withColumn("url", F.lit(None).cast("string")), folder, page_id="doc_id", payload="text")
+    return archive.read_records(spark, folder)
+
+
+PER_ROW = {
+    "weaklabels": weaklabels.quality,
+    "archive": archived,
+    "repetition": repetition.quality_measures,
+    "personal": personal.personal_spans,
+    "units": units.without_repeats,
+    "classlm": classlm.corpus_scores,
+    "neardup": neardup.near_groups,
+    "wordpiece": wordpiece.token_counts,
+    "pieces": lambda docs: pieces.decode(pieces.encode(docs, chunk=1000)),
+}
+SAME_COLUMNS = {
+    "keep_good": repetition.keep_good,
+    "first_of_groups": neardup.first_of_groups,
+    "drop_contaminated": lambda docs: decontamination.drop_contaminated(docs, benchmark(docs.sparkSession)),
+    "redact": personal.redact,
+}
+MATCHES = {"matches": lambda docs: decontamination.benchmark_matches(docs, benchmark(docs.sparkSession))}
+
+
+@pytest.mark.parametrize("name", [*PER_ROW, *SAME_COLUMNS, *MATCHES])
+def test_empty_table(docs, name):
+    made = {**PER_ROW, **SAME_COLUMNS, **MATCHES}[name](docs([]))
+    assert made.count() == 0 and made.columns
+
+
+@pytest.mark.parametrize("name", PER_ROW)
+def test_each_row_gets_one_row(docs, name):
+    long = "word " * 3000 + "x" * 5000
+    texts = [(1, "a plain text of some words"), (1, "a plain text of some words"), (1, "another text"), (2, None), (None, None)]
+    texts += [(None, "null id"), (None, "null id"), (3, ""), (4, " \n\t "), (5, long), (5, long), (6, "é中\U0001f600 " * 40), (7, "▁   \x00 \r\n")]
+    found = PER_ROW[name](docs(texts)).collect()
+    ids = "page_id" if name == "archive" else "doc_id"
+    assert sorted(str(row[ids]) for row in found) == sorted(str(i) for i, _ in texts)
+
+
+@pytest.mark.parametrize("name", PER_ROW)
+def test_columns_of_nulls(docs, name):
+    found = PER_ROW[name](docs([(None, None), (None, None)])).collect()
+    assert len(found) == 2
+
+
+@pytest.mark.parametrize("name", SAME_COLUMNS)
+def test_filters_keep_columns(docs, name):
+    text = " ".join(f"w{i}" for i in range(60))
+    source = docs([(1, text), (2, None), (None, text + " z"), (3, "")])
+    made = SAME_COLUMNS[name](source)
+    assert made.dtypes == source.dtypes
+    assert 1 in [row["doc_id"] for row in made.collect()]
+
+
+def test_nulls_in_results(docs):
+    rows = [(1, None), (2, "")]
+    assert [r["ids"] for r in pieces.encode(docs(rows)).orderBy("doc_id").collect()] == [None, []]
+    assert [r["text"] for r in units.without_repeats(docs(rows)).orderBy("doc_id").collect()] == [None, ""]
+    assert [r["text"] for r in personal.redact(docs(rows)).orderBy("doc_id").collect()] == [None, ""]
+    assert all(r["n_words"] == 0 and r["base_failed"] and not r["kept"] for r in repetition.quality_measures(docs(rows)).collect())
+    assert {r["fp"] for r in neardup.near_groups(docs(rows)).collect()} == {0}
+
+
+def test_pipeline_of_empty_documents(spark, docs):
+    made = docs([], plain=True).withColumn("lang", F.lit("")).withColumn("source", F.lit("")).withColumn("n_chars", F.lit(0).cast("long"))
+    for _, stage in corpus_pipeline.STAGES:
+        made = stage(spark, made, "/root/testdata/sf0.001")
+    assert made.count() == 0

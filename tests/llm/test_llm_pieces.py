@@ -1,0 +1,135 @@
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from tillroll.llm import pieces as P
+
+
+@pytest.fixture(scope="module")
+def model():
+    return P.PieceModel.load()
+
+
+def tiny(seed):
+    r = random.Random(seed)
+    found = {r.choice(["", " "]) + "".join(r.choice("ab\n") for _ in range(r.randrange(1, 4))) for _ in range(9)} | {" ", "a"}
+    pieces = [(piece, -float(r.randrange(1, 20)), i) for i, piece in enumerate(sorted(found))]
+    return P.PieceModel(pieces, list(range(100, 356)), 99)
+
+
+def best_sum(model, text):
+    """The largest sum over all ways to cut text, by trying them."""
+    best = P.NEVER
+    for cuts in itertools.product([False, True], repeat=max(0, len(text) - 1)):
+        edges = [0, *(i + 1 for i, cut in enumerate(cuts) if cut), len(text)]
+        total = 0.0
+        for a, b in zip(edges, edges[1:]):
+            part = text[a:b]
+            if part in model.scores:
+                total += model.scores[part]
+            elif b - a == 1:
+                total += model.unknown
+            else:
+                break
+        else:
+            best = max(best, total)
+    return best if text else 0.0
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_best_of_all_segmentations(seed):
+    model, r = tiny(seed), random.Random(seed)
+    units = ["".join(r.choice("ab \nc") for _ in range(r.randrange(10))) for _ in range(60)]
+    scores, counts, ids = model.segments(units)
+    ends = np.cumsum(counts)
+    for unit, score, count, end in zip(units, scores, counts, ends):
+        assert score == best_sum(model, unit) and model.path(unit) == (score, tuple(ids[end - count : end].tolist()))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_units_do_not_change_the_best(seed):
+    model, r = tiny(seed), random.Random(seed)
+    for _ in range(200):
+        text = "".join(r.choice("ab  \n") for _ in range(r.randrange(14)))
+        units = model.units(text)
+        assert "".join(units) == text
+        assert sum(model.path(unit)[0] for unit in units) == model.path(text)[0]
+
+
+@pytest.mark.parametrize("chunk", [16, 17, 40, 301])
+def test_chunks_give_the_best_path(model, middle, chunk):
+    texts = [r["text"][:1500] for r in middle.limit(25).collect()]
+    texts += ["a" * 300, "  x   y  ", "no" * 77 + "▁ ▁", "é" * 100, " " * 70, "x", "中文" * 40, "a b c " * 90]
+    for text in texts:
+        parts = model.measure(model.chunks(text, chunk), chunk)
+        matrices = np.array([part[0] for part in parts])
+        states = P.boundary_states(matrices)
+        ids = []
+        for (_, head, middle, tail, end), a, b in zip(parts, states[:-1].tolist(), states[1:].tolist()):
+            first, last = model.finish(head, tail, end, a, b)
+            ids += [*first, *middle.tolist(), *last]
+        assert model.decode(ids) == text
+        best = model.path(" " + text)[0]
+        assert P.scan(matrices)[-1][0, 0] == best
+        if text.isascii():
+            scores = {number: model.scores[piece] for piece, _, number in [(p, 0, n) for p, n in by_piece(model).items()]}
+            assert sum(scores.get(i, 0.0) if i in scores else 0.0 for i in ids) + model.unknown * unknown(model, ids) == best
+
+
+def by_piece(model):
+    return {model.raw[n].decode(): n for n in model.node_id[model.node_id >= 0].tolist()}
+
+
+def unknown(model, ids):
+    """Byte pieces of ASCII texts stand for one unknown character each."""
+    return sum(i in set(model.byte_ids) for i in ids)
+
+
+def test_products_are_associative():
+    r = np.random.default_rng(0)
+    a, b, c = (r.integers(-50, 0, (3, 16, 16)).astype(float) for _ in range(3))
+    assert (P.product(P.product(a, b), c) == P.product(a, P.product(b, c))).all()
+    matrices = r.integers(-50, 0, (13, 5, 5)).astype(float)
+    one_by_one = [matrices[0]]
+    for m in matrices[1:]:
+        one_by_one.append(P.product(one_by_one[-1][None], m[None])[0])
+    assert (P.scan(matrices) == np.array(one_by_one)).all()
+
+
+def test_every_text_comes_back(model):
+    r = random.Random(4)
+    for _ in range(300):
+        text = "".join(chr(r.choice([r.randrange(128), r.randrange(0x250), r.randrange(0x4E00, 0x5000), 0x1F600, 0x2581, 32])) for _ in range(r.randrange(40)))
+        assert model.decode(model.encode(text)) == text
+    assert model.encode("") == [] and model.decode([10**6]) == "�"
+
+
+def test_documents_with_and_without_chunks(model, middle):
+    texts = {r["doc_id"]: r["text"] for r in middle.collect()}
+    whole = {r["doc_id"]: r["ids"] for r in P.encode(middle, model=model).collect()}
+    assert len(whole) == len(texts) and all(model.decode(whole[i]) == texts[i] for i in texts)
+    assert all(whole[i] == model.encode(texts[i]) for i in list(texts)[:150])
+    chunked = P.decode(P.encode(middle, model=model, chunk=500), model=model).collect()
+    assert all(row["decoded"] == texts[row["doc_id"]] for row in chunked)
+    same = sum(row["ids"] == whole[row["doc_id"]] for row in chunked)
+    assert same > 0.95 * len(chunked)  # equal sums at a boundary may be cut in another way
+
+
+def test_repeated_giants(docs, model):
+    text = "some words and " * 40
+    rows = P.encode(docs([(1, text), (1, text), (2, text), (3, "short")]), model=model, chunk=100).collect()
+    assert sorted(r["doc_id"] for r in rows) == [1, 1, 2, 3]
+    assert all(r["ids"] == model.encode(text) for r in rows if r["doc_id"] < 3)
+
+
+def test_digest_column(middle):
+    from tillroll.llm.queries import coded_and_decoded
+
+    texts = {r["doc_id"]: r["text"] for r in middle.collect()}
+    for row in coded_and_decoded(middle).select("doc_id", "decoded_sha256").collect():
+        assert row["decoded_sha256"] == hashlib.sha256(texts[row["doc_id"]].encode()).hexdigest()

@@ -1,0 +1,67 @@
+"""The registered queries, their SQL, and the pipeline against the operators' plain versions."""
+
+from __future__ import annotations
+
+import inspect
+
+import duckdb
+import pytest
+from compare import assert_same
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from conftest import MIDDLE, SMALL
+from tillroll.llm.queries import ORACLES, QUERIES
+from test_llm_decontamination import brute as matches
+from test_llm_neardup import components, print_of
+from test_llm_personal import brute as personal_base
+from test_llm_repetition import brute as measures
+from tillroll.llm import personal, pieces, repetition
+
+
+@pytest.mark.parametrize("key", ORACLES)
+@pytest.mark.parametrize("folder", [SMALL, MIDDLE])
+def test_sql(spark, key, folder):
+    con = duckdb.connect()
+    for name in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    assert assert_same(QUERIES[key](spark, folder), con, ORACLES[key]) > 0
+
+
+def test_all_are_registered():
+    known = entry.queries()
+    assert [next(k for k in known if k.startswith(f"op{n}_")) for n in range(1, 11)] == list(QUERIES)
+    assert known["pipeline"] is corpus_pipeline.run
+    assert all(list(inspect.signature(stage).parameters) == ["spark", "docs", "sf_dir"] for _, stage in corpus_pipeline.STAGES)
+
+
+def test_pipeline_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = {r["doc_id"]: r.asDict() for r in docs.collect()}
+    items = [r["text"].encode().lower().split() for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    model = pieces.PieceModel.load()
+    made = []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SMALL).cache()
+        made.append({r["doc_id"]: r.asDict() for r in docs.collect()})
+
+    # Suffixes are compared by all pairs only in texts for which that ends soon.
+    limits = repetition.Limits()
+    for i, row in rows.items():
+        if len(row["text"]) < 2500:
+            assert (i in made[0]) == measures(row["text"], limits)[-1]
+    ids = list(made[0])
+    groups = components([print_of(made[0][i]["text"]) for i in ids], ids)
+    assert set(made[1]) == {i for i, group in zip(ids, groups) if i == group}
+    assert set(made[2]) == {i for i, row in made[1].items() if not matches(row["text"].encode().lower().split(), items)}
+    assert all(made[2][i] == rows[i] for i in made[2])
+    assert set(made[3]) == set(made[2])
+    for i, row in made[3].items():
+        assert personal_base(row["text"]) == []
+        if not personal.proposals(rows[i]["text"]):
+            base = [(a, b, kind) for a, b, kind in personal_base(rows[i]["text"])]
+            assert row["text"] == personal.redacted(rows[i]["text"], base)
+        assert row["n_chars"] == len(row["text"]) and row["lang"] == rows[i]["lang"]
+    assert {i: row["ids"] for i, row in made[4].items()} == {i: model.encode(row["text"]) for i, row in made[3].items()}
+    final = corpus_pipeline.run(spark, SMALL)
+    assert {r["doc_id"]: r["ids"] for r in final.collect()} == {i: row["ids"] for i, row in made[4].items()}

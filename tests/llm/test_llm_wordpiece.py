@@ -1,0 +1,54 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from tillroll.llm import wordpiece as W
+
+
+def greedy(word, pieces):
+    """Take the longest piece again and again."""
+    text, at, count = b" " + word, 0, 0
+    while at < len(text):
+        end = next((end for end in range(len(text), at, -1) if text[at:end] in pieces), None)
+        if end is None:
+            return 0
+        at, count = end, count + 1
+    return count
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_automaton_against_greedy(seed):
+    r = random.Random(seed)
+    some = lambda n: bytes(r.choice(b"abc") for _ in range(n))
+    pieces = {r.choice([b"", b" "]) + some(r.randrange(1, 6)) for _ in range(r.randrange(1, 14))}
+    if seed % 3:
+        pieces |= {b" ", b"a", b"b", b"c"}
+    automaton = W.Automaton(pieces)
+    for _ in range(150):
+        word = some(r.randrange(1, 16))
+        assert automaton.count(word) == greedy(word, pieces)
+
+
+def test_documents(small):
+    pieces = W.load_pieces()
+    known = set(pieces)
+    texts = {r["doc_id"]: r["text"] for r in small.collect()}
+    for row in W.token_counts(small).collect():
+        words = texts[row["doc_id"]].encode().lower().split()
+        assert row["n_words"] == len(words) and row["n_unknown"] == 0
+        if len(words) < 400:
+            assert row["n_tokens"] == sum(greedy(word, known) for word in words)
+
+
+def test_unknown_words_count_once(docs):
+    (row,) = W.token_counts(docs([(1, "ab zz AB")]), pieces=[b" ", b"a", b"b", b" ab"]).collect()
+    assert (row["n_words"], row["n_tokens"], row["n_unknown"]) == (3, 3, 1)
+
+
+def test_links_lead_on(docs):
+    """The remembered counts of a long word are those of a walk without memory."""
+    automaton = W.Automaton(W.load_pieces())
+    word = b"ab1c" * 5000
+    assert automaton.remembered(word) == automaton.count(word) == automaton.remembered(word)
