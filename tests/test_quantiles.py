@@ -4,9 +4,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tillroll.operators.quantiles import cut_offs, score
+from tillroll.operators.quantiles import _hit, _Search, cut_offs, score
 
 
 def exact(values, parts):
@@ -21,12 +22,14 @@ def values_of(kind, n):
         "few": [float(rng.randint(1, 4)) for _ in range(n)],
         "hot": [7.0 if i % 3 == 0 else rng.uniform(0, 100) for i in range(n)],
         "same": [3.0] * n,
+        "far": [rng.choice([rng.uniform(0, 1), rng.uniform(0, 1e-9), 1e300, -1e300]) for _ in range(n)],
+        "wide": [rng.choice([-1.7e308, 1.7e308, 5e-324, 0.0]) for _ in range(n)],
     }[kind]
 
 
 @pytest.mark.parametrize("n", [1, 3, 7, 1000, 60_000])
 def test_cut_offs_are_exact(spark, n):
-    kinds = ["spread", "few", "hot", "same"]
+    kinds = ["spread", "few", "hot", "same", "far", "wide"]
     data = list(zip(*[values_of(k, n) for k in kinds]))
     df = spark.createDataFrame(data, ", ".join(f"{k} double" for k in kinds)).repartition(7)
     found = cut_offs(df, kinds, 5)
@@ -39,6 +42,39 @@ def test_nulls_do_not_count(spark):
     assert cut_offs(df, ["v"], 5) == {"v": [1, 2, 3, 4]}
 
 
+def test_nan_does_not_count(spark):
+    df = spark.createDataFrame([(v,) for v in [1.0, math.nan, 3.0, 2.0, math.nan]], "v double")
+    assert cut_offs(df, ["v"], 5) == {"v": [1.0, 2.0, 2.0, 3.0]}
+    assert cut_offs(df.where("isnan(v)"), ["v"], 5) == {"v": []}
+
+
+def test_infinite_values_are_refused(spark):
+    with pytest.raises(ValueError, match="infinite"):
+        cut_offs(spark.createDataFrame([(1.0,), (math.inf,)], "v double"), ["v"], 2)
+
+
+def test_a_missed_place_stops_the_job():
+    """A cut-off is never left out: a range too low or too high is an error."""
+    for buckets in ([], [Row(rows=3, low=0.0, high=1.0)]):
+        with pytest.raises(RuntimeError, match="outside"):
+            _Search("v", 10, 2, 9, 0.0, 5.0).enter(buckets)
+
+
+def test_few_buckets_need_more_rounds_only(spark):
+    values = values_of("spread", 2000)
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert cut_offs(df, ["v"], 7, buckets=3)["v"] == exact(values, 7)
+
+
+def test_counts_by_bucket_are_all_that_is_gathered(spark):
+    """Rows per task after the shuffle follow the buckets, not the values."""
+    df = spark.range(200_000).select((F.col("id") * 0.37).alias("v"))
+    search = _Search("v", 100_000, 0, 200_000, 0.0, 0.37 * 199_999)
+    hits = df.select(_hit(0, search, 50).alias("hit")).where("hit IS NOT NULL")
+    assert hits.groupBy("hit.bucket").count().count() == 50
+    assert cut_offs(df, ["v"], 2)["v"] == [0.37 * 99_999]
+
+
 def test_no_rows_give_no_cut_offs(spark):
     assert cut_offs(spark.createDataFrame([], "v int"), ["v"], 3) == {"v": []}
 

@@ -2,40 +2,62 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-# The approximate percentile is off by at most 1/ACCURACY of the rows. The
-# bracket around a cut-off is ten times as wide on either side.
-ACCURACY = 10_000
-MARGIN = 10 / ACCURACY
+BUCKETS = 1000
 
 
-def cut_offs(df: DataFrame, columns: Sequence[str], parts: int) -> dict[str, list[float]]:
+@dataclass
+class _Search:
+    """The wanted place among the values of a column, and the range that holds it."""
+
+    column: str
+    place: int
+    below: int  # values under the range
+    rows: int  # values in the range
+    low: float
+    high: float
+
+    def enter(self, buckets: list[Row]) -> None:
+        """Go on with the one of the ordered buckets that holds the place."""
+        for bucket in buckets:
+            if self.below + bucket["rows"] >= self.place:
+                self.rows, self.low, self.high = bucket["rows"], bucket["low"], bucket["high"]
+                return
+            self.below += bucket["rows"]
+        raise RuntimeError(f"a cut-off of {self.column} lies outside its range")
+
+
+def cut_offs(
+    df: DataFrame, columns: Sequence[str], parts: int, buckets: int = BUCKETS
+) -> dict[str, list[float]]:
     """The ``parts - 1`` inner cut-offs of each column, none for an empty column.
 
     The i-th cut-off is the smallest value with at least i / parts of the
-    values at or below it. Approximate percentiles first bracket every
-    cut-off. A second job counts the values below each bracket and the few
-    distinct values inside, and finds the exact place from those counts. Only
-    the brackets and the cut-offs, a few numbers each, reach the driver.
-    ``df`` is read several times, so pass a stored table.
+    values at or below it. NULL and NaN do not count; infinite values are
+    refused. Each round counts the values per bucket of equal width and goes
+    on with the range of the bucket that holds the wanted place, until that is
+    a single value. The range of a bucket is that of the values in it, so every
+    round leaves fewer of them. Only ``buckets`` counts per cut-off reach the
+    driver, and no task sorts anything. ``df`` is read several times, so pass a
+    stored table.
     """
-    brackets = df.agg(*[_bracket(c, parts).alias(c) for c in columns]).first()
-    entries = [
-        _entry(c, part, parts, brackets[c])
-        for c in columns
-        for part in range(1, parts)
-        if brackets[c]["rows"]
-    ]
-    cuts = {c: [] for c in columns}
-    if entries:
-        for row in sorted(_search(df, entries).collect(), key=lambda r: r["part"]):
-            cuts[row["metric"]].append(row["cut"])
-    return cuts
+    whole = df.agg(*[_extent(_value(c)).alias(c) for c in columns]).first()
+    searches = {c: [] for c in columns}
+    for c in columns:
+        rows, low, high = whole[c]
+        if rows and not (math.isfinite(low) and math.isfinite(high)):
+            raise ValueError(f"{c} has infinite values")
+        for part in range(1, parts if rows else 1):
+            searches[c].append(_Search(c, -(-rows * part // parts), 0, rows, low, high))
+    while pending := [s for found in searches.values() for s in found if s.low < s.high]:
+        _narrow(df, pending, buckets)
+    return {c: [s.low for s in found] for c, found in searches.items()}
 
 
 def score(value: Column, cuts: Sequence[float]) -> Column:
@@ -43,50 +65,40 @@ def score(value: Column, cuts: Sequence[float]) -> Column:
     return sum((F.when(value > cut, 1).otherwise(0) for cut in cuts), F.lit(1))
 
 
-def _bracket(column: str, parts: int) -> Column:
+def _value(column: str) -> Column:
     value = F.col(column).cast("double")
-    low = [max(i / parts - MARGIN, 0.0) for i in range(1, parts)]
-    high = [min(i / parts + MARGIN, 1.0) for i in range(1, parts)]
-    return F.struct(
-        F.count(column).alias("rows"),
-        F.percentile_approx(value, low, ACCURACY).alias("low"),
-        F.percentile_approx(value, high, ACCURACY).alias("high"),
-    )
-
+    return F.when(~F.isnan(value), value)
 
-def _entry(column: str, part: int, parts: int, bracket: Row) -> Column:
-    """What a row contributes to the search for one cut-off.
 
-    A value above the bracket contributes nothing, one below it an entry
-    without a value.
-    """
-    value = F.col(column).cast("double")
-    low, high = bracket["low"][part - 1], bracket["high"][part - 1]
-    place = -(-bracket["rows"] * part // parts)
-    entry = F.struct(
-        F.lit(column).alias("metric"),
-        F.lit(part).alias("part"),
-        F.lit(place).cast("bigint").alias("place"),
-        F.when(value >= low, value).alias("value"),
-    )
-    return F.when(value <= high, entry)
+def _extent(value: Column) -> Column:
+    return F.struct(F.count(value).alias("rows"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
-def _search(df: DataFrame, entries: list[Column]) -> DataFrame:
-    """metric, part and cut of every cut-off.
-
-    All values below a bracket are one entry after the count, so the running
-    count over the entries reaches the wanted place inside the bracket.
-    """
-    hits = df.select(F.explode(F.array_compact(F.array(*entries))).alias("hit")).select("hit.*")
-    counted = hits.groupBy("metric", "part", "place", "value").agg(
-        F.count(F.lit(1)).alias("rows")
-    )
-    ascending = Window.partitionBy("metric", "part").orderBy(F.asc_nulls_first("value"))
-    at_place = counted.withColumn("reached", F.sum("rows").over(ascending)).where(
-        F.col("reached") >= F.col("place")
+def _narrow(df: DataFrame, searches: list[_Search], buckets: int) -> None:
+    """Move each search to the bucket of its range that holds its place."""
+    hits = F.array_compact(F.array(*[_hit(i, s, buckets) for i, s in enumerate(searches)]))
+    counted = (
+        df.select(F.explode(hits).alias("hit"))
+        .groupBy("hit.search", "hit.bucket")
+        .agg(_extent(F.col("hit.value")).alias("extent"))
+        .select("search", "bucket", "extent.*")
     )
-    outside = F.raise_error(F.lit("a cut-off lies outside its bracket")).cast("double")
-    return at_place.groupBy("metric", "part").agg(
-        F.coalesce(F.min_by("value", "reached"), outside).alias("cut")
+    found: dict[int, list[Row]] = {i: [] for i in range(len(searches))}
+    for row in counted.orderBy("search", "bucket").collect():
+        found[row["search"]].append(row)
+    for i, search in enumerate(searches):
+        search.enter(found[i])
+
+
+def _hit(number: int, search: _Search, buckets: int) -> Column:
+    """The search, bucket and value of a row in the range of a search."""
+    value = _value(search.column)
+    # The width of the whole range may be beyond a double; that of its half is not.
+    scale = 1.0 if math.isfinite(search.high - search.low) else 0.5
+    offset = (value * scale - search.low * scale) / (search.high * scale - search.low * scale)
+    bucket = F.least(F.floor(offset * buckets), F.lit(buckets - 1))
+    inside = value.between(search.low, search.high)
+    return F.when(
+        inside,
+        F.struct(F.lit(number).alias("search"), bucket.alias("bucket"), value.alias("value")),
     )
