@@ -5,8 +5,8 @@ it, is cut into the pieces with the largest sum of scores; of equal sums at a po
 counts. A character without a piece counts below all pieces and becomes its UTF-8 byte pieces, so that
 decoding gives every text back exactly.
 
-No piece goes on past a space that follows another character, so a text falls into units there, and a
-unit's pieces are looked up again when it returns.
+No piece goes on past a space that follows another character, so a text falls into units there. The distinct
+units of a batch are segmented together: all of them walk the trie and the lattice at once, a position at a time.
 
 A giant document is cut into chunks of fixed length, wherever that falls. The state at a chunk's start is how
 many of its characters the piece that crosses the boundary takes. A chunk yields a matrix, for each state at its
@@ -17,24 +17,67 @@ two paths through a boundary have equal scores, the one that takes fewer charact
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
+from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tillroll.llm.texts import as_text, map_batches
+from tillroll.llm.texts import as_text, map_batches, slices
 from tillroll.session import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32_768  # characters
-REMEMBERED = 500_000  # units
+CHARACTERS_AT_ONCE = 100_000  # of distinct units
 UNKNOWN_PENALTY = 10.0
 NEVER = -math.inf
 
 
+class _Children:
+    """The trie's edges as a hash table of (node, character) to node, looked up for many keys at once."""
+
+    def __init__(self, edges: dict[tuple[int, int], int]):
+        self.bits = max(10, (4 * len(edges)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.nodes = np.full(1 << self.bits, -1, np.int32)
+        left = np.array([node << 21 | character for node, character in edges], np.int64)
+        nodes = np.array(list(edges.values()), np.int32)
+        slots = self._slots(left)
+        while len(left):  # each round puts one key in each free slot; the others try the next slot
+            free = self.keys[slots] < 0
+            _, first = np.unique(np.where(free, slots, -1), return_index=True)
+            put = np.zeros(len(left), bool)
+            put[first] = True
+            put &= free
+            self.keys[slots[put]], self.nodes[slots[put]] = left[put], nodes[put]
+            left, nodes, slots = left[~put], nodes[~put], self._next(slots[~put])
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, slots: np.ndarray) -> np.ndarray:
+        return (slots + 1) & (len(self.keys) - 1)
+
+    def find(self, nodes: np.ndarray, characters: np.ndarray) -> np.ndarray:
+        """The child of each node by its character, -1 where there is none."""
+        keys = nodes.astype(np.int64) << 21 | characters
+        found = np.full(len(keys), -1, np.int32)
+        at, slots = np.arange(len(keys)), self._slots(keys)
+        while len(at):
+            there = self.keys[slots]
+            same = there == keys[at]
+            found[at[same]] = self.nodes[slots[same]]
+            again = ~same & (there >= 0)
+            at, slots = at[again], self._next(slots[again])
+        return found
+
+
 class PieceModel:
     """Pieces, their scores, and the best segmentation of strings. A space in it stands for the marker U+2581."""
 
@@ -55,8 +98,22 @@ class PieceModel:
         self.lines = not any("\n" in piece and len(piece) > 1 for piece in self.scores)
         self.raw = {number: piece.encode() for piece, _, number in pieces}
         self.raw |= {number: bytes([byte]) for byte, number in enumerate(byte_ids or [])}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.known_scores: dict[str, float] = {}
+        self._index(pieces)
+
+    def _index(self, pieces: list[tuple[str, float, int]]) -> None:
+        """Number the trie's nodes for walks of many strings; a node has the score and id of its piece, if any."""
+        edges: dict[tuple[int, int], int] = {}
+        ends = {}
+        for piece, score, number in pieces:
+            node = 0
+            for character in map(ord, piece):
+                node = edges.setdefault((node, character), len(edges) + 1)
+            ends[node] = score, number
+        self.children = _Children(edges)
+        self.node_score = np.full(len(edges) + 1, NEVER)
+        self.node_id = np.full(len(edges) + 1, -1, np.int32)
+        for node, (score, number) in ends.items():
+            self.node_score[node], self.node_id[node] = score, number
 
     @classmethod
     def load(cls, path: str = MODEL) -> PieceModel:
@@ -119,13 +176,95 @@ class PieceModel:
             end = start
         return best[-1], tuple(ids[::-1])
 
-    def unit(self, text: str) -> tuple[int, ...]:
-        found = self.known.get(text)
-        if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[text] = self.path(text)[1]
-        return found
+    def segments(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each unit the best score and the number of ids, and the ids of all one after the other."""
+        parts = [self._segments(units[part]) for part in slices([len(unit) for unit in units], CHARACTERS_AT_ONCE)]
+        scores, counts, ids = zip(*parts) if parts else ([np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)])
+        return np.concatenate(scores), np.concatenate(counts), np.concatenate(ids)
+
+    def _lattice(self, characters: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start, length, score, id) of all pieces in units, ordered by length; left is the room behind each place.
+
+        A character without a piece has id -1.
+        """
+        at, nodes = np.arange(len(characters)), np.zeros(len(characters), np.int32)
+        edges, length = [], 0
+        while len(at):
+            nodes = self.children.find(nodes, characters[at + length])
+            length += 1
+            going = nodes >= 0
+            whole = going & (self.node_id[np.maximum(nodes, 0)] >= 0)
+            starts, scores, ids = at[whole], self.node_score[nodes[whole]], self.node_id[nodes[whole]]
+            if length == 1:
+                alone = at[~whole]
+                starts = np.r_[starts, alone]
+                scores, ids = np.r_[scores, np.full(len(alone), self.unknown)], np.r_[ids, np.full(len(alone), -1, np.int32)]
+            edges.append((starts, np.full(len(starts), length), scores, ids))
+            going &= left[at] > length
+            at, nodes = at[going], nodes[going]
+        return tuple(np.concatenate(column) for column in zip(*edges))
+
+    def _segments(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(unit) for unit in units], np.int64)
+        if not sizes.any():
+            return np.zeros(len(units)), np.zeros(len(units), np.int64), np.zeros(0, np.int32)
+        characters = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").astype(np.int64)
+        begins = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(units)), sizes)
+        place = np.arange(len(characters)) - begins[owner]
+        starts, lengths, scores, ids = self._lattice(characters, sizes[owner] - place)
+        order = np.argsort(place[starts], kind="stable")
+        starts, lengths, scores, ids = starts[order], lengths[order], scores[order], ids[order]
+        bounds = np.searchsorted(place[starts], np.arange(int(sizes.max(initial=0)) + 1))
+        # Places of the lattice: one more than characters in each unit. Edges from one place end at different ones.
+        sources = starts + owner[starts]
+        targets = sources + lengths
+        best = np.full(len(characters) + len(units), NEVER)
+        back = np.zeros(len(best), np.int64)
+        best[begins + np.arange(len(units))] = 0.0
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            reached = best[sources[low:high]] + scores[low:high]
+            better = np.flatnonzero(reached > best[targets[low:high]])
+            best[targets[low:high][better]] = reached[better]
+            back[targets[low:high][better]] = low + better
+        return self._backtraced(units, sizes, begins, best, back, sources, ids, characters)
+
+    def _backtraced(self, units, sizes, begins, best, back, sources, ids, characters):
+        ends = begins + sizes + np.arange(len(units))
+        which, at = np.flatnonzero(sizes), ends[sizes > 0]
+        first = begins + np.arange(len(units))
+        whose, found = [], []
+        while len(which):
+            edge = back[at]
+            whose.append(which)
+            # An unknown character stands as the complement of its code point until it is spelled.
+            found.append(np.where(ids[edge] >= 0, ids[edge], ~characters[sources[edge] - which]))
+            at = sources[edge]
+            more = at > first[which]
+            which, at = which[more], at[more]
+        whose, found = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (whose, found))
+        order = np.argsort(whose[::-1], kind="stable")
+        whose, found = whose[::-1][order], found[::-1][order]
+        if (found < 0).any():
+            spelled = [[number] if number >= 0 else self._spelled(chr(~number)) for number in found.tolist()]
+            whose = np.repeat(whose, [len(x) for x in spelled])
+            found = np.fromiter(itertools.chain.from_iterable(spelled), np.int64, len(whose))
+        return best[ends], np.bincount(whose, minlength=len(units)), found.astype(np.int32)
+
+    def sequences(self, texts: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each list of units the score and the number of ids, and all ids; equal units are segmented once."""
+        numbers: dict[str, int] = {}
+        row, ends = array("q"), array("q", [0])
+        for units in texts:
+            row.extend([numbers.setdefault(unit, len(numbers)) for unit in units])
+            ends.append(len(row))
+        scores, counts, ids = self.segments(list(numbers))
+        row, ends = np.array(row), np.array(ends)
+        lengths = counts[row]
+        total = np.r_[0, np.cumsum(lengths)]
+        sums = np.r_[0.0, np.cumsum(scores[row])]
+        places = np.arange(total[-1]) + np.repeat((np.cumsum(counts) - counts)[row] - total[:-1], lengths)
+        return sums[ends[1:]] - sums[ends[:-1]], total[ends[1:]] - total[ends[:-1]], ids[places]
 
     def units(self, text: str) -> list[str]:
         """text cut before each space that follows another character, and around line feeds."""
@@ -162,7 +301,7 @@ class PieceModel:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; none for an empty one."""
-        return list(itertools.chain.from_iterable(map(self.unit, self.units(" " + text)))) if text else []
+        return self.segment(" " + text) if text else []
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the space put before it; ids of no piece and bytes that are no UTF-8 show as U+FFFD."""
@@ -185,34 +324,45 @@ class PieceModel:
                     np.maximum(best[stop], best[start] + score, out=best[stop])
         return best[end : end + self.reach].T
 
-    def transfer(self, text: str, length: int) -> np.ndarray:
-        """Best scores between the states at the start (rows) and the end (columns) of a chunk of length characters."""
-        length = min(length, len(text))
+    def cuts(self, text: str, length: int) -> tuple[int, int] | None:
+        """The first and the last cut between units that all paths through a chunk of length characters meet."""
+        places = range(self.reach, min(length, len(text))) if self.splits else ()
+        cut = lambda i: text[i] == " " != text[i - 1]
+        first = next(filter(cut, places), None)
+        return None if first is None else (first, next(filter(cut, reversed(places))))
+
+    def measure(self, texts: list[str], length: int) -> list[tuple[np.ndarray, str, np.ndarray, str | None, int]]:
+        """Of each chunk the transfer matrix, the text before its cuts, the ids between them, the text behind, and
+        where in this the chunk ends.
+
+        The matrix has the best scores between the states at the start (rows) and at the end (columns). Between
+        the cuts a path does not depend on the states. Without a cut the first text is all, and there is no other.
+        """
+        cuts = [self.cuts(text, length) for text in texts]
+        scores, counts, ids = self.sequences([self.units(text[slice(*cut)]) if cut else [] for text, cut in zip(texts, cuts)])
+        middles = np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
         start = np.where(np.eye(self.reach) > 0, 0.0, NEVER)
-        if self.splits:
-            cut = lambda i: text[i] == " " != text[i - 1]
-            first = next((i for i in range(self.reach, length) if cut(i)), None)
-            last = next((i for i in range(length - 1, self.reach - 1, -1) if cut(i)), None)
-            if first is not None:  # all paths meet at first and at last
-                head = self._forward(text[:first], first, start)[:, 0]
-                middle = sum(self._score(unit) for unit in self.units(text[first:last]))
-                tail = self._forward(text[last:], length - last, np.zeros((1, 1)))[0]
-                return head[:, None] + middle + tail[None, :]
-        return self._forward(text, length, start)
-
-    def _score(self, unit: str) -> float:
-        """The sum of the scores of a unit's pieces."""
-        found = self.known_scores.get(unit)
-        if found is None:
-            if len(self.known_scores) >= REMEMBERED:
-                self.known_scores.clear()
-            found = self.known_scores[unit] = self.path(unit)[0]
-        return found
+        out = []
+        for text, cut, score, middle in zip(texts, cuts, scores.tolist(), middles):
+            end = min(length, len(text))
+            if cut is None:
+                out.append((self._forward(text, end, start), text, middle, None, end))
+                continue
+            first, last = cut
+            head = self._forward(text[:first], first, start)[:, 0] + score
+            tail = self._forward(text[last:], end - last, np.zeros((1, 1)))[0]
+            out.append((head[:, None] + tail[None, :], text[:first], middle, text[last:], end - last))
+        return out
+
+    def segment(self, text: str, entry: int = 0, leave: int | None = None) -> list[int]:
+        """Ids of the best pieces of text between two positions."""
+        return list(itertools.chain.from_iterable(self.path(unit)[1] for unit in self.units(text[entry:leave])))
 
-    def segment(self, text: str, entry: int, leave: int) -> list[int]:
-        """Ids of the pieces of a chunk that start between the states entry and leave (positions in text)."""
-        units = self.units(text[entry:leave])
-        return list(itertools.chain.from_iterable(map(self.unit, units)))
+    def finish(self, head: str, tail: str | None, end: int, entry: int, leave: int) -> tuple[list[int], list[int]]:
+        """Ids of a measured chunk's pieces before and behind its cuts, from the state entry to the state leave."""
+        if tail is None:
+            return self.segment(head, entry, end + leave), []
+        return self.segment(head, entry), self.segment(tail, 0, end + leave)
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -238,7 +388,7 @@ def boundary_states(matrices: np.ndarray) -> np.ndarray:
     return states
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
+def _lists(rows: Iterable) -> pa.Array:
     return pa.array(rows, pa.list_(pa.int32()))
 
 
@@ -256,38 +406,41 @@ def _giant(docs: DataFrame, model, reach: int, chunk: int) -> DataFrame:
                     )
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [model.value.transfer(text, chunk).ravel() for text in batch.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], [*batch.schema.names, "matrix"])
+        matrices, heads, middles, tails, ends = zip(*model.value.measure(batch.column(2).to_pylist(), chunk))
+        columns = (pa.array([m.ravel() for m in matrices]), pa.array(heads), _lists(middles), pa.array(tails, pa.string()), pa.array(ends))
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["digest", "part", "matrix", "head", "middle", "tail", "end"])
 
     def states(table):
         table = table.sort_by("part")
-        matrices = np.array(table["matrix"].to_pylist()).reshape(-1, reach, reach)
+        matrices = table["matrix"].combine_chunks().flatten().to_numpy().reshape(-1, reach, reach)
         found = boundary_states(matrices)
         return pa.table({"digest": table["digest"], "part": table["part"], "entry": found[:-1], "leave": found[1:]})
 
-    def segment(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digest, part, texts, entry, leave = batch.columns
-        rows = [
-            model.value.segment(text, a, min(chunk, len(text)) + b) for text, a, b in zip(texts.to_pylist(), entry.to_pylist(), leave.to_pylist())
-        ]
-        return pa.RecordBatch.from_arrays([digest, part, _lists(rows)], ["digest", "part", "ids"])
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        heads, middles, *others = batch.columns[2:]
+        rows = []
+        for head, middle, tail, end, entry, leave in zip(heads.to_pylist(), middles, *(column.to_pylist() for column in others)):
+            first, last = model.value.finish(head, tail, end, entry, leave)
+            rows.append(np.concatenate([np.array(first, np.int32), middle.values.to_numpy(), np.array(last, np.int32)]))
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], _lists(rows)], ["digest", "part", "ids"])
 
     parts = docs.mapInArrow(cut, "digest string, part long, text string")
     parts = parts.groupBy("digest", "part").agg(F.first("text").alias("text"))  # equal texts are one
-    parts = stored(map_batches(parts, measure, "digest string, part long, text string, matrix array<double>"), "chunks")
+    schema = "digest string, part long, matrix array<double>, head string, middle array<int>, tail string, end long"
+    parts = stored(map_batches(parts, measure, schema), "chunks")
     at = parts.select("digest", "part", "matrix").groupBy("digest").applyInArrow(states, "digest string, part long, entry long, leave long")
-    joined = parts.select("digest", "part", "text").join(at, ["digest", "part"])
-    coded = map_batches(joined, segment, "digest string, part long, ids array<int>")
+    joined = parts.join(at, ["digest", "part"]).select("digest", "part", "head", "middle", "tail", "end", "entry", "leave")
+    coded = map_batches(joined, finish, "digest string, part long, ids array<int>")
     whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "ids"))), lambda part: part["ids"]))
     return coded.groupBy("digest").agg(whole.alias("ids"))
 
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: PieceModel | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, ids) for each row of docs.
+    """(doc_id, ids, decoded_sha256) for each row of docs; the digest is that of the text the ids give back.
 
-    A null text has null ids, an empty one no ids. Rows with equal ids or texts are each encoded. Texts of more
-    than chunk characters go through the chunked scan, equal ones once. Other columns are left out. An empty table
-    gives an empty table.
+    A null text has null ids and no digest, an empty one no ids. Rows with equal ids or texts are each encoded.
+    Texts of chunk characters or more go through the chunked scan, equal ones once. Other columns are left out. An
+    empty table gives an empty table.
     """
     model = model or PieceModel.load()
     if chunk < model.reach:
@@ -296,15 +449,24 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: P
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), as_text(text).alias("text"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = shared.value.encode
-        rows = [None if text is None else encode(text) for text in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), _lists(rows)], ["doc_id", "ids"])
+        model, texts = shared.value, batch.column(1)
+        _, counts, ids = model.sequences(model.units(" " + text.as_py()) if text.as_py() else [] for text in texts)
+        nulls = texts.is_null().to_numpy(zero_copy_only=False)
+        ends = np.r_[0, np.cumsum(counts)].astype(np.int32)
+        digests = [
+            None if null else hashlib.sha256(model.decode(ids[a:b].tolist()).encode()).hexdigest()
+            for a, b, null in zip(ends[:-1].tolist(), ends[1:].tolist(), nulls.tolist())
+        ]
+        lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.r_[nulls, False]), pa.array(ids))
+        return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(digests, pa.string())], ["doc_id", "ids", "decoded_sha256"])
 
+    kind = source.schema["doc_id"].dataType.simpleString()
     long = F.coalesce(F.length("text"), F.lit(0)) >= chunk  # with the space before it, more than one chunk
-    short = map_batches(source.where(~long), step, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    short = map_batches(source.where(~long), step, f"doc_id {kind}, ids array<int>, decoded_sha256 string")
     giants = source.where(long).withColumn("digest", F.sha2("text", 256))
-    coded = _giant(giants.select("text", "digest"), shared, reach, chunk)
-    return short.union(giants.select("doc_id", "digest").join(coded, "digest").select("doc_id", "ids"))
+    coded = decode(_giant(giants.select("text", "digest"), shared, reach, chunk), model=model)
+    coded = giants.select("doc_id", "digest").join(coded, "digest")
+    return short.union(coded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256")))
 
 
 def decode(coded: DataFrame, ids: str = "ids", name: str = "decoded", model: PieceModel | None = None) -> DataFrame:
@@ -314,7 +476,9 @@ def decode(coded: DataFrame, ids: str = "ids", name: str = "decoded", model: Pie
     at = coded.columns.index(ids)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [None if row is None else shared.value.decode(row) for row in batch.column(at).to_pylist()]
+        decode, texts = shared.value.decode, []
+        for row in batch.column(at):  # a list at a time, as its numbers are large once they are Python's
+            texts.append(decode(row.values.to_pylist()) if row.is_valid else None)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
-    return map_batches(coded, step, coded.select("*", F.lit("").alias(name)).schema)
+    return map_batches(coded, step, StructType([*coded.schema, StructField(name, StringType())]))

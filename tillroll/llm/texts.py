@@ -13,10 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 # Work arrays of one step cover about so many words, however long the batch is.
 WORDS_AT_ONCE = 400_000
+BYTES_AT_ONCE = 4 << 20
 
 
 def as_text(column: str) -> Column:
@@ -45,13 +47,14 @@ def code_points(raw: bytes) -> int:
     return len(raw) - int(np.count_nonzero((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80))
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply step to every Arrow batch of df."""
+def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, at_once: int = BYTES_AT_ONCE) -> DataFrame:
+    """Apply step to df in Arrow batches of about at_once bytes, or of one row where that is longer."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            rows = max(1, batch.num_rows * at_once // max(1, batch.nbytes))
+            for start in range(0, batch.num_rows, rows):
+                yield step(batch.slice(start, rows))
 
     return df.mapInArrow(run, schema)
 
