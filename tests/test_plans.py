@@ -13,7 +13,14 @@ from tillroll.sources.files import replace_table
 from tillroll.sources.warehouse import WarehouseTables
 
 FOLDER = "/root/testdata/sf0.001"
-WRITES_FIRST = {"p06_csv_roundtrip", "p07_table_replace", "k04_refresh_marts"}
+WRITES_FIRST = {
+    "p06_csv_roundtrip",
+    "p07_table_replace",
+    "p08_csv_load",
+    "p09_low_stock_export",
+    "k04_refresh_marts",
+    "k05_catalog_tables",
+}
 
 
 def physical(spark, key) -> str:

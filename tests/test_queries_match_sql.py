@@ -4,10 +4,11 @@ import pytest
 from compare import assert_same, duck
 
 import __spark_entry__ as entry_point
+from tillroll.oracle import statements
+from tillroll.plans.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.01"
-SQL = entry_point.oracle_sql()
-QUERIES = entry_point.queries()
+SQL = statements()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +18,8 @@ def con():
 
 def test_every_query_has_sql():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(SQL) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))

@@ -15,6 +15,12 @@ def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(ratio(numerator, denominator), F.lit(0.0))
 
 
+def rounded_ratio(numerator: Column, denominator: Column, places: int = 2) -> Column:
+    """numerator / denominator of decimals, rounded half up before it becomes a double."""
+    quotient = F.try_divide(numerator.cast("decimal(28,4)"), denominator.cast("decimal(20,2)"))
+    return F.round(quotient, places).cast("double")
+
+
 def percent(numerator: Column, denominator: Column) -> Column:
     return ratio(numerator, denominator) * F.lit(100.0)
 

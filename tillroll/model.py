@@ -16,6 +16,10 @@ class RetailTables:
     orders: DataFrame
     order_items: DataFrame
 
+    @property
+    def customer_names(self) -> DataFrame:
+        return self.customers.select("customer_id", "customer_name")
+
     def named(self) -> dict[str, DataFrame]:
         return {
             "customers": self.customers,

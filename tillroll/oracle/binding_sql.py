@@ -56,8 +56,27 @@ WITH customers AS (
 STORE = """
 WITH arrivals AS (
   SELECT l_orderkey AS order_id, MAX(l_shipdate) AS last_arrival,
-         MAX(LEAST(l_linenumber, 5)) AS review_score
+         (MAX(LEAST(l_linenumber, 5)) + MIN(LEAST(l_linenumber, 5))) / 2.0 AS review_score
   FROM lineitem GROUP BY l_orderkey
+), paid AS (
+  SELECT o_orderkey AS order_id, o_orderpriority AS main_type, o_orderkey % 3 = 0 AS several,
+         CAST(o_orderkey % 24 + 1 AS INTEGER) AS installments,
+         CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
+         CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 0.3 AS DECIMAL(18,2)) AS voucher
+  FROM orders
+), payments AS (
+  SELECT order_id, main_type AS payment_type, installments AS payment_installments,
+         CAST(CASE WHEN several THEN amount - 2 * voucher ELSE amount END AS DECIMAL(18,2))
+           AS payment_value
+  FROM paid
+  UNION ALL SELECT order_id, 'VOUCHER', 1, voucher FROM paid WHERE several
+  UNION ALL SELECT order_id, 'VOUCHER', 1, voucher FROM paid WHERE several
+), settled AS (
+  SELECT order_id, amount,
+         CASE WHEN several AND 2 * voucher >= amount - 2 * voucher THEN 'VOUCHER' ELSE main_type END
+           AS payment_type,
+         installments AS payment_installments
+  FROM paid
 ), summary AS (
   SELECT l_orderkey AS order_id, c_custkey AS customer_unique_id, n_name AS customer_state,
          l_partkey AS product_id, p_type AS category, l_suppkey AS seller_id, s_name AS seller_name,
@@ -66,13 +85,12 @@ WITH arrivals AS (
            AS order_delivered_customer_date,
          o_orderdate + INTERVAL 60 DAY AS order_estimated_delivery_date,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS price,
-         o_orderpriority AS payment_type,
-         CAST(o_orderkey % 24 + 1 AS INTEGER) AS payment_installments,
-         CAST(o_totalprice AS DECIMAL(18,2)) AS payment_value,
+         settled.payment_type, settled.payment_installments, settled.amount AS payment_value,
          CAST(review_score AS DOUBLE) AS review_score
   FROM lineitem
   LEFT JOIN orders ON l_orderkey = o_orderkey
   LEFT JOIN arrivals ON arrivals.order_id = l_orderkey
+  LEFT JOIN settled ON settled.order_id = l_orderkey
   LEFT JOIN customer ON o_custkey = c_custkey
   LEFT JOIN nation ON c_nationkey = n_nationkey
   LEFT JOIN part ON l_partkey = p_partkey
@@ -81,11 +99,11 @@ WITH arrivals AS (
   SELECT *, CAST(date_diff('day', CAST(order_purchase_timestamp AS DATE),
                            CAST(order_delivered_customer_date AS DATE)) AS INTEGER) AS delivery_days
   FROM summary
-), payments AS (
-  SELECT o_orderkey AS order_id, o_orderpriority AS payment_type,
-         CAST(o_orderkey % 24 + 1 AS INTEGER) AS payment_installments,
-         CAST(o_totalprice AS DECIMAL(18,2)) AS payment_value
-  FROM orders
+), sliced AS (
+  SELECT * FROM summary
+  WHERE CAST(order_purchase_timestamp AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'
+    AND category IN ('ECONOMY', 'SMALL', 'LARGE')
+    AND customer_state IN ('NATION_1', 'NATION_4', 'NATION_9')
 ), monthly AS (
   SELECT CAST(year(order_purchase_timestamp) AS INTEGER) AS order_year,
          CAST(month(order_purchase_timestamp) AS INTEGER) AS order_month,

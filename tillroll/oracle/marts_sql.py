@@ -42,6 +42,12 @@ SELECT payment_type, payment_installments, COUNT(DISTINCT order_id) AS order_cou
        CAST(SUM(payment_value) AS DOUBLE) AS total_value,
        CAST(SUM(payment_value) AS DOUBLE) / COUNT(payment_value) AS avg_value
 FROM payments GROUP BY payment_type, payment_installments
+""",
+    "k05_catalog_tables": """
+SELECT 'orders' AS table_name, COUNT(*) AS row_count,
+       CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM orders
+UNION ALL
+SELECT 'products', COUNT(*), CAST(SUM(CAST(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) FROM part
 """,
     "k04_refresh_marts": """
 SELECT 'v_sales_summary' AS mart, COUNT(*) AS row_count FROM summary

@@ -1,11 +1,11 @@
-def kpis(column: str, top: int | None = None) -> str:
+def kpis(column: str, top: int | None = None, source: str = "summary") -> str:
     limit = f"ORDER BY total_revenue DESC, {column} LIMIT {top}" if top else ""
     return f"""
 SELECT {column}, CAST(SUM(price) AS DOUBLE) AS total_revenue,
        COUNT(DISTINCT order_id) AS total_orders,
        CAST(SUM(price) AS DOUBLE) / COUNT(DISTINCT order_id) AS aov,
        AVG(review_score) AS avg_review_score
-FROM summary GROUP BY {column} {limit}
+FROM {source} GROUP BY {column} {limit}
 """
 
 
@@ -19,6 +19,38 @@ SELECT CAST(SUM(price) AS DOUBLE) AS total_revenue, COUNT(DISTINCT order_id) AS
        CAST(SUM(price) AS DOUBLE) / COUNT(DISTINCT order_id) AS aov,
        AVG(review_score) AS avg_review_score
 FROM summary
+""",
+    "m01_core_kpis_sliced": """
+SELECT CAST(SUM(price) AS DOUBLE) AS total_revenue, COUNT(DISTINCT order_id) AS total_orders,
+       CAST(SUM(price) AS DOUBLE) / COUNT(DISTINCT order_id) AS aov,
+       AVG(review_score) AS avg_review_score
+FROM sliced
+""",
+    "m04_mom_growth_sliced": """
+, months AS (
+  SELECT date_trunc('month', order_purchase_timestamp) AS month, SUM(price) AS revenue
+  FROM sliced GROUP BY 1
+)
+SELECT CAST(year(a.month) AS INTEGER) AS order_year, CAST(month(a.month) AS INTEGER) AS order_month,
+       CAST(a.revenue AS DOUBLE) AS revenue, CAST(b.revenue AS DOUBLE) AS previous_month_revenue,
+       COALESCE(CAST(a.revenue - b.revenue AS DOUBLE) / NULLIF(CAST(b.revenue AS DOUBLE), 0) * 100,
+                0) AS mom_growth_pct
+FROM months a LEFT JOIN months b ON b.month + INTERVAL 1 MONTH = a.month
+""",
+    "m12_state_details_sliced": kpis("customer_state", source="sliced"),
+    "m17_translated_categories": """
+SELECT CASE WHEN category = 'SMALL' THEN category
+            ELSE upper(category[1]) || lower(category[2:]) END AS category,
+       CAST(SUM(price) AS DOUBLE) AS total_revenue
+FROM summary GROUP BY 1
+""",
+    "m18_located_customers": """
+SELECT c_custkey AS customer_id, c_nationkey AS customer_zip_code_prefix, latitude, longitude
+FROM customer LEFT JOIN (
+  SELECT s_suppkey % 25 AS prefix, AVG(CAST(s_suppkey AS DOUBLE)) AS latitude,
+         AVG(CAST(s_suppkey % 7 AS DOUBLE)) AS longitude
+  FROM supplier GROUP BY 1
+) ON prefix = c_nationkey
 """,
     "m02_on_time_pct": """
 SELECT COUNT(*) FILTER (order_delivered_customer_date <= order_estimated_delivery_date)

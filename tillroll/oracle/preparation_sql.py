@@ -38,4 +38,11 @@ SELECT CAST(order_date AS DATE) AS "Date", CAST(SUM(amount) AS DOUBLE) AS "Reven
 FROM master GROUP BY 1
 """,
     "p07_table_replace": _PREPARED_ORDERS,
+    # The extracts have no place of a customer but the one they are bound to.
+    "p08_csv_load": f"SELECT {LINE_COLUMNS} FROM master",
+    "p09_low_stock_export": """
+SELECT product_id, product_name, category, brand, CAST(cost_price AS DOUBLE) AS cost_price,
+       stock_quantity
+FROM products WHERE stock_quantity < 10
+""",
 }

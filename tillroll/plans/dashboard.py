@@ -43,32 +43,46 @@ def filter_options(t: RetailTables, chosen: SalesFilter = EVERYTHING) -> DataFra
     last day are those of all sales.
     """
     dated = SalesFilter(start=chosen.start, end=chosen.end)
-    sold = t.order_items.select("order_id", "product_id")
-    how = "inner" if dated.has_dates else "left"
-    orders = orders_in_scope(t.orders, t.customers, dated)
-
-    kept = sold
+    kept = t.order_items.select("order_id", "product_id")
     if dated.has_dates:
-        kept = sold.join(orders.select("order_id"), "order_id", "left_semi")
+        orders = orders_in_scope(t.orders, t.customers, dated)
+        kept = kept.join(orders.select("order_id"), "order_id", "left_semi")
     products = kept.select("product_id").distinct()
     categories = products.join(t.products.select("product_id", "category"), "product_id", "left")
-    sold_orders = sold.select("order_id").distinct()
+    return _options(categories, "category").unionByName(_state_and_day_options(t, dated))
+
+
+def _state_and_day_options(t: RetailTables, dated: SalesFilter) -> DataFrame:
+    """States and days from one pass: sold orders, then their customers, then the states."""
+    bought = F.col("order_date")
+    inside = dated.date_condition(bought) if dated.has_dates else F.lit(True)
+    extent = [
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+        F.max("inside").alias("inside"),
+    ]
     buyers = (
-        sold_orders.join(orders.select("order_id", "customer_id"), "order_id", how)
-        .select("customer_id")
+        t.order_items.select("order_id")
         .distinct()
+        .join(t.orders.select("order_id", "customer_id", "order_date"), "order_id", "left")
+        .select("customer_id", bought.alias("first"), bought.alias("last"), inside.alias("inside"))
+        .groupBy("customer_id")
+        .agg(*extent)
     )
-    states = buyers.join(t.customers.select("customer_id", "state"), "customer_id", "left")
-    days = sold_orders.join(t.orders.select("order_id", "order_date"), "order_id").agg(
-        F.to_date(F.min("order_date")).cast("string").alias("first_day"),
-        F.to_date(F.max("order_date")).cast("string").alias("last_day"),
+    states = (
+        buyers.join(t.customers.select("customer_id", "state"), "customer_id", "left")
+        .groupBy("state")
+        .agg(*extent)
     )
-    limits = days.unpivot([], ["first_day", "last_day"], "option_kind", "option_value")
-    return (
-        _options(categories, "category")
-        .unionByName(_options(states, "state"))
-        .unionByName(limits)
+    day = lambda ts: F.to_date(ts).cast("string")
+    option = lambda kind, value: F.struct(
+        F.lit(kind).alias("option_kind"), value.alias("option_value")
     )
+    # One entry per state, so the array is as short as the list that the page shows.
+    left = F.collect_list(F.when(F.col("inside"), option("state", F.col("state"))))
+    limits = F.array(option("first_day", day(F.min("first"))), option("last_day", day(F.max("last"))))
+    options = states.agg(F.concat(left, limits).alias("options"))
+    return options.select(F.explode("options").alias("o")).select("o.*")
 
 
 def home_kpis(t: RetailTables, chosen: SalesFilter = EVERYTHING) -> DataFrame:
@@ -99,11 +113,14 @@ def revenue_by_category(t: RetailTables, chosen: SalesFilter = EVERYTHING) -> Da
 
 
 def order_status_counts(t: RetailTables, chosen: SalesFilter = EVERYTHING) -> DataFrame:
-    orders = orders_in_scope(t.orders, t.customers, chosen)
-    sold = lines_in_scope(t.order_items, t.products, chosen).select("order_id").distinct()
+    orders = orders_in_scope(t.orders, t.customers, chosen).select("order_id", "order_status")
+    sold = lines_in_scope(t.order_items, t.products, chosen).select("order_id")
+    if chosen.narrows_orders:
+        sold = sold.join(orders, "order_id").distinct()
+    else:
+        sold = sold.distinct().join(orders, "order_id")
     return (
-        sold.join(orders.select("order_id", "order_status"), "order_id")
-        .dropna(subset=["order_status"])
+        sold.dropna(subset=["order_status"])
         .groupBy("order_status")
         .agg(F.count(F.lit(1)).alias("count"))
     )
@@ -169,7 +186,7 @@ def top_customer_names(t: RetailTables, chosen: SalesFilter = EVERYTHING, n: int
         .groupBy("customer_id")
         .agg(F.sum("revenue").alias("revenue"))
     )
-    named = per_customer.join(t.customers.select("customer_id", "customer_name"), "customer_id")
+    named = per_customer.join(t.customer_names, "customer_id")
     return toplists.top_n(
         _group_revenue(named, "customer_name"), "revenue", n, "customer_name"
     )
@@ -236,6 +253,11 @@ def low_stock_report(t: RetailTables, threshold: int = 50) -> DataFrame:
     )
 
 
+def low_stock_products(t: RetailTables, threshold: int = 50) -> DataFrame:
+    """The rows behind the report, with all product columns, as they are exported."""
+    return _low_stock(t, threshold)
+
+
 def _low_stock(t: RetailTables, threshold: int) -> DataFrame:
     return t.products.where(F.col("stock_quantity") < threshold)
 
@@ -248,7 +270,9 @@ def _sales_per_order(
 ) -> DataFrame:
     """order_id, revenue, the order columns and, if asked for, profit.
 
-    A profit stored with the lines saves the join to the products.
+    A profit stored with the lines saves the join to the products. A filter on
+    orders reaches the lines before they are summed, so that lines of other
+    orders can be dropped before their shuffle.
     """
     sums = [F.sum(line_amount()).alias("revenue")]
     if profit:
@@ -258,9 +282,10 @@ def _sales_per_order(
         lines = with_profit(t.order_items, products, "inner" if chosen.categories else "left")
     else:
         lines = lines_in_scope(t.order_items, t.products, chosen)
-    per_order = lines.groupBy("order_id").agg(*sums)
     orders = orders_in_scope(t.orders, t.customers, chosen).select("order_id", *order_columns)
-    return per_order.join(orders, "order_id", "inner" if chosen.narrows_orders else "left")
+    if chosen.narrows_orders:
+        return lines.join(orders, "order_id").groupBy("order_id", *order_columns).agg(*sums)
+    return lines.groupBy("order_id").agg(*sums).join(orders, "order_id", "left")
 
 
 def _sales_per_product(t: RetailTables, chosen: SalesFilter, *product_columns: str) -> DataFrame:

@@ -12,6 +12,8 @@ order has a row per part.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from tillroll.functions.money import reported
 from tillroll.functions.ratios import percent_or_zero, ratio, ratio_or_zero
 from tillroll.model import StoreModel
 from tillroll.operators import periods, shares, toplists
+from tillroll.operators.filters import SalesFilter
 
 PURCHASED = "order_purchase_timestamp"
 DELIVERED = "order_delivered_customer_date"
@@ -54,6 +57,33 @@ def part_facts(model: StoreModel, part: str, *columns: str) -> DataFrame:
     return _with_order_columns(facts, model, columns)
 
 
+def sliced(model: StoreModel, chosen: SalesFilter) -> StoreModel:
+    """What a report's slicers leave of a model, for any measure.
+
+    Orders of the chosen days and customer states; of their lines those of the
+    chosen categories; their payments and reviews. Conditions are semi-joins
+    on the keys, before any sum.
+    """
+    orders, lines, products = model.orders, model.order_items, model.products
+    payments, reviews = model.order_payments, model.order_reviews
+    if chosen.has_dates:
+        orders = orders.where(chosen.date_condition(F.col(PURCHASED)))
+    if chosen.states:
+        here = model.customers.where(F.col("customer_state").isin(*chosen.states))
+        orders = orders.join(here.select("customer_id"), "customer_id", "left_semi")
+    if chosen.narrows_orders:
+        kept = orders.select("order_id")
+        lines = lines.join(kept, "order_id", "left_semi")
+        payments = payments.join(kept, "order_id", "left_semi")
+        reviews = reviews.join(kept, "order_id", "left_semi")
+    if chosen.categories:
+        products = products.where(F.col("category").isin(*chosen.categories))
+        lines = lines.join(products.select("product_id"), "product_id", "left_semi")
+    return replace(
+        model, orders=orders, order_items=lines, products=products, order_payments=payments, order_reviews=reviews
+    )
+
+
 def core_kpis(facts: DataFrame, *by: str) -> DataFrame:
     """Revenue, orders, order value and mean review, overall or per group."""
     return facts.groupBy(*by).agg(
@@ -208,9 +238,13 @@ def review_per_order(reviews: DataFrame) -> DataFrame:
 def _with_order_columns(
     facts: DataFrame, model: StoreModel, columns: tuple[str, ...]
 ) -> DataFrame:
-    """Join the tables that hold one of the requested columns, by order_id."""
+    """Join the tables that hold one of the requested columns, by order_id.
+
+    Orders that carry their review score spare the join with the reviews.
+    """
     from_customers = [c for c in columns if c in ("customer_unique_id", "customer_state")]
-    from_orders = [c for c in columns if c in ORDER_DATES]
+    of_orders = {*ORDER_DATES, "review_score"} & set(model.orders.columns)
+    from_orders = [c for c in columns if c in of_orders]
     if from_customers or from_orders:
         keys = ["customer_id"] if from_customers else []
         orders = model.orders.select("order_id", *keys, *from_orders)
@@ -218,7 +252,7 @@ def _with_order_columns(
             customers = model.customers.select("customer_id", *from_customers)
             orders = orders.join(customers, "customer_id", "left").drop("customer_id")
         facts = facts.join(orders, "order_id", "left")
-    if "review_score" in columns:
+    if "review_score" in columns and "review_score" not in from_orders:
         facts = facts.join(review_per_order(model.order_reviews), "order_id", "left")
     return facts
 

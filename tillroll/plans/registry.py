@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -12,20 +13,34 @@ from tillroll.functions.dates import on_days
 from tillroll.functions.money import reported
 from tillroll.operators import integrity
 from tillroll.operators.filters import SalesFilter
-from tillroll.plans import dashboard, marts, measures, preparation, sales
+from tillroll import schemas
+from tillroll.plans import dashboard, marts, measures, preparation, relations, sales
 from tillroll.plans.measures import DELIVERED, ESTIMATED, PURCHASED
 from tillroll.session import apply_runtime_settings, run_folder
-from tillroll.sources import files
+from tillroll.sources import catalog, files
 from tillroll.sources.warehouse import PreparedTables, WarehouseStore, WarehouseTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Parameters of the registered runs. The library defaults are the published ones.
 LOW_STOCK = 10
+LOADED_COLUMNS = (
+    "order_item_id order_id product_id quantity unit_price customer_id order_date payment_method"
+    " order_status total_amount order_year order_month customer_name city state product_name"
+    " category brand cost_price stock_quantity profit"
+).split()
 HIGH_VALUE = 2_000_000
 CUSTOMER = 1
 SLICE_YEAR, SLICE_QUARTER = 1997, 2
 TWO_YEARS = SalesFilter(start=date(1997, 1, 1), end=date(1998, 12, 31))
+QUARTER = SalesFilter(start=date(1997, 4, 1), end=date(1997, 6, 30))
+SLICE = SalesFilter(
+    start=date(1997, 1, 1),
+    end=date(1998, 12, 31),
+    categories=("ECONOMY", "SMALL", "LARGE"),
+    states=("NATION_1", "NATION_4", "NATION_9"),
+)
+UNSOLD = SalesFilter(start=date(1997, 4, 1), end=date(1997, 5, 15))
 NARROW = SalesFilter(
     start=date(1997, 1, 1),
     end=date(1998, 12, 31),
@@ -42,9 +57,15 @@ def _dashboard(plan: Callable[..., DataFrame], *args, **params) -> Query:
     return lambda spark, folder: plan(_prepared(spark, folder), *args, **params)
 
 
-def _measure(measure: Callable[..., DataFrame], *columns: str, by: tuple[str, ...] = (), **params) -> Query:
+def _measure(
+    measure: Callable[..., DataFrame],
+    *columns: str,
+    by: tuple[str, ...] = (),
+    chosen: SalesFilter = SalesFilter(),
+    **params,
+) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        facts = measures.order_facts(_store(spark, folder), *columns)
+        facts = _store(spark, folder).sliced(chosen).order_facts(*columns)
         return measure(facts, *by, **params)
 
     return run
@@ -132,9 +153,105 @@ def _part_kpis(spark: SparkSession, folder: str) -> DataFrame:
     return measures.core_kpis(facts, "category")
 
 
-def _state_kpis(spark: SparkSession, folder: str) -> DataFrame:
-    facts = measures.order_facts(_store(spark, folder), "customer_state", "review_score")
-    return measures.core_kpis(facts, "customer_state")
+_state_kpis = _measure(
+    measures.core_kpis, "customer_state", "review_score", by=("customer_state",)
+)
+
+
+def _products_unsold(spark: SparkSession, folder: str) -> DataFrame:
+    return sales.products_never_sold(_retail(spark, folder), UNSOLD)
+
+
+def _csv_load(spark: SparkSession, folder: str) -> DataFrame:
+    """The load job end to end: CSV extracts in, cleaned tables out, read back as lines."""
+    t = _retail(spark, folder)
+    extracts = run_folder(spark, "csv-extracts")
+    raw = {
+        "customers": t.uncleaned_customers,
+        "products": t.products,
+        "orders": t.uncleaned_orders,
+        "order_items": t.order_items,
+    }
+    for name, rows in raw.items():
+        wanted = [c for c in schemas.TABLES[name].names]
+        gaps = {c: F.lit(None).cast("string") for c in wanted if c not in rows.columns}
+        files.export_csv(rows.withColumns(gaps).select(*wanted), f"{extracts}/{name}.csv")
+    tables = run_folder(spark, "loaded-tables")
+    preparation.prepare_folder(spark, extracts, tables)
+    lines = preparation.sales_master(files.read_tables(spark, tables))
+    numbers = {c: F.col(c).cast("long") for c in ("order_item_id", "order_id", "product_id", "customer_id")}
+    return _line_report(lines.withColumns(numbers).select(*LOADED_COLUMNS))
+
+
+def _stock_export(spark: SparkSession, folder: str) -> DataFrame:
+    """The low-stock report with all product columns, exported as CSV and read back."""
+    report = dashboard.low_stock_products(_retail(spark, folder), LOW_STOCK)
+    path = run_folder(spark, "low-stock-csv")
+    files.export_csv(report, path)
+    return _doubles(files.read_csv(spark, path, report.schema), "cost_price")
+
+
+def _catalog_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed catalog tables created twice, filled by inserts, read through an imported view."""
+    t = _retail(spark, folder)
+    database = f"shop_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{run_folder(spark, database)}'")
+    for _ in range(2):  # the second call finds the tables there
+        catalog.create_tables(spark, database)
+    for name, rows in (("products", t.products), ("orders", t.uncleaned_orders)):
+        columns = {
+            f.name: (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType)
+            for f in schemas.TABLES[name]
+        }
+        catalog.insert_rows(rows.select(*[c.alias(n) for n, c in columns.items()]), f"{database}.{name}")
+    tables = catalog.catalog_tables(spark, database)
+    catalog.replace_view(tables.orders, "catalog_orders")
+    catalog.replace_view(tables.products, "catalog_products")
+    views = catalog.import_views(spark, ["catalog_orders", "catalog_products"])
+    counted = [
+        views["catalog_orders"].agg(
+            F.lit("orders").alias("table_name"),
+            F.count(F.lit(1)).alias("row_count"),
+            reported(F.sum("total_amount")).alias("amount"),
+        ),
+        views["catalog_products"].agg(
+            F.lit("products").alias("table_name"),
+            F.count(F.lit(1)).alias("row_count"),
+            reported(F.sum("cost_price")).alias("amount"),
+        ),
+    ]
+    return counted[0].unionByName(counted[1])
+
+
+def _translated_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """Revenue per English category; some names have no translation."""
+    model = _store(spark, folder)
+    products = model.products.withColumnRenamed("category", "product_category_name")
+    names = products.select("product_category_name").distinct()
+    translation = names.where("product_category_name <> 'SMALL'").withColumn(
+        "product_category_name_english", F.initcap(F.lower("product_category_name"))
+    )
+    per_product = model.order_items.groupBy("product_id").agg(F.sum("price").alias("price"))
+    named = relations.with_english_category(products, translation)
+    return (
+        per_product.join(named, "product_id", "left")
+        .groupBy("category")
+        .agg(reported(F.sum("price")).alias("total_revenue"))
+    )
+
+
+def _located_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with the mean of the points measured for their postcode prefix."""
+    t = _retail(spark, folder)
+    customers = t.scan("customer").selectExpr(
+        "c_custkey AS customer_id", "c_nationkey AS customer_zip_code_prefix"
+    )
+    points = t.scan("supplier").selectExpr(
+        "CAST(s_suppkey % 25 AS INT) AS geolocation_zip_code_prefix",
+        "CAST(s_suppkey AS DOUBLE) AS geolocation_lat",
+        "CAST(s_suppkey % 7 AS DOUBLE) AS geolocation_lng",
+    )
+    return relations.with_location(customers, points, "customer_zip_code_prefix")
 
 
 def _calculated_columns(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,12 +266,6 @@ def _sales_summary(spark: SparkSession, folder: str) -> DataFrame:
     return _doubles(marts.sales_summary(_store(spark, folder)), "price", "payment_value")
 
 
-def _category_performance(spark: SparkSession, folder: str) -> DataFrame:
-    return marts.category_performance(
-        measures.part_facts(_store(spark, folder), "category", "review_score")
-    )
-
-
 def _seller_performance(spark: SparkSession, folder: str) -> DataFrame:
     model = _store(spark, folder)
     facts = measures.part_facts(model, "seller_id", "review_score", PURCHASED, DELIVERED)
@@ -162,7 +273,7 @@ def _seller_performance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _segment_counts(spark: SparkSession, folder: str) -> DataFrame:
-    facts = measures.order_facts(_store(spark, folder), "customer_unique_id", PURCHASED)
+    facts = _store(spark, folder).order_facts("customer_unique_id", PURCHASED)
     return marts.segment_counts(marts.customer_segments(facts))
 
 
@@ -200,6 +311,7 @@ SALES: dict[str, Query] = {
     "q19_customer_rank_by_state": _sales(sales.customer_rank_by_state),
     "q20_biggest_order_customer": _sales(sales.biggest_order_customer),
     "q21_products_never_sold": _sales(sales.products_never_sold),
+    "q21_products_unsold_in_period": _products_unsold,
     "q22_orders_above_city_avg": _sales(sales.orders_above_city_average),
     "q23_high_value_customers": _sales(sales.high_value_customers, above=HIGH_VALUE),
     "q24_customer_orders": _customer_orders,
@@ -214,6 +326,8 @@ PREPARATION: dict[str, Query] = {
     "p05_sales_master": _sales_master,
     "p06_csv_roundtrip": _csv_roundtrip,
     "p07_table_replace": _table_replace,
+    "p08_csv_load": _csv_load,
+    "p09_low_stock_export": _stock_export,
 }
 
 DASHBOARD: dict[str, Query] = {
@@ -234,6 +348,15 @@ DASHBOARD: dict[str, Query] = {
     "d15_profit_margin": _dashboard(dashboard.profit_margin, NARROW),
     "d16_profit_by_category": _dashboard(dashboard.profit_by_category),
     "d17_daily_profit": _dashboard(dashboard.daily_profit, TWO_YEARS),
+    "d02_filter_options_all": _dashboard(dashboard.filter_options),
+    "d03_home_kpis_all": _dashboard(dashboard.home_kpis),
+    "d04_revenue_by_category_all": _dashboard(dashboard.revenue_by_category),
+    "d05_order_status_counts_all": _dashboard(dashboard.order_status_counts),
+    "d10_top_brands_all": _dashboard(dashboard.top_brands),
+    "d11_items_by_category_all": _dashboard(dashboard.items_by_category),
+    "d14_top_states_all": _dashboard(dashboard.top_states),
+    "d15_profit_margin_all": _dashboard(dashboard.profit_margin),
+    "d17_daily_profit_all": _dashboard(dashboard.daily_profit),
     "d18_low_stock_report": _dashboard(dashboard.low_stock_report, threshold=LOW_STOCK),
     "d18_low_stock_count": _dashboard(dashboard.low_stock_count, threshold=LOW_STOCK),
     "d18_lowest_stock": _dashboard(dashboard.lowest_stock, threshold=LOW_STOCK),
@@ -262,14 +385,21 @@ MEASURES: dict[str, Query] = {
     "m14_payment_share": _payments(measures.payment_share),
     "m15_delivery_histogram": _measure(measures.delivery_histogram, PURCHASED, DELIVERED),
     "m16_year_quarter_slice": _measure(
-        measures.revenue_in_period, PURCHASED, year=SLICE_YEAR, quarter=SLICE_QUARTER
+        measures.revenue_in_period, PURCHASED, chosen=QUARTER, year=SLICE_YEAR, quarter=SLICE_QUARTER
+    ),
+    "m01_core_kpis_sliced": _measure(measures.core_kpis, "review_score", chosen=SLICE),
+    "m04_mom_growth_sliced": _measure(measures.mom_growth, PURCHASED, chosen=SLICE),
+    "m12_state_details_sliced": _measure(
+        measures.core_kpis, "customer_state", "review_score", by=("customer_state",), chosen=SLICE
     ),
+    "m17_translated_categories": _translated_categories,
+    "m18_located_customers": _located_customers,
 }
 
 MARTS: dict[str, Query] = {
     "v_sales_summary": _sales_summary,
     "v_monthly_sales": _measure(marts.monthly_sales, PURCHASED),
-    "v_category_performance": _category_performance,
+    "v_category_performance": _part_kpis,
     "v_customer_segments": _measure(marts.customer_segments, "customer_unique_id", PURCHASED),
     "v_customer_segment_counts": _segment_counts,
     "v_seller_performance": _seller_performance,
@@ -278,6 +408,7 @@ MARTS: dict[str, Query] = {
     ),
     "v_payment_analysis": _payments(marts.payment_analysis),
     "k04_refresh_marts": _refresh_marts,
+    "k05_catalog_tables": _catalog_tables,
 }
 
 CHECKS: dict[str, Query] = {

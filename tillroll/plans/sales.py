@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.money import reported
-from tillroll.functions.ratios import percent, ratio
+from tillroll.functions.ratios import ratio, rounded_ratio
 from tillroll.model import RetailTables
 from tillroll.operators import averages, membership, periods, ranking, toplists
+from tillroll.operators.filters import SalesFilter, orders_in_scope
 from tillroll.plans.rollups import profit_of_product, sales_per_product
 from tillroll.sources.catalog import replace_view
 
@@ -56,8 +57,8 @@ def top_days(t: RetailTables, n: int = 10, status: str = DELIVERED) -> DataFrame
 
 
 def average_order_value(t: RetailTables, status: str = DELIVERED) -> DataFrame:
-    mean = ratio(F.sum("total_amount"), F.count("total_amount"))
-    return _with_status(t, status).agg(F.round(mean, 2).alias("average_order_value"))
+    mean = rounded_ratio(F.sum("total_amount"), F.count("total_amount"))
+    return _with_status(t, status).agg(mean.alias("average_order_value"))
 
 
 def top_customers(t: RetailTables, n: int = 10, status: str = DELIVERED) -> DataFrame:
@@ -137,7 +138,7 @@ def profit_margin(t: RetailTables, status: str = DELIVERED) -> DataFrame:
     total_profit = F.sum(profit_of_product())
     return delivered.agg(
         reported(total_profit).alias("total_profit"),
-        F.round(percent(total_profit, F.sum("revenue")), 2).alias(
+        rounded_ratio(total_profit * 100, F.sum("revenue")).alias(
             "overall_profit_margin_percentage"
         ),
     )
@@ -158,13 +159,14 @@ def monthly_growth(t: RetailTables, status: str = DELIVERED) -> DataFrame:
         .groupBy("order_year", "order_month")
         .agg(F.sum("total_amount").alias("revenue"))
     )
-    growth = periods.growth_percent(F.col("revenue"), F.col("prev_month_revenue"))
+    before = F.col("prev_month_revenue")
+    growth = rounded_ratio((F.col("revenue") - before) * 100, before)
     return periods.with_previous_row(monthly, "revenue", "prev_month_revenue").select(
         "order_year",
         "order_month",
         reported("revenue").alias("revenue"),
         reported("prev_month_revenue").alias("prev_month_revenue"),
-        F.round(growth, 2).alias("growth_rate_percentage"),
+        growth.alias("growth_rate_percentage"),
     )
 
 
@@ -189,8 +191,13 @@ def biggest_order_customer(t: RetailTables) -> DataFrame:
     return t.customers.where(F.col("customer_id") == buyer).select("customer_name", "city")
 
 
-def products_never_sold(t: RetailTables) -> DataFrame:
-    unsold = membership.not_in(t.products, t.order_items, "product_id")
+def products_never_sold(t: RetailTables, chosen: SalesFilter = SalesFilter()) -> DataFrame:
+    """Products without a line, or without one in the chosen days and states."""
+    sold = t.order_items
+    if chosen.narrows_orders:
+        orders = orders_in_scope(t.orders, t.customers, chosen).select("order_id")
+        sold = sold.join(orders, "order_id", "left_semi")
+    unsold = membership.not_in(t.products, sold, "product_id")
     return unsold.select("product_name", "category")
 
 
@@ -213,7 +220,7 @@ def high_value_customers(
     """Customers whose orders of any status sum to more than ``above``, as a view."""
     spend = t.orders.groupBy("customer_id").agg(F.sum("total_amount").alias("total_spent"))
     rows = spend.where(F.col("total_spent") > above).join(
-        t.customers.select("customer_id", "customer_name"), "customer_id"
+        t.customer_names, "customer_id"
     )
     return replace_view(
         rows.select("customer_id", "customer_name", reported("total_spent").alias("total_spent")),

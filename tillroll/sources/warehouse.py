@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.operators.filters import SalesFilter, products_in_scope
 from tillroll.plans import preparation
 
 # Declared, so that opening a table runs no job to look at its files.
@@ -53,6 +54,11 @@ class WarehouseTables:
             )
         )
 
+    @cached_property
+    def customer_names(self) -> DataFrame:
+        """Without the place, which takes two joins."""
+        return self.scan("customer").selectExpr("c_custkey AS customer_id", "c_name AS customer_name")
+
     @cached_property
     def products(self) -> DataFrame:
         return self.scan("part").selectExpr(
@@ -106,7 +112,8 @@ class WarehouseTables:
         rows = self.registered_customers.withColumn(
             "email", F.expr("CASE WHEN customer_id % 20 != 0 THEN concat(customer_name, '@x') END")
         )
-        return rows.unionByName(rows.where("customer_id % 100 = 0"))
+        copies = F.explode(F.expr("sequence(0, if(customer_id % 100 = 0, 1, 0))"))
+        return rows.withColumn("copy", copies).drop("copy")
 
     def named(self) -> dict[str, DataFrame]:
         return {
@@ -129,36 +136,102 @@ class PreparedTables(WarehouseTables):
 
 
 class WarehouseStore:
-    """The marketplace model behind the marts."""
+    """The marketplace model behind the marts, or the part of it that a report's slicers leave.
 
-    def __init__(self, spark: SparkSession, folder: str):
+    A slice has the lines of the chosen categories, in the orders of the chosen
+    days and customer states, and these orders' payments and reviews. Its
+    conditions meet the scans before any sum.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, chosen: SalesFilter = SalesFilter()):
         self._tables = WarehouseTables(spark, folder)
+        self._chosen = chosen
+
+    def sliced(self, chosen: SalesFilter) -> WarehouseStore:
+        return WarehouseStore(self._tables._spark, self._tables._folder, chosen)
 
     @cached_property
     def orders(self) -> DataFrame:
-        last_arrival = (
-            self._tables.scan("lineitem")
-            .groupBy(F.col("l_orderkey").alias("order_id"))
-            .agg(F.max("l_shipdate").alias("last_arrival"))
-        )
-        purchases = self._tables.scan("orders").selectExpr(
+        """Orders with their delivery and mean review, both from one read of the lines."""
+        from_lines = self._line_sums.drop("price", "lines")
+        return self._delivered(self._purchases.join(from_lines, "order_id", "left"))
+
+    def order_facts(self, *columns: str) -> DataFrame:
+        """The rows of :func:`measures.order_facts`, from one read of the lines.
+
+        Delivery, review, price and line count of an order are sums over the
+        same lines, so they leave one aggregate together.
+        """
+        facts = self._line_sums
+        if set(columns) - {"review_score"}:
+            orders = self._purchases
+            if {"customer_unique_id", "customer_state"} & set(columns):
+                orders = orders.join(self.customers, "customer_id", "left")
+            facts = self._delivered(facts.join(orders, "order_id", "left"))
+        return facts.where("lines > 0").select("order_id", "price", "lines", *columns)
+
+    @cached_property
+    def _scanned_orders(self) -> DataFrame:
+        orders = self._tables.scan("orders")
+        if self._chosen.has_dates:
+            orders = orders.where(self._chosen.date_condition(F.col("o_orderdate")))
+        if self._chosen.states:
+            here = self.customers.where(F.col("customer_state").isin(*self._chosen.states))
+            here = here.select(F.col("customer_id").alias("o_custkey"))
+            orders = orders.join(here, "o_custkey", "left_semi")
+        return orders
+
+    @cached_property
+    def _scanned_lines(self) -> DataFrame:
+        """Lines of the chosen orders, with ``wanted``: whether the category is a chosen one."""
+        lines = self._tables.scan("lineitem")
+        if self._chosen.narrows_orders:
+            kept = self._scanned_orders.select(F.col("o_orderkey").alias("l_orderkey"))
+            lines = lines.join(kept, "l_orderkey", "left_semi")
+        if not self._chosen.categories:
+            return lines.withColumn("wanted", F.lit(True))
+        parts = products_in_scope(self.products, self._chosen)
+        parts = parts.select(F.col("product_id").alias("l_partkey"), F.lit(True).alias("wanted"))
+        return lines.join(parts, "l_partkey", "left")
+
+    @cached_property
+    def _purchases(self) -> DataFrame:
+        return self._scanned_orders.selectExpr(
             "o_orderkey AS order_id",
             "o_custkey AS customer_id",
             "o_orderdate AS order_purchase_timestamp",
             "o_orderdate + INTERVAL 60 DAYS AS order_estimated_delivery_date",
         )
-        return purchases.join(last_arrival, "order_id", "left").selectExpr(
-            "order_id",
-            "customer_id",
-            "order_purchase_timestamp",
-            "order_estimated_delivery_date",
-            "CASE WHEN last_arrival >= order_purchase_timestamp THEN last_arrival END"
-            " AS order_delivered_customer_date",
+
+    @cached_property
+    def _line_sums(self) -> DataFrame:
+        """price, lines, last_arrival and review_score of each order that has lines.
+
+        Price and lines are those of the chosen categories; delivery and
+        review are the order's own.
+        """
+        score = "least(l_linenumber, 5)"
+        price = F.expr("CAST(l_extendedprice AS DECIMAL(18,2))")
+        return (
+            self._scanned_lines.groupBy(F.col("l_orderkey").alias("order_id"))
+            .agg(
+                F.sum(F.when(F.col("wanted"), price)).alias("price"),
+                F.count_if("wanted").alias("lines"),
+                F.max("l_shipdate").alias("last_arrival"),
+                F.expr(f"CAST(max({score}) + min({score}) AS DOUBLE) / 2").alias("review_score"),
+            )
+        )
+
+    @staticmethod
+    def _delivered(orders: DataFrame) -> DataFrame:
+        known = "CASE WHEN last_arrival >= order_purchase_timestamp THEN last_arrival END"
+        return orders.withColumn("order_delivered_customer_date", F.expr(known)).drop(
+            "last_arrival"
         )
 
     @cached_property
     def order_items(self) -> DataFrame:
-        return self._tables.scan("lineitem").selectExpr(
+        return self._scanned_lines.where("wanted").selectExpr(
             "l_orderkey AS order_id",
             "l_partkey AS product_id",
             "l_suppkey AS seller_id",
@@ -167,19 +240,29 @@ class WarehouseStore:
 
     @cached_property
     def order_payments(self) -> DataFrame:
-        return self._tables.scan("orders").selectExpr(
+        """One payment for most orders; every third has two vouchers of 30 % besides."""
+        amount = "CAST(o_totalprice AS DECIMAL(18,2))"
+        voucher = f"CAST({amount} * 0.3 AS DECIMAL(18,2))"
+        several = "o_orderkey % 3 = 0"
+        rows = self._scanned_orders.withColumn(
+            "nth", F.expr(f"explode(sequence(0, if({several}, 2, 0)))")
+        )
+        return rows.selectExpr(
             "o_orderkey AS order_id",
-            "o_orderpriority AS payment_type",
-            "CAST(o_orderkey % 24 + 1 AS INT) AS payment_installments",
-            "CAST(o_totalprice AS DECIMAL(18,2)) AS payment_value",
+            "if(nth = 0, o_orderpriority, 'VOUCHER') AS payment_type",
+            "CAST(if(nth = 0, o_orderkey % 24 + 1, 1) AS INT) AS payment_installments",
+            f"CAST(CASE WHEN nth > 0 THEN {voucher} WHEN {several} THEN {amount} - 2 * {voucher}"
+            f" ELSE {amount} END AS DECIMAL(18,2)) AS payment_value",
         )
 
     @cached_property
     def order_reviews(self) -> DataFrame:
+        """Two reviews per order."""
+        score = "least(l_linenumber, 5)"
         return (
-            self._tables.scan("lineitem")
-            .groupBy(F.col("l_orderkey").alias("order_id"))
-            .agg(F.expr("max(least(l_linenumber, 5)) AS review_score"))
+            self._scanned_lines.groupBy(F.col("l_orderkey").alias("order_id"))
+            .agg(F.expr(f"array(max({score}), min({score}))").alias("scores"))
+            .select("order_id", F.explode("scores").alias("review_score"))
         )
 
     @cached_property
