@@ -104,3 +104,51 @@ def test_lines_shuffle_once_for_revenue_by_payment_method(spark):
     assert sorted(exchanges) == ["order_id", "order_id", "payment_method"]
     # the lines are summed per order below their exchange
     assert plan.count("partial_sum") == 2
+
+
+def scans(plan: str, table: str) -> int:
+    return len(re.findall(rf"FileScan parquet [^\n]*{table}\.parquet", plan))
+
+
+@pytest.mark.parametrize(
+    ("key", "lines"),
+    [
+        ("m01_core_kpis", 1),
+        ("m02_on_time_pct", 1),
+        ("m03_avg_delivery_days", 1),
+        ("m12_state_details", 1),
+        ("m15_delivery_histogram", 1),
+        ("v_regional_sales", 1),
+        ("v_sales_summary", 2),
+        ("v_seller_performance", 2),
+        ("m13_category_details", 2),
+        ("d02_filter_options", 2),
+        ("d03_home_kpis", 1),
+    ],
+)
+def test_the_lines_are_read_as_often_as_needed(spark, key, lines):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    try:
+        assert scans(physical(spark, key), "lineitem") == lines
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+@pytest.mark.parametrize("key", ["d03_home_kpis", "d05_order_status_counts", "d06_daily_sales", "d17_daily_profit", "m16_year_quarter_slice"])
+def test_a_filter_on_orders_meets_the_lines_before_they_are_summed(spark, key):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical(spark, key)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Children are printed below their parents: the first sum of the lines stands above a join.
+    depth = {}
+    for line in plan.split("\n"):
+        mark = re.search(r"[A-Z*]", line)
+        indent = mark.start() if mark else 0
+        depth = {d: n for d, n in depth.items() if d < indent} | {indent: line}
+        if "lineitem" in line and "FileScan" in line:
+            above = [depth[d] for d in sorted(depth)]
+            joins = [i for i, n in enumerate(above) if "Join" in n]
+            sums = [i for i, n in enumerate(above) if "HashAggregate" in n]
+            assert joins and max(joins) > max(sums)
