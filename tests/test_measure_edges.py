@@ -1,11 +1,18 @@
 from __future__ import annotations
 
+import os
+from dataclasses import fields, replace
+from datetime import date
+
 import pytest
+from pyspark.sql import functions as F
 from tables import row_set, rows, store
 
+from tillroll import SalesFilter, StoreModel
 from tillroll.plans import marts, measures
 from tillroll.plans.measures import DELIVERED, ESTIMATED, PURCHASED
 from tillroll.sources.catalog import import_views
+from tillroll.sources.warehouse import WarehouseStore
 
 
 @pytest.fixture(scope="module")
@@ -174,8 +181,64 @@ def test_segments_cover_every_person_once(spark, shop):
 
 def test_refresh_twice_gives_the_same_marts(spark, shop, tmp_path):
     first = row_set(marts.refresh(shop, str(tmp_path)))
+    reader = spark.table("v_monthly_sales")
+    expected = {("2024-01", 2), ("2024-03", 1), ("2025-02", 1)}
     assert first == row_set(marts.refresh(shop, str(tmp_path)))
     assert dict(first)["v_sales_summary"] == 6
     assert import_views(spark, ["v_sales_summary"])["v_sales_summary"].count() == 6
-    stored = spark.read.parquet(str(tmp_path / "v_monthly_sales"))
-    assert row_set(stored.select("month", "order_count")) == {("2024-01", 2), ("2024-03", 1), ("2025-02", 1)}
+    # who opened the earlier refresh still reads it, and the view has moved on
+    assert row_set(reader.select("month", "order_count")) == expected
+    assert row_set(spark.table("v_monthly_sales").select("month", "order_count")) == expected
+    assert reader.inputFiles() != spark.table("v_monthly_sales").inputFiles()
+
+
+def test_refresh_keeps_the_last_ones_and_no_intermediates(spark, shop, tmp_path):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    for _ in range(4):
+        marts.refresh(shop, str(tmp_path), keep=2)
+    assert len([n for n in os.listdir(tmp_path) if n.startswith(marts.REFRESH)]) == 2
+    assert set(os.listdir(shared)) == before
+    assert spark.table("v_sales_summary").count() == 6
+
+
+def test_a_failed_refresh_leaves_the_views(spark, shop, tmp_path):
+    marts.refresh(shop, str(tmp_path))
+    broken = replace(shop, order_payments=shop.order_payments.drop("payment_installments"))
+    with pytest.raises(Exception, match="payment_installments"):
+        marts.refresh(broken, str(tmp_path))
+    assert spark.table("v_monthly_sales").count() == 3
+
+
+def test_the_type_that_paid_most_in_all(spark):
+    paid = [("o1", "card", 1, "100"), ("o1", "voucher", 1, "60"), ("o1", "voucher", 2, "60"), ("o2", "card", 3, "5")]
+    df = spark.createDataFrame(paid, "order_id string, payment_type string, payment_installments int, amount string")
+    df = df.withColumn("payment_value", df.amount.cast("decimal(10,2)"))
+    found = {r.order_id: r for r in marts.payments_per_order(df).collect()}
+    assert (found["o1"].payment_type, found["o1"].payment_installments, found["o1"].payment_value) == ("voucher", 2, 220)
+    assert found["o2"].payment_type == "card"
+
+
+def test_a_slice_is_the_model_of_what_is_left(spark, shop):
+    chosen = SalesFilter(start=date(2024, 1, 1), end=date(2024, 12, 31))
+    facts = measures.order_facts(measures.sliced(shop, chosen), PURCHASED)
+    whole = measures.order_facts(shop, PURCHASED).where("year(order_purchase_timestamp) = 2024")
+    assert row_set(facts) == row_set(whole)
+    assert row_set(measures.order_facts(measures.sliced(shop, SalesFilter()))) == row_set(measures.order_facts(shop))
+    (category,) = {r[0] for r in shop.products.select("category").limit(1).collect()}
+    lines = measures.sliced(shop, SalesFilter(categories=(category,))).order_items
+    kept = shop.order_items.join(shop.products, "product_id").where(F.col("category") == category)
+    assert lines.count() == kept.count()
+
+
+def test_the_store_slices_as_the_model_does(spark):
+    store = WarehouseStore(spark, "/root/testdata/sf0.001")
+    model = StoreModel(**{f.name: getattr(store, f.name) for f in fields(StoreModel)})
+    chosen = SalesFilter(date(1997, 1, 1), date(1999, 12, 31), ("ECONOMY", "SMALL"), ("NATION_1", "NATION_4"))
+    columns = ("customer_state", "review_score", PURCHASED, measures.DELIVERED)
+    for one in (chosen, SalesFilter(states=("NATION_2",)), SalesFilter()):
+        sliced = row_set(store.sliced(one).order_facts(*columns))
+        joined = measures.order_facts(measures.sliced(model, one), *columns)
+        assert sliced and sliced == row_set(joined.select("order_id", "price", "lines", *columns))
+        payments = measures.sliced(model, one).order_payments
+        assert row_set(store.sliced(one).order_payments) == row_set(payments)

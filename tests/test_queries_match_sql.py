@@ -31,3 +31,11 @@ def test_same_rows(spark, con, key):
 
 def test_entry_runs(spark):
     assert entry_point.entry(spark).count() == 10
+
+
+def test_every_mart_of_a_refresh_has_the_right_rows(spark, con):
+    QUERIES["k04_refresh_marts"](spark, FOLDER)
+    for name in [k for k in SQL if k.startswith("v_") and k != "v_customer_segment_counts"]:
+        mart = spark.table(name)
+        money = {c: mart[c].cast("double") for c, kind in mart.dtypes if kind.startswith("decimal")}
+        assert assert_same(mart.withColumns(money), con, SQL[name]) > 0

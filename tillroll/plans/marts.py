@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,11 +16,13 @@ from tillroll.model import StoreModel
 from tillroll.operators import quantiles
 from tillroll.plans import measures
 from tillroll.plans.measures import DELIVERED, ESTIMATED, PURCHASED
-from tillroll.session import stored
+from tillroll.session import remove_folder, scratch, stored, subfolders
 from tillroll.sources.catalog import replace_view
 from tillroll.sources.files import replace_table
 
 RFM_PARTS = 5
+REFRESH = "refresh-"
+REFRESH_FORMAT = f"{REFRESH}%Y%m%dT%H%M%S.%f"
 
 
 def sales_summary(model: StoreModel) -> DataFrame:
@@ -186,18 +190,37 @@ def segment_counts(segments: DataFrame) -> DataFrame:
     )
 
 
-def refresh(model: StoreModel, folder: str) -> DataFrame:
-    """Recompute and replace all marts below ``folder``; returns their row counts.
+def refresh(model: StoreModel, folder: str, keep: int = 2) -> DataFrame:
+    """Recompute all marts below ``folder``; returns their row counts.
 
-    Each mart also becomes a session view under its own name.
+    Every refresh writes a folder of its own. Once all marts are there, the
+    session views of their names move to it, so a reader never meets a missing
+    or half-written mart, and one that opened an earlier refresh keeps its
+    files. The last ``keep`` refreshes stay, older ones are deleted. A refresh
+    that fails leaves the views where they were.
 
     The summary is written first and the other marts start from it, so the
     joins run once per refresh. Its lines are summed per order once more and
-    stored for the three marts at order grain. A rerun after a failure
-    replaces every table.
+    stored for the three marts at order grain, until the marts are written.
     """
+    spark = model.order_items.sparkSession
     folder = folder.rstrip("/")
-    summary = replace_table(sales_summary(model), f"{folder}/v_sales_summary")
+    target = f"{folder}/{datetime.now(UTC):{REFRESH_FORMAT}}-{uuid.uuid4().hex[:8]}"
+    with scratch(spark):
+        written = _write_marts(model, target)
+    views = {name: replace_view(df, name) for name, df in written.items()}
+    refreshes = [name for name in subfolders(spark, folder) if name.startswith(REFRESH)]
+    for old in refreshes[: -max(keep, 1)]:
+        remove_folder(spark, f"{folder}/{old}")
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("mart"), "row_count")
+        for name, df in views.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _write_marts(model: StoreModel, target: str) -> dict[str, DataFrame]:
+    summary = replace_table(sales_summary(model), f"{target}/v_sales_summary")
     order_columns = ("customer_state", "customer_unique_id", "review_score", PURCHASED)
     seller = ("seller_id", "review_score", PURCHASED, DELIVERED)
     orders = stored(summary_facts(summary, *order_columns), "order-facts")
@@ -213,12 +236,6 @@ def refresh(model: StoreModel, folder: str) -> DataFrame:
         "v_regional_sales": regional_sales(orders),
         "v_payment_analysis": payment_analysis(model.order_payments),
     }
-    written = {"v_sales_summary": summary} | {
-        name: replace_table(mart, f"{folder}/{name}") for name, mart in marts.items()
+    return {"v_sales_summary": summary} | {
+        name: replace_table(mart, f"{target}/{name}") for name, mart in marts.items()
     }
-    views = {name: replace_view(df, name) for name, df in written.items()}
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("mart"), "row_count")
-        for name, df in views.items()
-    ]
-    return reduce(DataFrame.unionByName, counts)

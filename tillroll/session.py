@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,12 +69,55 @@ def run_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+# Folders that stored() made inside the innermost scratch() block.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write an intermediate table below the shared folder and read it back.
 
     Later steps start from files that outlive any executor, instead of
-    recomputing the joins above them.
+    recomputing the joins above them. The files stay until the end of the
+    :func:`scratch` block around the call, or, without one, until their owner
+    deletes the shared folder.
     """
     path = run_folder(df.sparkSession, purpose)
+    if (made := _made.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables stored inside, once the results are written.
+
+    with scratch(spark):
+        customer_segments(facts).write.parquet(target)
+    """
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        for path in _made.get():
+            remove_folder(spark, path)
+        _made.reset(token)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it lies."""
+    folder, system = _file_system(spark, path)
+    system.delete(folder, True)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a folder, in order; none if it does not exist."""
+    folder, system = _file_system(spark, path)
+    if not system.exists(folder):
+        return []
+    return sorted(s.getPath().getName() for s in system.listStatus(folder) if s.isDirectory())
+
+
+def _file_system(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
