@@ -5,7 +5,8 @@
 3. Two fingerprints that differ in at most r bits agree on at least one of r + 1 blocks of bits. Every
    fingerprint therefore goes to r + 1 shards, dealt by block and block value, and a shard's BK-tree has all
    partners that agree on that block. Shards hold a bounded number of fingerprints. Where one block value
-   alone has more, it is dealt over several trees, and its fingerprints are looked up in each of these.
+   alone has more, its fingerprints are dealt over several trees, and each tree is searched for those of the
+   others a bounded number at a time.
    The trees are met by their queries through this shuffle and are not broadcast from the driver: together
    they grow with the input.
 4. A shard returns a spanning forest of the links it found, not the pairs. The links of all shards give
@@ -80,9 +81,13 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
 
 
 def _forest(values: np.ndarray, members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For fingerprints linked within the radius of a member: the fingerprint and the first of its group."""
+    """For fingerprints linked within the radius of a member: the fingerprint and the first of its group.
+
+    The members are a tree. The others look for them; where there are no others, the members do.
+    """
     tree = BKTree(values[members], radius)
     place = np.flatnonzero(members)
+    asking = place if members.all() else np.flatnonzero(~members)
     parent = np.arange(len(values))
 
     def root(x: int) -> int:
@@ -90,8 +95,8 @@ def _forest(values: np.ndarray, members: np.ndarray, radius: int) -> tuple[np.nd
             parent[x] = x = parent[parent[x]]
         return x
 
-    for asked, nodes in tree.search(values):
-        a, b = asked, place[nodes]
+    for asked, nodes in tree.search(values[asking]):
+        a, b = asking[asked], place[nodes]
         while True:
             up_a, up_b = parent[a], parent[b]
             if (up_a == a).all() and (up_b == b).all():
@@ -115,26 +120,32 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
         for i, (first, width) in enumerate(_blocks(radius))
     ]
     keyed = distinct.select("fp", F.explode(F.array(*value)).alias("k")).select("fp", "k.block", "k.value")
-    # Where one value has more than a shard, it has several trees, of which a fingerprint is in one.
+    # Where one value has more than a shard, a fingerprint is in the tree of its own piece and asks the others'.
     crowded = keyed.groupBy("block", "value").count().where(F.col("count") > shard)
-    crowded = crowded.select("block", "value", F.ceil(F.col("count") / shard).cast("int").alias("trees"))
+    crowded = crowded.select("block", "value", F.ceil(F.col("count") / shard).cast("int").alias("pieces"))
     keyed = keyed.join(crowded, ["block", "value"], "left")
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("trees"))
-    asked = keyed.select(
+    alone = F.col("pieces").isNull()
+    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.coalesce("pieces", F.lit(1))).cast("int")
+    dealt = keyed.select(
         "fp",
-        F.when(F.col("trees").isNull(), F.pmod(F.xxhash64("block", "value"), F.lit(shards))).otherwise(F.xxhash64("block", "value")).alias("shard"),
-        F.explode(F.sequence(F.lit(0), F.coalesce("trees", F.lit(1)) - 1)).alias("tree"),
+        F.when(alone, F.pmod(F.xxhash64("block", "value"), F.lit(shards))).otherwise(F.xxhash64("block", "value")).alias("shard"),
         own.alias("own"),
-    ).select("fp", "shard", "tree", (F.col("tree") == F.coalesce("own", F.lit(0))).alias("member"))
+        F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("other"),
+    )
+    # Links go both ways, so that of two pieces the later one asks the earlier one's tree.
+    asked = dealt.select(
+        "fp", "shard", F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("asking"), (F.col("own") <= F.col("other")).alias("member")
+    )
 
     def search(key, table):
         table = table.group_by("fp").aggregate([("member", "max")])
         values = table["fp"].to_numpy()
         member = table["member_max"].to_numpy(zero_copy_only=False).astype(bool)
-        a, b = _forest(values.view(np.uint64), member, radius)
+        # A piece whose tree is empty here has nobody to link.
+        a, b = _forest(values.view(np.uint64), member, radius) if member.any() else (values[:0], values[:0])
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return asked.groupBy("shard", "tree").applyInArrow(search, "a long, b long")
+    return asked.groupBy("shard", "tree", "asking").applyInArrow(search, "a long, b long")
 
 
 def near_groups(
