@@ -28,32 +28,46 @@ def base32(digest: Column) -> Column:
     parts = []
     for start in range(1, 41, 5):
         bits = F.conv(F.substring(digest, start, 5), 16, 10).cast("int")
-        parts += [F.substr(F.lit(BASE32), F.shiftright(bits, shift).bitwiseAND(31) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
+        places = [F.shiftright(bits, shift).bitwiseAND(31) + 1 for shift in (15, 10, 5, 0)]
+        parts += [F.substr(F.lit(BASE32), place, F.lit(1)) for place in places]
     return F.concat(*parts)
 
 
-def _header(record_type: Column, page: Column, uri: Column, sha1: Column, refers_to: Column, length: Column, date: str) -> Column:
+def _urn(page: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(">"))
+
+
+def _line(name: str, value: Column) -> Column:
+    return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+
+
+def _header(record_type: Column, date: str) -> Column:
     """Header lines of a record and the empty line behind them. A line break in an address is escaped."""
-    address = F.replace(F.replace(uri, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    urn = lambda value: F.concat(F.lit("<urn:page:"), F.coalesce(value.cast("string"), F.lit("")), F.lit(">"))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    address = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    refers_to = F.concat(_line("WARC-Refers-To", _urn(F.col("owner"))), _line("WARC-Profile", F.lit(PROFILE)))
     revisit = record_type == "revisit"
     return F.concat(
         F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", record_type),
-        line("WARC-Record-ID", urn(page)),
-        F.coalesce(line("WARC-Target-URI", address), F.lit("")),
-        line("WARC-Date", F.lit(date)),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(sha1))),
-        F.when(revisit, F.concat(line("WARC-Refers-To", urn(refers_to)), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.when(revisit, F.lit(0)).otherwise(length).cast("string")),
+        _line("WARC-Type", record_type),
+        _line("WARC-Record-ID", _urn(F.col("page_id"))),
+        F.coalesce(_line("WARC-Target-URI", address), F.lit("")),
+        _line("WARC-Date", F.lit(date)),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha1")))),
+        F.when(revisit, refers_to).otherwise(""),
+        _line("Content-Type", F.lit("text/html; charset=utf-8")),
+        _line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("bytes")).cast("string")),
         F.lit("\r\n"),
     )
 
 
 def write_archive(
-    pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, date: str = DATE
+    pages: DataFrame,
+    folder: str,
+    page_id: str = "page_id",
+    url: str = "url",
+    payload: str = "html",
+    least_bytes: int = 0,
+    date: str = DATE,
 ) -> None:
     """Write a record for each row of pages below folder, which must not hold an archive yet.
 
@@ -83,15 +97,15 @@ def write_archive(
     known = rows.select("page_id", "url", "digest", "sha1", "bytes").join(owners, "digest")
     own = F.col("page_id").eqNullSafe(F.col("owner")) | (F.col("bytes") < least_bytes)
     kind = F.when(own, "response").otherwise("revisit")
-    header = _header(kind, F.col("page_id"), F.col("url"), F.col("sha1"), F.col("owner"), F.col("bytes"), date)
-    known.select("digest", header.alias("header")).write.parquet(f"{folder}/headers")
+    known.select("digest", _header(kind, date).alias("header")).write.parquet(f"{folder}/headers")
 
 
 def _payloads(spark: SparkSession, folder: str) -> DataFrame:
     """(digest, payload) with each payload checked against its digest."""
     rows = spark.read.parquet(f"{folder}/payloads")
-    checked = F.when(F.unhex(F.sha2("payload", 256)) == F.col("digest"), F.col("payload"))
-    return rows.select("digest", F.coalesce(checked, F.raise_error(F.lit("a payload differs from its digest")).cast("binary")).alias("payload"))
+    damaged = F.raise_error(F.lit("a payload differs from its digest")).cast("binary")
+    intact = F.unhex(F.sha2("payload", 256)) == F.col("digest")
+    return rows.select("digest", F.when(intact, F.col("payload")).otherwise(damaged).alias("payload"))
 
 
 def _field(name: str) -> Column:
@@ -112,15 +126,17 @@ def read_records(spark: SparkSession, folder: str, id_type: str = "long") -> Dat
     stops the job.
     """
     found = _payloads(spark, folder).select(
-        "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32(F.sha1("payload")).alias("payload_digest")
+        "digest",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        base32(F.sha1("payload")).alias("payload_digest"),
     )
-    told = _field("WARC-Payload-Digest")
-    same = F.concat(F.lit("sha1:"), F.col("payload_digest")) == told
+    same = F.concat(F.lit("sha1:"), F.col("payload_digest")) == _field("WARC-Payload-Digest")
+    other = F.raise_error(F.lit("a header tells another digest"))
     return spark.read.parquet(f"{folder}/headers").join(found, "digest").select(
         _id("WARC-Record-ID", id_type).alias("page_id"),
         _field("WARC-Target-URI").alias("url"),
         "payload_bytes",
-        F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header tells another digest"))).alias("payload_digest"),
+        F.when(same, F.col("payload_digest")).otherwise(other).alias("payload_digest"),
         _field("WARC-Type").alias("record_type"),
         _id("WARC-Refers-To", id_type).alias("refers_to"),
         "header",
@@ -135,7 +151,8 @@ def reconstruct(spark: SparkSession, folder: str, id_type: str = "long") -> Data
     body = F.decode("payload", "UTF-8")
     whole = spark.read.parquet(f"{folder}/headers").join(_payloads(spark, folder), "digest")
     record = F.concat("header", F.when(_field("WARC-Type") == "revisit", F.lit("")).otherwise(body))
-    return whole.select(_id("WARC-Record-ID", id_type).alias("page_id"), record.alias("record"), body.alias("payload"))
+    page_id = _id("WARC-Record-ID", id_type)
+    return whole.select(page_id.alias("page_id"), record.alias("record"), body.alias("payload"))
 
 
 def export_warc(spark: SparkSession, folder: str, target: str) -> None:

@@ -18,7 +18,8 @@ class Tree:
     value: list[float] = field(default_factory=list)
 
     def add(self, value: float) -> int:
-        for column, empty in ((self.feature, -1), (self.cut, 0.0), (self.left, 0), (self.right, 0), (self.value, value)):
+        columns = (self.feature, self.cut, self.left, self.right, self.value)
+        for column, empty in zip(columns, (-1, 0.0, 0, 0, value)):
             column.append(empty)
         return len(self.value) - 1
 
@@ -69,7 +70,8 @@ class BoostedTrees:
             place = np.searchsorted(cuts[feature], rows[at, feature], side="left")  # bin i: value <= cut i
             bins = len(cuts[feature]) + 1
             sums, masses, counts = (
-                np.bincount(place, values, bins)[:-1].cumsum() for values in (gradient[at], weight[at], np.ones(len(at)))
+                np.bincount(place, values, bins)[:-1].cumsum()
+                for values in (gradient[at], weight[at], np.ones(len(at)))
             )
             gain = sums**2 / (masses + self.shrink) + (total - sums) ** 2 / (mass - masses) - total**2 / mass
             gain[(counts < self.least) | (len(at) - counts < self.least)] = 0

@@ -37,8 +37,8 @@ def connected(links: DataFrame, most_steps: int = 200) -> DataFrame:
     Links with a null end or from a node to itself are left out; repeated links count once. No links, no rows.
     """
     a, b = (F.col(f"`{name}`") for name in links.columns)
-    links = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b and a is not null and b is not null")
-    links = stored(links.distinct(), "links")
+    links = links.where((a != b) & a.isNotNull() & b.isNotNull())
+    links = stored(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
     seen = None
     for _ in range(most_steps):
         links = stored(_small_star(_large_star(links)), "links")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tillroll.llm.texts import WORD, WORDS_AT_ONCE, as_text, map_batches, raw_texts, slices
+from tillroll.llm.texts import WORD, WORDS_AT_ONCE, as_text, identified, kind_of, map_batches, raw_texts, slices
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -197,7 +197,8 @@ def _indexes(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
 
 def _found(index: BenchmarkIndex, column: pa.Array) -> list[list[Match]]:
     texts = _texts(column)
-    return [found for part in slices([len(words) for words in texts], WORDS_AT_ONCE) for found in index.matches(texts[part])]
+    parts = slices([len(words) for words in texts], WORDS_AT_ONCE)
+    return [found for part in parts for found in index.matches(texts[part])]
 
 
 def benchmark_matches(
@@ -216,9 +217,9 @@ def benchmark_matches(
     docs or benchmark each give rows. Documents are read whole; a single document is held in memory. Other
     columns are left out. An empty table gives an empty table.
     """
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), as_text(text).alias("text"))
-    kinds = source.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, start long, end long, distance int, similarity double"
+    source = identified(docs, doc_id, text)
+    schema = f"doc_id {kind_of(source, 'doc_id')}, item_id {kind_of(benchmark, item_id)}, start long, end long, "
+    schema += "distance int, similarity double"
     parts = []
     for index in _indexes(benchmark, item_id, item_text, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -227,12 +228,11 @@ def benchmark_matches(
             rows: list[tuple] = []
             for row, found in enumerate(_found(shared.value, batch.column(1))):
                 spots = [m.span() for m in re.finditer(WORD, batch.column(1)[row].as_py())] if found else []
-                rows += [(row, item, spots[first][0], spots[first + words - 1][1], distance, similarity) for item, first, words, distance, similarity in found]
+                for item, first, words, *measured in found:
+                    rows.append((row, item, spots[first][0], spots[first + words - 1][1], *measured))
             columns = [pa.array(c, kind) for c, kind in zip(list(zip(*rows)) or [()] * 6, _ARROW)]
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0).take(columns[0]), shared.value.ids.take(columns[1]), *columns[2:]],
-                ["doc_id", "item_id", "start", "end", "distance", "similarity"],
-            )
+            ids = {"doc_id": batch.column(0).take(columns[0]), "item_id": shared.value.ids.take(columns[1])}
+            return pa.RecordBatch.from_pydict({**ids, **dict(zip(("start", "end", "distance", "similarity"), columns[2:]))})
 
         parts.append(map_batches(source, step, schema))
     if not parts:
@@ -244,7 +244,12 @@ def benchmark_matches(
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns; edge cases as in benchmark_matches."""
     at = docs.columns.index(text)

@@ -23,7 +23,7 @@ from xxhash import xxh64_intdigest
 
 from tillroll.llm.bktree import BITS, BKTree
 from tillroll.llm.components import connected
-from tillroll.llm.texts import as_text, map_batches, raw_texts, spread
+from tillroll.llm.texts import identified, map_batches, raw_texts, spread
 from tillroll.session import stored
 
 SHINGLE_WORDS = 3
@@ -53,7 +53,8 @@ def simhash(hashes: np.ndarray) -> int:
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         whole = len(bits) // _ROWS * _ROWS
         if whole:
-            counts += np.add.reduce(bits[:whole].reshape(-1, _ROWS, BITS), axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+            sums = np.add.reduce(bits[:whole].reshape(-1, _ROWS, BITS), axis=1, dtype=np.uint8)
+            counts += sums.sum(axis=0, dtype=np.int64)
         counts += bits[whole:].sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
@@ -69,7 +70,7 @@ def with_fingerprints(docs: DataFrame, text: str, name: str, shingle_words: int)
     at = docs.columns.index(text)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns, fingerprints_of(batch.column(at), shingle_words)], [*batch.schema.names, name])
+        return batch.append_column(name, fingerprints_of(batch.column(at), shingle_words))
 
     return map_batches(docs, step, docs.select("*", F.lit(0).cast("long").alias(name)).schema)
 
@@ -116,7 +117,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     count = distinct.count()
     shards = spread(distinct.sparkSession, count * (radius + 1), shard)
     value: list[Column] = [
-        F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", first).bitwiseAND((1 << width) - 1).alias("value"))
+        F.struct(
+            F.lit(i).alias("block"),
+            F.shiftrightunsigned("fp", first).bitwiseAND((1 << width) - 1).alias("value"),
+        )
         for i, (first, width) in enumerate(_blocks(radius))
     ]
     keyed = distinct.select("fp", F.explode(F.array(*value)).alias("k")).select("fp", "k.block", "k.value")
@@ -126,15 +130,20 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     keyed = keyed.join(crowded, ["block", "value"], "left")
     alone = F.col("pieces").isNull()
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.coalesce("pieces", F.lit(1))).cast("int")
+    digest = F.xxhash64("block", "value")
     dealt = keyed.select(
         "fp",
-        F.when(alone, F.pmod(F.xxhash64("block", "value"), F.lit(shards))).otherwise(F.xxhash64("block", "value")).alias("shard"),
+        F.when(alone, F.pmod(digest, F.lit(shards))).otherwise(digest).alias("shard"),
         own.alias("own"),
         F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("other"),
     )
     # Links go both ways, so that of two pieces the later one asks the earlier one's tree.
     asked = dealt.select(
-        "fp", "shard", F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("asking"), (F.col("own") <= F.col("other")).alias("member")
+        "fp",
+        "shard",
+        F.least("own", "other").alias("tree"),
+        F.greatest("own", "other").alias("asking"),
+        (F.col("own") <= F.col("other")).alias("member"),
     )
 
     def search(key, table):
@@ -149,7 +158,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
 
 
 def near_groups(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, shard: int = SHARD
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle_words: int = SHINGLE_WORDS,
+    radius: int = RADIUS,
+    shard: int = SHARD,
 ) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs.
 
@@ -157,7 +171,7 @@ def near_groups(
     component_id is the smallest id in reach, null ids left out; it is null where only null ids are in reach.
     Texts of any length are read whole. An empty table gives an empty table.
     """
-    source = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), as_text(text).alias("text"))
+    source = identified(docs, doc_id, text)
     prints = stored(with_fingerprints(source, "text", "fp", shingle_words).select("doc_id", "fp"), "fingerprints")
     return grouped(prints, radius, shard)
 
@@ -176,7 +190,13 @@ def grouped(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
     return prints.join(every, "fp").select("doc_id", "fp", "component_id")
 
 
-def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def first_of_groups(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle_words: int = SHINGLE_WORDS,
+    radius: int = RADIUS,
+) -> DataFrame:
     """One row of docs for each component, with the columns of docs.
 
     It is the row with the smallest id; a row with a null id stays only where its component has no other. Of
@@ -190,7 +210,8 @@ def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("first")
     )
     first = first.select(F.col("first.doc_id").alias("first_id"), F.col("first.fp").alias("first_fp"))
-    kept = prints.join(first, F.col(f"`{doc_id}`").eqNullSafe(F.col("first_id")) & (F.col(mark) == F.col("first_fp")), "left_semi")
+    chosen = F.col(f"`{doc_id}`").eqNullSafe(F.col("first_id")) & (F.col(mark) == F.col("first_fp"))
+    kept = prints.join(first, chosen, "left_semi")
     same = Window.partitionBy(mark, f"`{doc_id}`").orderBy(F.col(f"`{text}`"))
     row = "row_" + mark
     return kept.withColumn(row, F.row_number().over(same)).where(F.col(row) == 1).drop(mark, row)

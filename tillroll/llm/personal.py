@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.boosting import BoostedTrees
-from tillroll.llm.texts import as_text, map_batches
+from tillroll.llm.texts import as_text, identified, kind_of, map_batches
 from tillroll.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -45,7 +45,8 @@ _NUMBER = re.compile(r"(?<![0-9])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?![0-9])")
 _NATIONAL = re.compile(r"(?<![0-9])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])")
 _QUAD = re.compile(r"(?<![0-9])[0-9]{1,3}(?:[.,_-][0-9]{1,3}){3}(?![0-9])")
 _ADDRESS = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:@| ?[(\[{]at[)\]}] ?)[A-Za-z0-9-]{1,63}(?:(?:\.| ?[(\[{]dot[)\]}] ?)[A-Za-z0-9-]{1,63}){0,8}",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:@| ?[(\[{]at[)\]}] ?)"
+    r"[A-Za-z0-9-]{1,63}(?:(?:\.| ?[(\[{]dot[)\]}] ?)[A-Za-z0-9-]{1,63}){0,8}",
     re.IGNORECASE,
 )
 _HINTS = re.compile(r"(?:tel|phone|call|fax|mail|contact|card|visa|account|ip|host|server)\W{0,3}$", re.IGNORECASE)
@@ -99,16 +100,15 @@ def in_order(spans: list[Span]) -> list[Span]:
 def proposals(text: str) -> list[Span]:
     """Spans that may be personal data, several of them over the same digits."""
     found = set()
-    for pattern in (_NUMBER, _NATIONAL, _QUAD, _ADDRESS):
+    for pattern, kind in ((_ADDRESS, "email"), (_QUAD, "ip"), (_NUMBER, ""), (_NATIONAL, "")):
         for m in pattern.finditer(text):
-            digits = len(_digits(m[0]))
-            kind = "email" if pattern is _ADDRESS else "ip" if pattern is _QUAD else "card" if digits >= 12 else "phone"
-            found.add((*m.span(), kind))
+            found.add((*m.span(), kind or ("card" if len(_digits(m[0])) >= 12 else "phone")))
     return in_order(list(found))
 
 
 def _class(character: str) -> int:
-    return 0 if not character else 1 if character.isspace() else 2 if character.isalpha() else 3 if character.isdigit() else 4
+    tests = (str.isspace, str.isalpha, str.isdigit, bool)
+    return next((i for i, test in enumerate(tests, 1) if test(character)), 0)
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -139,6 +139,10 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
+def _meets(span: Span, others: list[Span]) -> bool:
+    return any(span[0] < end and start < span[1] for start, end, _ in others)
+
+
 @dataclass
 class Detector:
     """Finds spans: the base, and proposals that reach their kind's threshold."""
@@ -153,13 +157,13 @@ class Detector:
         base = base_spans(text)
         if not self.thresholds:
             return base, base
-        free = [p for p in proposals(text) if p[2] in self.thresholds and not any(p[0] < b[1] and b[0] < p[1] for b in base)]
+        free = [p for p in proposals(text) if p[2] in self.thresholds and not _meets(p, base)]
         if not free:
             return base, base
         chance = self.trees.chance(np.array([features(text, p) for p in free]))
         added: list[Span] = []
         for score, p in sorted(zip(chance.tolist(), free), key=lambda x: (-x[0], x[1])):
-            if score >= self.thresholds[p[2]] and not any(p[0] < a[1] and a[0] < p[1] for a in added):
+            if score >= self.thresholds[p[2]] and not _meets(p, added):
                 added.append(p)
         return base, in_order(base + added)
 
@@ -174,10 +178,14 @@ def _examples(texts: DataFrame) -> DataFrame:
                 base = base_spans(text)
                 for span in found:
                     kinds.append(span[2])
-                    confirmed.append(any(span[0] < b[1] and b[0] < span[1] and span[2] == b[2] for b in base))
+                    confirmed.append(_meets(span, [b for b in base if b[2] == span[2]]))
                     rows.append(features(text, span))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(kinds, pa.string()), pa.array(confirmed, pa.bool_()), pa.array(rows, pa.list_(pa.float64()))], ["kind", "confirmed", "features"]
+        return pa.RecordBatch.from_pydict(
+            {
+                "kind": pa.array(kinds, pa.string()),
+                "confirmed": pa.array(confirmed, pa.bool_()),
+                "features": pa.array(rows, pa.list_(pa.float64())),
+            }
         )
 
     return map_batches(texts, step, "kind string, confirmed boolean, features array<double>")
@@ -207,9 +215,8 @@ def train(docs: DataFrame, text: str = "text", examples: int = EXAMPLES, precisi
     """
     table = stored(_examples(docs.select(as_text(text).alias("text"))), "examples")
     count = table.count()
-    digest = F.pmod(F.xxhash64("features", "kind"), F.lit(1 << 30))
     if count > examples:
-        # Equal examples share a digest, so each gets its own by its place in the file.
+        # Equal examples share their features, so each is told apart by its place in the file.
         digest = F.pmod(F.xxhash64("features", "kind", F.monotonically_increasing_id()), F.lit(1 << 30))
         table = table.where(digest < int(examples / count * (1 << 30)))
     rows = table.select("kind", "confirmed", "features").toArrow()
@@ -229,7 +236,9 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", detector: Detector | None = None) -> DataFrame:
+def personal_spans(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", detector: Detector | None = None
+) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for each row of docs.
 
     The counts and the digest are of base spans, spans has all. A null text counts as empty. Rows with equal ids
@@ -237,20 +246,18 @@ def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     detector = detector or train(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(detector)
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), as_text(text).alias("text"))
+    source = identified(docs, doc_id, text)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for value in batch.column(1).to_pylist():
-            base, every = shared.value.spans(value or "")
-            counts = [sum(span[2] == kind for span in base) for kind in KINDS]
-            rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), len(every) - len(base)))
-        kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
+        bases, everything = zip(*(shared.value.spans(value or "") for value in batch.column(1).to_pylist()))
+        found = {f"n_{kind}": pa.array([sum(s[2] == kind for s in b) for b in bases], pa.int64()) for kind in KINDS}
+        found["base_sha256"] = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in bases])
+        found["spans"] = pa.array([joined(spans) for spans in everything])
+        found["n_added"] = pa.array([len(e) - len(b) for b, e in zip(bases, everything)], pa.int64())
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **found})
 
-    names = ["doc_id", *(f"n_{kind}" for kind in KINDS), "base_sha256", "spans", "n_added"]
-    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return map_batches(source, step, schema)
+    schema = f"doc_id {kind_of(source, 'doc_id')}, {', '.join(f'n_{kind} long' for kind in KINDS)}, "
+    return map_batches(source, step, schema + "base_sha256 string, spans string, n_added long")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -270,9 +277,8 @@ def redact(docs: DataFrame, text: str = "text", detector: Detector | None = None
     at = docs.columns.index(text)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [None if value is None else redacted(value, shared.value.spans(value)[1]) for value in batch.column(at).to_pylist()]
-        columns = list(batch.columns)
-        columns[at] = pa.array(texts, columns[at].type)
-        return pa.RecordBatch.from_arrays(columns, batch.schema.names)
+        column = batch.column(at)
+        texts = [None if value is None else redacted(value, shared.value.spans(value)[1]) for value in column.to_pylist()]
+        return batch.set_column(at, batch.schema.names[at], pa.array(texts, column.type))
 
     return map_batches(docs, step, docs.schema)

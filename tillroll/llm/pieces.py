@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tillroll.llm.texts import as_text, map_batches, slices
+from tillroll.llm.texts import identified, kind_of, map_batches, slices
 from tillroll.session import stored
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -59,7 +59,8 @@ class _Children:
             left, nodes, slots = left[~put], nodes[~put], self._next(slots[~put])
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _next(self, slots: np.ndarray) -> np.ndarray:
         return (slots + 1) & (len(self.keys) - 1)
@@ -122,9 +123,11 @@ class PieceModel:
 
         model = SentencePieceProcessor(model_file=path)
         numbers = range(model.get_piece_size())
-        normal = [i for i in numbers if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+        special = (model.is_control, model.is_unknown, model.is_byte, model.is_unused)
+        normal = [i for i in numbers if not any(test(i) for test in special)]
         pieces = [(model.id_to_piece(i).replace("▁", " "), model.get_score(i), i) for i in normal]
-        byte_ids = [model.piece_to_id(f"<0x{byte:02X}>") for byte in range(256)] if any(map(model.is_byte, numbers)) else None
+        spells = any(map(model.is_byte, numbers))
+        byte_ids = [model.piece_to_id(f"<0x{byte:02X}>") for byte in range(256)] if spells else None
         return cls(pieces, byte_ids, model.unk_id())
 
     def edges(self, text: str, start: int) -> list[tuple[int, float, int | None]]:
@@ -178,9 +181,9 @@ class PieceModel:
 
     def segments(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each unit the best score and the number of ids, and the ids of all one after the other."""
-        parts = [self._segments(units[part]) for part in slices([len(unit) for unit in units], CHARACTERS_AT_ONCE)]
-        scores, counts, ids = zip(*parts) if parts else ([np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)])
-        return np.concatenate(scores), np.concatenate(counts), np.concatenate(ids)
+        parts = [self._segments([])]  # for the types, where there are no units
+        parts += [self._segments(units[part]) for part in slices([len(unit) for unit in units], CHARACTERS_AT_ONCE)]
+        return tuple(np.concatenate(column) for column in zip(*parts))
 
     def _lattice(self, characters: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
         """(start, length, score, id) of all pieces in units, ordered by length; left is the room behind each place.
@@ -198,7 +201,8 @@ class PieceModel:
             if length == 1:
                 alone = at[~whole]
                 starts = np.r_[starts, alone]
-                scores, ids = np.r_[scores, np.full(len(alone), self.unknown)], np.r_[ids, np.full(len(alone), -1, np.int32)]
+                scores = np.r_[scores, np.full(len(alone), self.unknown)]
+                ids = np.r_[ids, np.full(len(alone), -1, np.int32)]
             edges.append((starts, np.full(len(starts), length), scores, ids))
             going &= left[at] > length
             at, nodes = at[going], nodes[going]
@@ -304,7 +308,7 @@ class PieceModel:
         return self.segment(" " + text) if text else []
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids, without the space put before it; ids of no piece and bytes that are no UTF-8 show as U+FFFD."""
+        """The text of ids, without the space put before it. Ids of no piece and bytes that are no UTF-8 show as U+FFFD."""
         raw = b"".join([self.raw.get(number, b"\xef\xbf\xbd") for number in ids])
         return raw.decode("utf-8", "replace").removeprefix(" ")
 
@@ -339,7 +343,8 @@ class PieceModel:
         the cuts a path does not depend on the states. Without a cut the first text is all, and there is no other.
         """
         cuts = [self.cuts(text, length) for text in texts]
-        scores, counts, ids = self.sequences([self.units(text[slice(*cut)]) if cut else [] for text, cut in zip(texts, cuts)])
+        inner = [self.units(text[slice(*cut)]) if cut else [] for text, cut in zip(texts, cuts)]
+        scores, counts, ids = self.sequences(inner)
         middles = np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []
         start = np.where(np.eye(self.reach) > 0, 0.0, NEVER)
         out = []
@@ -401,14 +406,14 @@ def _giant(docs: DataFrame, model, reach: int, chunk: int) -> DataFrame:
                 parts = model.value.chunks(text.as_py(), chunk)
                 for at in range(0, len(parts), 256):
                     some = parts[at : at + 256]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([digest.as_py()] * len(some)), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some)], ["digest", "part", "text"]
-                    )
+                    numbers = np.arange(at, at + len(some))
+                    yield pa.RecordBatch.from_pydict({"digest": [digest.as_py()] * len(some), "part": numbers, "text": some})
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         matrices, heads, middles, tails, ends = zip(*model.value.measure(batch.column(2).to_pylist(), chunk))
-        columns = (pa.array([m.ravel() for m in matrices]), pa.array(heads), _lists(middles), pa.array(tails, pa.string()), pa.array(ends))
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["digest", "part", "matrix", "head", "middle", "tail", "end"])
+        found = {"matrix": [m.ravel() for m in matrices], "head": heads, "middle": _lists(middles)}
+        found |= {"tail": pa.array(tails, pa.string()), "end": pa.array(ends, pa.int64())}
+        return pa.RecordBatch.from_pydict({"digest": batch.column(0), "part": batch.column(1), **found})
 
     def states(table):
         table = table.sort_by("part")
@@ -417,25 +422,33 @@ def _giant(docs: DataFrame, model, reach: int, chunk: int) -> DataFrame:
         return pa.table({"digest": table["digest"], "part": table["part"], "entry": found[:-1], "leave": found[1:]})
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-        heads, middles, *others = batch.columns[2:]
+        middles, *others = batch.columns[2:]
         rows = []
-        for head, middle, tail, end, entry, leave in zip(heads.to_pylist(), middles, *(column.to_pylist() for column in others)):
-            first, last = model.value.finish(head, tail, end, entry, leave)
-            rows.append(np.concatenate([np.array(first, np.int32), middle.values.to_numpy(), np.array(last, np.int32)]))
-        return pa.RecordBatch.from_arrays([*batch.columns[:2], _lists(rows)], ["digest", "part", "ids"])
+        for middle, *ends in zip(middles, *(column.to_pylist() for column in others)):
+            first, last = (np.array(ids, np.int32) for ids in model.value.finish(*ends))
+            rows.append(np.concatenate([first, middle.values.to_numpy(), last]))
+        return pa.RecordBatch.from_pydict({"digest": batch.column(0), "part": batch.column(1), "ids": _lists(rows)})
 
     parts = docs.mapInArrow(cut, "digest string, part long, text string")
     parts = parts.groupBy("digest", "part").agg(F.first("text").alias("text"))  # equal texts are one
     schema = "digest string, part long, matrix array<double>, head string, middle array<int>, tail string, end long"
     parts = stored(map_batches(parts, measure, schema), "chunks")
-    at = parts.select("digest", "part", "matrix").groupBy("digest").applyInArrow(states, "digest string, part long, entry long, leave long")
-    joined = parts.join(at, ["digest", "part"]).select("digest", "part", "head", "middle", "tail", "end", "entry", "leave")
+    of_text = parts.select("digest", "part", "matrix").groupBy("digest")
+    at = of_text.applyInArrow(states, "digest string, part long, entry long, leave long")
+    joined = parts.join(at, ["digest", "part"])
+    joined = joined.select("digest", "part", "middle", "head", "tail", "end", "entry", "leave")
     coded = map_batches(joined, finish, "digest string, part long, ids array<int>")
     whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "ids"))), lambda part: part["ids"]))
     return coded.groupBy("digest").agg(whole.alias("ids"))
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: PieceModel | None = None, chunk: int = CHUNK) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    model: PieceModel | None = None,
+    chunk: int = CHUNK,
+) -> DataFrame:
     """(doc_id, ids, decoded_sha256) for each row of docs; the digest is that of the text the ids give back.
 
     A null text has null ids and no digest, an empty one no ids. Rows with equal ids or texts are each encoded.
@@ -446,7 +459,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: P
     if chunk < model.reach:
         raise ValueError(f"a chunk has at least {model.reach} characters")
     shared, reach = docs.sparkSession.sparkContext.broadcast(model), model.reach
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), as_text(text).alias("text"))
+    source = identified(docs, doc_id, text)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         model, texts = shared.value, batch.column(1)
@@ -458,11 +471,11 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: P
             for a, b, null in zip(ends[:-1].tolist(), ends[1:].tolist(), nulls.tolist())
         ]
         lists = pa.ListArray.from_arrays(pa.array(ends, mask=np.r_[nulls, False]), pa.array(ids))
-        return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(digests, pa.string())], ["doc_id", "ids", "decoded_sha256"])
+        found = {"ids": lists, "decoded_sha256": pa.array(digests, pa.string())}
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **found})
 
-    kind = source.schema["doc_id"].dataType.simpleString()
     long = F.coalesce(F.length("text"), F.lit(0)) >= chunk  # with the space before it, more than one chunk
-    short = map_batches(source.where(~long), step, f"doc_id {kind}, ids array<int>, decoded_sha256 string")
+    short = map_batches(source.where(~long), step, f"doc_id {kind_of(source, 'doc_id')}, ids array<int>, decoded_sha256 string")
     giants = source.where(long).withColumn("digest", F.sha2("text", 256))
     coded = decode(_giant(giants.select("text", "digest"), shared, reach, chunk), model=model)
     coded = giants.select("doc_id", "digest").join(coded, "digest")
@@ -479,6 +492,6 @@ def decode(coded: DataFrame, ids: str = "ids", name: str = "decoded", model: Pie
         decode, texts = shared.value.decode, []
         for row in batch.column(at):  # a list at a time, as its numbers are large once they are Python's
             texts.append(decode(row.values.to_pylist()) if row.is_valid else None)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
+        return batch.append_column(name, pa.array(texts, pa.string()))
 
     return map_batches(coded, step, StructType([*coded.schema, StructField(name, StringType())]))

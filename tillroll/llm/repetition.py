@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tillroll.llm.texts import WORD, WORDS_AT_ONCE, as_text, code_points, map_batches, raw_texts, slices
+from tillroll.llm.texts import WORD, WORDS_AT_ONCE, code_points, identified, kind_of, map_batches, raw_texts, slices
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 3
@@ -71,7 +71,8 @@ def repeat_lengths(codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
         old = np.r_[True, group[1:] != group[:-1]]
         new = np.r_[True, key[1:] != key[:-1]]
         rank = rank.copy()
-        rank[tied] = group + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(old, place, 0))
+        first = lambda marks: np.maximum.accumulate(np.where(marks, place, 0))
+        rank[tied] = group + first(new) - first(old)
         levels.append(np.append(rank, -1))
         last = np.r_[new[1:], True]
         tied = tied[~(new & last)]
@@ -160,7 +161,9 @@ def repeat_spans(text: str | None, shortest: int = Limits.shortest_repeat) -> li
     return [(spots[a][0], spots[b - 1][1]) for a, b in zip(edges[::2], edges[1::2])]
 
 
-def quality_measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limits: Limits = Limits()) -> DataFrame:
+def quality_measures(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limits: Limits = Limits()
+) -> DataFrame:
     """doc_id and COLUMNS for every row of docs; other columns are left out.
 
     A null or empty text has no words and fails. Rows with equal ids or texts are each measured. Texts of
@@ -170,10 +173,10 @@ def quality_measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = measured(batch.column(1), limits)
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[name]) for name in names)], ["doc_id", *names])
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **{name: found[name] for name in names}})
 
-    source = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), as_text(text).alias("text"))
-    return map_batches(source, step, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
+    source = identified(docs, doc_id, text)
+    return map_batches(source, step, f"doc_id {kind_of(source, 'doc_id')}, {COLUMNS}")
 
 
 def keep_good(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:

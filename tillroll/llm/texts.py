@@ -26,6 +26,15 @@ def as_text(column: str) -> Column:
     return F.col(f"`{column}`").cast("string")
 
 
+def identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text): what most operators read, so that other columns cannot clash with theirs."""
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), as_text(text).alias("text"))
+
+
+def kind_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each value, empty for null."""
     return [value or b"" for value in column.cast(pa.large_binary()).to_pylist()]
@@ -47,12 +56,14 @@ def code_points(raw: bytes) -> int:
     return len(raw) - int(np.count_nonzero((np.frombuffer(raw, np.uint8) & 0xC0) == 0x80))
 
 
-def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, at_once: int = BYTES_AT_ONCE) -> DataFrame:
-    """Apply step to df in Arrow batches of about at_once bytes, or of one row where that is longer."""
+def map_batches(
+    df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType
+) -> DataFrame:
+    """Apply step to df in Arrow batches of about BYTES_AT_ONCE, or of one row where that is longer."""
 
     def run(batches):
         for batch in batches:
-            rows = max(1, batch.num_rows * at_once // max(1, batch.nbytes))
+            rows = max(1, batch.num_rows * BYTES_AT_ONCE // max(1, batch.nbytes))
             for start in range(0, batch.num_rows, rows):
                 yield step(batch.slice(start, rows))
 

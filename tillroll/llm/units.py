@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.texts import as_text, map_batches
+from tillroll.llm.texts import identified, kind_of, map_batches
 from tillroll.session import stored
 
 LEAST_WORDS = 5
@@ -41,8 +41,7 @@ def digest_of(unit: str, least_words: int) -> bytes | None:
 
 def occurrences(docs: DataFrame, doc_id: str, text: str, unit: str, least_words: int) -> DataFrame:
     """(doc_id, own, start, stop, digest) of each unit of least_words or more; own is a digest of the text."""
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), as_text(text).alias("text"))
-    source = source.select("doc_id", F.xxhash64("text").alias("own"), "text")
+    source = identified(docs, doc_id, text).select("doc_id", F.xxhash64("text").alias("own"), "text")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, starts, stops, digests = [], [], [], []
@@ -54,19 +53,24 @@ def occurrences(docs: DataFrame, doc_id: str, text: str, unit: str, least_words:
                     stops.append(stop)
                     digests.append(digest)
         take = pa.array(row, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int64()) for x in (starts, stops)), pa.array(digests, pa.binary())],
-            ["doc_id", "own", "start", "stop", "digest"],
-        )
+        places = {"start": pa.array(starts, pa.int64()), "stop": pa.array(stops, pa.int64())}
+        texts = {"doc_id": batch.column(0).take(take), "own": batch.column(1).take(take)}
+        return pa.RecordBatch.from_pydict({**texts, **places, "digest": pa.array(digests, pa.binary())})
 
-    return map_batches(source, step, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, own long, start long, stop long, digest binary")
+    return map_batches(source, step, f"doc_id {kind_of(source, 'doc_id')}, own long, start long, stop long, digest binary")
 
 
 def _rank() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own", "start")
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
+def without_repeats(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    unit: str = "line",
+    least_words: int = LEAST_WORDS,
+) -> DataFrame:
     """(doc_id, text, removed, n_removed) for each row of docs.
 
     text has lost the repeated units with the breaks behind them; removed lists their places in the original
@@ -77,10 +81,12 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = stored(occurrences(docs, doc_id, text, unit, least_words), "units")
     first = found.groupBy("digest").agg(F.min(_rank()).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = found.join(first.select("digest", "first"), "digest").where(_rank() != F.col("first"))
-    places = later.groupBy("doc_id", "own").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("removed"))
+    spans = F.array_sort(F.collect_set(F.struct("start", "stop")))
+    places = later.groupBy("doc_id", "own").agg(spans.alias("removed"))
     places = places.withColumnRenamed("doc_id", "place_id").withColumnRenamed("own", "place_own")
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), as_text(text).alias("text"))
-    joined = source.join(places, F.col("doc_id").eqNullSafe(F.col("place_id")) & (F.xxhash64("text") == F.col("place_own")), "left")
+    source = identified(docs, doc_id, text)
+    same = F.col("doc_id").eqNullSafe(F.col("place_id")) & (F.xxhash64("text") == F.col("place_own"))
+    joined = source.join(places, same, "left")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, lists, counts = [], [], []
@@ -92,10 +98,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             texts.append("".join((*parts, value[end:])) if parts else value)
             lists.append(",".join(f"{span['start']}:{span['stop']}" for span in spans or ()))
             counts.append(len(spans or ()))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(texts, pa.string()), pa.array(lists, pa.string()), pa.array(counts, pa.int64())],
-            ["doc_id", "text", "removed", "n_removed"],
-        )
+        found = {"removed": pa.array(lists, pa.string()), "n_removed": pa.array(counts, pa.int64())}
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": pa.array(texts, pa.string()), **found})
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return map_batches(joined.select("doc_id", "text", "removed"), step, f"doc_id {kind}, text string, removed string, n_removed long")
+    schema = f"doc_id {kind_of(source, 'doc_id')}, text string, removed string, n_removed long"
+    return map_batches(joined.select("doc_id", "text", "removed"), step, schema)

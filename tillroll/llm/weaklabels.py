@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from tillroll.llm.texts import as_text, map_batches, raw_texts
+from tillroll.llm.texts import as_text, identified, kind_of, map_batches, raw_texts
 from tillroll.session import stored
 
 SAMPLE = 20_000  # texts that fit the scorer, about
@@ -193,8 +193,10 @@ def vote_patterns(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             patterns = pa.array([list(p) for p in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([patterns, pa.array(found.values(), pa.int64())], ["pattern", "n"])
 
-    rows = texts.mapInArrow(count, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
-    return np.array([row["pattern"] for row in rows], np.int64).reshape(-1, HEURISTICS), np.array([row["n"] for row in rows], float)
+    rows = texts.mapInArrow(count, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    rows = rows.orderBy("pattern").collect()
+    patterns = np.array([row["pattern"] for row in rows], np.int64).reshape(-1, HEURISTICS)
+    return patterns, np.array([row["n"] for row in rows], float)
 
 
 def _features(texts: DataFrame, posterior: dict[tuple[int, ...], float]) -> DataFrame:
@@ -210,9 +212,8 @@ def _features(texts: DataFrame, posterior: dict[tuple[int, ...], float]) -> Data
             found = hashed.features(raw, m)
             buckets.append(found[0])
             values.append(found[1])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(labels, pa.float64()), pa.array(buckets, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["label", "buckets", "values"]
-        )
+        lists = {"buckets": pa.array(buckets, pa.list_(pa.int32())), "values": pa.array(values, pa.list_(pa.float32()))}
+        return pa.RecordBatch.from_pydict({"label": pa.array(labels, pa.float64()), **lists})
 
     return map_batches(texts, step, "label double, buckets array<int>, values array<float>")
 
@@ -235,7 +236,7 @@ def _gradient(rows: DataFrame, weights: np.ndarray, bias: float) -> tuple[np.nda
                 gradient += np.bincount(buckets, miss[owner] * values, BUCKETS)
                 rest, seen = rest + miss.sum(), seen + batch.num_rows
         at = np.flatnonzero(gradient)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1, -2]), pa.array(np.r_[gradient[at], rest, seen])], ["bucket", "g"])
+        yield pa.RecordBatch.from_pydict({"bucket": np.r_[at, -1, -2], "g": np.r_[gradient[at], rest, seen]})
 
     total = rows.mapInArrow(part, "bucket long, g double").groupBy("bucket").agg(F.sum("g").alias("g")).toArrow()
     sums = dict(zip(total["bucket"].to_pylist(), total["g"].to_pylist()))
@@ -269,7 +270,9 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, steps: int
     return Scorer(weights, bias, known)
 
 
-def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scorer: Scorer | None = None, limit: float = 0.5) -> DataFrame:
+def quality(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scorer: Scorer | None = None, limit: float = 0.5
+) -> DataFrame:
     """(doc_id, votes, weak_bad, bad, kept) for each row of docs.
 
     votes has one digit for each heuristic (0 good, 1 bad, 2 none); weak_bad is the posterior of bad given the votes,
@@ -277,7 +280,7 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scorer:
     are each judged; texts are read whole; other columns are left out. An empty table gives an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer or train(docs, text))
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), as_text(text).alias("text"))
+    source = identified(docs, doc_id, text)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -286,9 +289,8 @@ def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scorer:
             own = votes(m)
             chance = shared.value.bad(raw, m)
             rows.append(("".join(map(str, own)), shared.value.patterns.get(own), chance, chance < limit))
-        kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
+        cast, weak, bad, kept = zip(*rows)
+        chances = {"weak_bad": pa.array(weak, pa.float64()), "bad": pa.array(bad, pa.float64())}
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "votes": cast, **chances, "kept": kept})
 
-    names = ["doc_id", "votes", "weak_bad", "bad", "kept"]
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return map_batches(source, step, f"doc_id {kind}, votes string, weak_bad double, bad double, kept boolean")
+    return map_batches(source, step, f"doc_id {kind_of(source, 'doc_id')}, votes string, weak_bad double, bad double, kept boolean")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.texts import as_text, map_batches, raw_texts
+from tillroll.llm.texts import identified, kind_of, map_batches, raw_texts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 REMEMBERED = 500_000  # words
@@ -91,7 +91,9 @@ class Automaton:
         return found
 
 
-def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pieces: Iterable[bytes] | None = None) -> DataFrame:
+def token_counts(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pieces: Iterable[bytes] | None = None
+) -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown) for each row of docs.
 
     Words are lowered A-Z; a word that cannot be spelled counts as one token and is unknown. A null or empty text
@@ -100,7 +102,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pi
     """
     automaton = Automaton(load_pieces() if pieces is None else pieces)
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), as_text(text).alias("text"))
+    source = identified(docs, doc_id, text)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -108,7 +110,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pi
             counts = list(map(shared.value.remembered, raw.lower().split()))
             unknown = counts.count(0)
             rows.append((len(counts), sum(counts) + unknown, unknown))
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows))], ["doc_id", "n_words", "n_tokens", "n_unknown"])
+        counts = dict(zip(("n_words", "n_tokens", "n_unknown"), (pa.array(c, pa.int64()) for c in zip(*rows))))
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **counts})
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return map_batches(source, step, f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
+    return map_batches(source, step, f"doc_id {kind_of(source, 'doc_id')}, n_words long, n_tokens long, n_unknown long")
