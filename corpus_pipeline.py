@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import decontamination, neardup, personal, repetition
-from tillroll.llm.queries import coded_and_decoded, table
+from tillroll.llm.queries import coded_and_decoded, prepared, table
 from tillroll.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,11 +22,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the repetition and length limits."""
+    prepared(spark)
     return repetition.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of fingerprints linked within two bits."""
+    prepared(spark)
     return neardup.first_of_groups(docs)
 
 
@@ -37,11 +39,13 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; n_chars follows the text."""
+    prepared(spark)
     return personal.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of every document."""
+    prepared(spark)
     return coded_and_decoded(docs)
 
 

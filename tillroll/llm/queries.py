@@ -13,10 +13,14 @@ from tillroll.session import apply_runtime_settings, run_folder
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of the folder. Python workers find this package where the driver found it, or as installed."""
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with skewed joins split, whose Python workers find this package where the driver found it."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", PACKAGE_ROOT)
-    return apply_runtime_settings(spark).read.parquet(f"{folder}/{name}.parquet")
+    return apply_runtime_settings(spark)
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
