@@ -3,10 +3,9 @@ from __future__ import annotations
 import os
 
 import pytest
+from folders import MIDDLE, SMALL
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-SMALL = "/root/testdata/sf0.001"
-MIDDLE = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session", autouse=True)

@@ -10,7 +10,7 @@ from compare import assert_same
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from conftest import MIDDLE, SMALL
+from folders import MIDDLE, SMALL
 from tillroll.llm.queries import ORACLES, QUERIES
 from test_llm_decontamination import brute as matches
 from test_llm_neardup import components, print_of

@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from conftest import MIDDLE
+from folders import MIDDLE
 from tillroll.llm import repetition as R
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from conftest import MIDDLE
+from folders import MIDDLE
 from tillroll.llm import weaklabels as W
 
 
@@ -38,7 +38,7 @@ def test_gradient_sums_over_all_rows(spark, small):
     expected, hashed = np.zeros(W.BUCKETS), W.Hashed()
     total = 0.0
     for r in small.collect():
-        buckets, values = hashed.features(r["text"].encode(), W.measure(r["text"].encode()))
+        buckets, values = W.features(r["text"].encode(), W.measure(r["text"].encode()), hashed)
         values = np.array(values, np.float32)
         miss = 1 / (1 + np.exp(-(weights[buckets] @ values + 0.1))) - 0.3
         np.add.at(expected, buckets, miss * values)
@@ -65,3 +65,13 @@ def test_one_sample_of_many(middle):
 def test_shape():
     assert W.shape("Ab12-é!!".encode()) == b"Aa0-a!!"
     assert W.HEURISTICS == len(W.votes(W.measure(b"some text")))
+
+
+def test_score_is_that_of_the_features(small):
+    weights = np.random.default_rng(1).normal(size=W.BUCKETS)
+    scorer, hashed = W.Scorer(weights, -0.3), W.Hashed()
+    for r in small.collect():
+        raw = r["text"].encode()
+        buckets, values = W.features(raw, W.measure(raw), hashed)
+        chance = 1 / (1 + np.exp(-(weights[buckets] @ np.array(values) - 0.3)))
+        assert scorer.bad(raw, W.measure(raw)) == pytest.approx(chance)
