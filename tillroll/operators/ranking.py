@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 TIE_PIECES = 1024
 
 
-def rank_within(df: DataFrame, group: str, by: str, id_column: str, up_to: int) -> DataFrame:
+def rank_within(
+    df: DataFrame, group: str, by: str, id_column: str, up_to: int, tie_pieces: int = TIE_PIECES
+) -> DataFrame:
     """Rows with rank up to ``up_to`` by descending ``by``, with row_num,
     rank_val and dense_rank_val.
 
@@ -28,7 +30,7 @@ def rank_within(df: DataFrame, group: str, by: str, id_column: str, up_to: int)
         .join(leading.alias("v"), same_value)
         .select("r.*", "v.rank_val", "v.dense_rank_val")
     )
-    return _number_rows(kept, group, by, id_column)
+    return _number_rows(kept, group, by, id_column, tie_pieces)
 
 
 def _leading_values(df: DataFrame, group: str, by: str, up_to: int) -> DataFrame:
@@ -43,13 +45,15 @@ def _leading_values(df: DataFrame, group: str, by: str, up_to: int) -> DataFrame
     return leading.withColumn("rank_val", rank).where(F.col("rank_val") <= up_to).drop("_rows")
 
 
-def _number_rows(ranked: DataFrame, group: str, by: str, id_column: str) -> DataFrame:
+def _number_rows(
+    ranked: DataFrame, group: str, by: str, id_column: str, tie_pieces: int
+) -> DataFrame:
     """row_num: rank plus the place among equal values.
 
     Equal values are cut into pieces by a hash of their id. A row's place is
     the size of the pieces before its own plus its place inside the piece.
     """
-    pieces = ranked.withColumn("_piece", F.pmod(F.xxhash64(id_column), F.lit(TIE_PIECES)))
+    pieces = ranked.withColumn("_piece", F.pmod(F.xxhash64(id_column), F.lit(tie_pieces)))
     keys = [group, by, "_piece"]
     earlier = (
         Window.partitionBy(group, by)
