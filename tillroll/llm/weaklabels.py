@@ -146,27 +146,38 @@ def bucketed(m: Measures) -> list[int]:
     return [_bucket(b"measure:", b"%s=%d" % (name, int(step))) for name, step in steps.items()]
 
 
-class Hashed:
-    """The buckets of a word, remembered."""
-
-    def __init__(self):
-        self.known: dict[bytes, tuple[int, int]] = {}
-
-    def of(self, word: bytes) -> tuple[int, int]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= _REMEMBERED:
-                self.known.clear()
-            found = self.known[word] = (_bucket(b"word:", word.lower()), _bucket(b"shape:", shape(word)))
+class Hashed(dict):
+    """The two buckets of a word, remembered for a bounded number of words."""
+
+    def __missing__(self, word: bytes) -> tuple[int, int]:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        found = self[word] = (_bucket(b"word:", word.lower()), _bucket(b"shape:", shape(word)))
         return found
 
-    def features(self, raw: bytes, m: Measures) -> tuple[list[int], list[float]]:
-        """Buckets and values of a text: shares of its words, and 1 for each bucketed measure."""
-        own = Counter(itertools.chain.from_iterable(map(self.of, raw.split())))
-        # A word's two features share one unit of weight, as eight measures do.
-        n = max(1, m.words)
-        marks = bucketed(m)
-        return [*own, *marks], [*(count / n for count in own.values()), *[1.0] * len(marks)]
+
+def features(raw: bytes, m: Measures, hashed: Hashed) -> tuple[list[int], list[float]]:
+    """Buckets and values of a text: shares of its words and shapes, and 1 for each bucketed measure."""
+    own = Counter(itertools.chain.from_iterable(map(hashed.__getitem__, raw.split())))
+    marks = bucketed(m)
+    return [*own, *marks], [*(count / max(1, m.words) for count in own.values()), *[1.0] * len(marks)]
+
+
+class _WordWeights(dict):
+    """The sum of the weights of a word's buckets, remembered for a bounded number of words."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    def __reduce__(self):
+        return _WordWeights, (self.weights,)
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        buckets = _bucket(b"word:", word.lower()), _bucket(b"shape:", shape(word))
+        found = self[word] = float(sum(self.weights[bucket] for bucket in buckets))
+        return found
 
 
 @dataclass
@@ -176,11 +187,14 @@ class Scorer:
     weights: np.ndarray
     bias: float
     patterns: dict[tuple[int, ...], float] = field(default_factory=dict)
-    hashed: Hashed = field(default_factory=Hashed)
+
+    def __post_init__(self):
+        self.words = _WordWeights(self.weights)
 
     def bad(self, raw: bytes, m: Measures) -> float:
-        buckets, values = self.hashed.features(raw, m)
-        score = float(self.weights[buckets] @ np.array(values)) + self.bias
+        """A word's share times its weights, added up word by word, and the weights of the measures."""
+        own = sum(map(self.words.__getitem__, raw.split())) / max(1, m.words)
+        score = own + float(self.weights[bucketed(m)].sum()) + self.bias
         return 1 / (1 + np.exp(-max(-700.0, min(700.0, score))))
 
 
@@ -209,7 +223,7 @@ def _features(texts: DataFrame, posterior: dict[tuple[int, ...], float]) -> Data
         for raw in raw_texts(batch.column(0)):
             m = measure(raw)
             labels.append(known[votes(m)])
-            found = hashed.features(raw, m)
+            found = features(raw, m, hashed)
             buckets.append(found[0])
             values.append(found[1])
         lists = {"buckets": pa.array(buckets, pa.list_(pa.int32())), "values": pa.array(values, pa.list_(pa.float32()))}
