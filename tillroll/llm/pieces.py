@@ -1,25 +1,33 @@
-"""Best piece segmentation of texts as a max-plus scan, and its decoding.
+"""Pieces of texts by a SentencePiece model, and their decoding.
 
-The vocabulary is that of a SentencePiece model, whose pieces have scores. A text, with one space put before
-it, is cut into the pieces with the largest sum of scores; of equal sums at a position the longer last piece
-counts. A character without a piece counts below all pieces and becomes its UTF-8 byte pieces, so that
-decoding gives every text back exactly.
+What the scores of a model mean is a matter of its type. Those of a BPE model, as the given one, order its merges
+(``MergeModel``): a text, with one space put before it, is cut into characters, and as long as neighbours make up
+a piece, the pair with the highest score is joined, of equal ones the first. These are the ids of the sentencepiece
+library. Those of a unigram model are log-probabilities (``PieceModel``): the text is cut into the pieces with the
+largest sum; of equal sums at a position the longer last piece counts. In both a character without a piece becomes
+its UTF-8 byte pieces, so that decoding gives every text back exactly. A marker U+2581 in a text is such a character,
+where the library takes it for a space.
 
 No piece goes on past a space that follows another character, so a text falls into units there. The distinct
-units of a batch are segmented together: all of them walk the trie and the lattice at once, a position at a time.
-
-A giant document is cut into chunks of fixed length, wherever that falls. The state at a chunk's start is how
-many of its characters the piece that crosses the boundary takes. A chunk yields a matrix, for each state at its
-start and its end the best score between them. Max-plus products of these matrices are associative, and a scan of
-them gives the states of the best path at all boundaries; with these, each chunk is segmented by itself. Where
-two paths through a boundary have equal scores, the one that takes fewer characters past it counts.
+units of a batch are segmented together: all of them merge a pair at once, or walk the trie and the lattice at once,
+a position at a time.
+
+A giant document is cut into chunks. Merges do not reach from one unit to another, so that theirs begin with a unit
+and go on to the end of one. For the largest sum the chunks have a fixed length, wherever that falls. The state at
+a chunk's start is how many of its characters the piece that crosses the boundary takes. A chunk yields a matrix,
+for each state at its start and its end the best score between them. Max-plus products of these matrices are
+associative, and a scan of them gives the states of the best path at all boundaries; with these, each chunk is
+segmented by itself. Where two paths through a boundary have equal scores, the one that takes fewer characters past
+it counts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import itertools
 import math
+import re
 from array import array
 from collections.abc import Iterable
 
@@ -37,6 +45,8 @@ CHUNK = 32_768  # characters
 CHARACTERS_AT_ONCE = 100_000  # of distinct units
 UNKNOWN_PENALTY = 10.0
 NEVER = -math.inf
+LONG_UNIT = 64  # characters, from which on a unit is merged by itself
+NO_RANK = 1 << 30
 
 
 class _Children:
@@ -95,12 +105,16 @@ class PieceModel:
                 node = below.setdefault(character, [{}, None, None])
                 below = node[0]
             node[1:] = score, number
-        self.splits = not any(" " in piece.lstrip(" ") for piece in self.scores)
-        self.lines = not any("\n" in piece and len(piece) > 1 for piece in self.scores)
-        self.raw = {number: piece.encode() for piece, _, number in pieces}
-        self.raw |= {number: bytes([byte]) for byte, number in enumerate(byte_ids or [])}
+        self._spelling(pieces)
         self._index(pieces)
 
+    def _spelling(self, pieces: list[tuple[str, float, int]]) -> None:
+        """Where units end, and the bytes of each id."""
+        self.splits = not any(" " in piece.lstrip(" ") for piece, *_ in pieces)
+        self.lines = not any("\n" in piece and len(piece) > 1 for piece, *_ in pieces)
+        self.raw = {number: piece.encode() for piece, _, number in pieces}
+        self.raw |= {number: bytes([byte]) for byte, number in enumerate(self.byte_ids or [])}
+
     def _index(self, pieces: list[tuple[str, float, int]]) -> None:
         """Number the trie's nodes for walks of many strings; a node has the score and id of its piece, if any."""
         edges: dict[tuple[int, int], int] = {}
@@ -370,6 +384,155 @@ class PieceModel:
         return self.segment(head, entry), self.segment(tail, 0, end + leave)
 
 
+class MergeModel(PieceModel):
+    """Pieces joined from pairs in the order of their scores, as a BPE model's are. The scores do not add up."""
+
+    def __init__(self, pieces: list[tuple[str, float, int]], byte_ids: list[int] | None, unknown_id: int):
+        self.byte_ids, self.unknown_id = byte_ids, unknown_id
+        self._spelling(pieces)
+        # A symbol is a piece by its place in pieces, or behind them a character that only longer pieces have.
+        names = [piece for piece, *_ in pieces]
+        names += sorted(set("".join(names)) - set(names))
+        number = {name: i for i, name in enumerate(names)}
+        self.symbol_id = np.full(len(names), -1, np.int32)
+        self.symbol_id[: len(pieces)] = [i for *_, i in pieces]
+        ranks = np.unique([-score for _, score, _ in pieces], return_inverse=True)[1]
+        self.rank = np.r_[ranks, np.full(len(names) - len(pieces), NO_RANK), NO_RANK]  # the last for no symbol
+        single = sorted((ord(name), i) for name, i in number.items() if len(name) == 1)
+        self.characters, self.character_symbols = (np.array(x, np.int64) for x in zip(*single))
+        pairs = {}
+        for piece, *_ in pieces:
+            for cut in range(1, len(piece)):
+                left, right = number.get(piece[:cut]), number.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left, right] = number[piece]
+        self.pairs = _Children(pairs)
+
+    def _symbols(self, characters: np.ndarray) -> np.ndarray:
+        """The symbol of each code point, -1 for one that no piece has."""
+        at = np.minimum(np.searchsorted(self.characters, characters), len(self.characters) - 1)
+        return np.where(self.characters[at] == characters, self.character_symbols[at], -1)
+
+    def _joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The symbol that each pair makes up, -1 for none."""
+        found = np.full(len(left), -1, np.int64)
+        known = (left >= 0) & (right >= 0)
+        found[known] = self.pairs.find(left[known], right[known])
+        return found
+
+    def _segments(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As of PieceModel, with scores of 0."""
+        sizes = np.array([len(unit) for unit in units], np.int64)
+        if not sizes.any():
+            return np.zeros(len(units)), np.zeros(len(units), np.int64), np.zeros(0, np.int32)
+        characters = np.frombuffer("".join(units).encode("utf-32-le"), "<u4").astype(np.int64)
+        symbols, owner = self._symbols(characters), np.repeat(np.arange(len(units)), sizes)
+        begins, long = np.cumsum(sizes) - sizes, sizes >= LONG_UNIT
+        done = []  # (place of the first character, symbol) of what stays
+        for unit in np.flatnonzero(long).tolist():
+            part = slice(begins[unit], begins[unit] + sizes[unit])
+            places, merged = self._merged_alone(symbols[part])
+            done.append((places + begins[unit], merged))
+        places = np.flatnonzero(~long[owner])
+        done += self._merged(places, symbols[places], owner[places])
+        places, symbols = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(places)
+        places, symbols = places[order], symbols[order]
+        ids = np.where(symbols >= 0, self.symbol_id[symbols], -1)
+        whose = owner[places]
+        if (ids < 0).any():
+            spelled = [
+                [number] if number >= 0 else self._spelled(chr(character))
+                for number, character in zip(ids.tolist(), characters[places].tolist())
+            ]
+            whose = np.repeat(whose, [len(x) for x in spelled])
+            ids = np.fromiter(itertools.chain.from_iterable(spelled), np.int64, len(whose))
+        return np.zeros(len(units)), np.bincount(whose, minlength=len(units)), ids.astype(np.int32)
+
+    def _merged(self, places, symbols, owner) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Join a pair in each unit at a time, until none is left in any."""
+        done = []
+        following = np.r_[owner[1:] == owner[:-1], np.zeros(min(1, len(owner)), bool)]
+        joined = np.full(len(symbols), -1, np.int64)  # what a symbol makes up with the next one
+        at = np.flatnonzero(following)
+        joined[at] = self._joined(symbols[at], symbols[at + 1])
+        while len(symbols):
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            best = np.minimum.reduceat(self.rank[joined] << 32 | np.arange(len(joined)), first)
+            going = best >> 32 < NO_RANK
+            keep = np.repeat(going, np.diff(np.r_[first, len(owner)]))
+            done.append((places[~keep], symbols[~keep]))
+            at = best[going] & 0xFFFFFFFF
+            symbols[at] = joined[at]
+            keep[at + 1] = False
+            moved = np.cumsum(keep)[at] - 1
+            places, symbols, owner, joined = places[keep], symbols[keep], owner[keep], joined[keep]
+            changed = np.unique(np.r_[moved, moved[moved > 0] - 1])
+            inside = changed < len(owner) - 1
+            inside[inside] = owner[changed[inside]] == owner[changed[inside] + 1]
+            joined[changed] = -1
+            changed = changed[inside]
+            joined[changed] = self._joined(symbols[changed], symbols[changed + 1])
+        return done
+
+    def _merged_alone(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, symbol) of what stays of one unit, whose pairs wait in a heap."""
+        joined = self._joined(symbols[:-1], symbols[1:])
+        heap = [(rank, i, i + 1, new) for i, (rank, new) in enumerate(zip(self.rank[joined].tolist(), joined.tolist())) if new >= 0]
+        heapq.heapify(heap)
+        size, now = len(symbols), symbols.tolist()
+        last, following, changes = list(range(-1, size - 1)), list(range(1, size + 1)), [0] * size
+        heap = [(*entry, 0, 0) for entry in heap]
+        cache: dict[tuple[int, int], int] = {}
+        while heap:
+            _, left, right, new, *then = heapq.heappop(heap)
+            if [changes[left], changes[right]] != then:
+                continue  # one of the two has been joined since
+            now[left], changes[left], changes[right] = new, changes[left] + 1, -1
+            following[left] = after = following[right]
+            if after < size:
+                last[after] = left
+            for a, b in ((last[left], left), (left, after)):
+                if a >= 0 and b < size:
+                    pair = now[a], now[b]
+                    if pair not in cache:
+                        cache[pair] = int(self._joined(np.array([pair[0]]), np.array([pair[1]]))[0])
+                    if cache[pair] >= 0:
+                        heapq.heappush(heap, (int(self.rank[cache[pair]]), a, b, cache[pair], changes[a], changes[b]))
+        stays = np.flatnonzero(np.array(changes) >= 0)
+        return stays, np.array(now, np.int64)[stays]
+
+    def path(self, text: str) -> tuple[float, tuple[int, ...]]:
+        _, _, ids = self.segments([text])
+        return 0.0, tuple(ids.tolist())
+
+    def segment(self, text: str, entry: int = 0, leave: int | None = None) -> list[int]:
+        """Ids of the pieces of text between two positions that units begin at."""
+        return self.sequences([self.units(text[entry:leave])])[2].tolist()
+
+    def chunks(self, text: str, length: int) -> list[str]:
+        """text cut before the first unit that begins length characters or more behind the last cut."""
+        text, out, start = " " + text, [], 0
+        begin = re.compile(r"(?<=[^ ]) |\n" if self.lines else r"(?<=[^ ]) ")
+        while self.splits and (cut := begin.search(text, start + length)):
+            out.append(text[start : cut.start()])
+            start = cut.start()
+        return [*out, text[start:]]
+
+
+def load_model(path: str = MODEL) -> PieceModel:
+    """The model of a file, by its type."""
+    from sentencepiece.sentencepiece_model_pb2 import ModelProto, TrainerSpec
+
+    proto = ModelProto()
+    with open(path, "rb") as file:
+        proto.ParseFromString(file.read())
+    kinds = {TrainerSpec.BPE: MergeModel, TrainerSpec.UNIGRAM: PieceModel}
+    if proto.trainer_spec.model_type not in kinds:
+        raise ValueError("only BPE and unigram models are known")
+    return kinds[proto.trainer_spec.model_type].load(path)
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus products of two stacks of matrices."""
     return (a[:, :, :, None] + b[:, None, :, :]).max(axis=2)
@@ -397,8 +560,8 @@ def _lists(rows: Iterable) -> pa.Array:
     return pa.array(rows, pa.list_(pa.int32()))
 
 
-def _giant(docs: DataFrame, model, reach: int, chunk: int) -> DataFrame:
-    """(digest, ids) for each distinct text of docs (text, digest)."""
+def _cut(docs: DataFrame, model, chunk: int) -> DataFrame:
+    """(digest, part, text) of the chunks of each distinct text of docs (text, digest)."""
 
     def cut(batches):
         for batch in batches:
@@ -409,6 +572,30 @@ def _giant(docs: DataFrame, model, reach: int, chunk: int) -> DataFrame:
                     numbers = np.arange(at, at + len(some))
                     yield pa.RecordBatch.from_pydict({"digest": [digest.as_py()] * len(some), "part": numbers, "text": some})
 
+    parts = docs.mapInArrow(cut, "digest string, part long, text string")
+    return parts.groupBy("digest", "part").agg(F.first("text").alias("text"))  # equal texts are one
+
+
+def _whole(coded: DataFrame) -> DataFrame:
+    """(digest, ids) of texts whose parts have (digest, part, ids)."""
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "ids"))), lambda part: part["ids"]))
+    return coded.groupBy("digest").agg(whole.alias("ids"))
+
+
+def _giant_merged(docs: DataFrame, model, chunk: int) -> DataFrame:
+    """(digest, ids) for each distinct text of docs (text, digest), by merges."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, counts, ids = model.value.sequences(map(model.value.units, batch.column(2).to_pylist()))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
+        return pa.RecordBatch.from_pydict({"digest": batch.column(0), "part": batch.column(1), "ids": lists})
+
+    return _whole(map_batches(_cut(docs, model, chunk), step, "digest string, part long, ids array<int>"))
+
+
+def _giant(docs: DataFrame, model, reach: int, chunk: int) -> DataFrame:
+    """(digest, ids) for each distinct text of docs (text, digest), by the largest sum."""
+
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         matrices, heads, middles, tails, ends = zip(*model.value.measure(batch.column(2).to_pylist(), chunk))
         found = {"matrix": [m.ravel() for m in matrices], "head": heads, "middle": _lists(middles)}
@@ -429,17 +616,13 @@ def _giant(docs: DataFrame, model, reach: int, chunk: int) -> DataFrame:
             rows.append(np.concatenate([first, middle.values.to_numpy(), last]))
         return pa.RecordBatch.from_pydict({"digest": batch.column(0), "part": batch.column(1), "ids": _lists(rows)})
 
-    parts = docs.mapInArrow(cut, "digest string, part long, text string")
-    parts = parts.groupBy("digest", "part").agg(F.first("text").alias("text"))  # equal texts are one
     schema = "digest string, part long, matrix array<double>, head string, middle array<int>, tail string, end long"
-    parts = stored(map_batches(parts, measure, schema), "chunks")
+    parts = stored(map_batches(_cut(docs, model, chunk), measure, schema), "chunks")
     of_text = parts.select("digest", "part", "matrix").groupBy("digest")
     at = of_text.applyInArrow(states, "digest string, part long, entry long, leave long")
     joined = parts.join(at, ["digest", "part"])
     joined = joined.select("digest", "part", "middle", "head", "tail", "end", "entry", "leave")
-    coded = map_batches(joined, finish, "digest string, part long, ids array<int>")
-    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "ids"))), lambda part: part["ids"]))
-    return coded.groupBy("digest").agg(whole.alias("ids"))
+    return _whole(map_batches(joined, finish, "digest string, part long, ids array<int>"))
 
 
 def encode(
@@ -452,13 +635,14 @@ def encode(
     """(doc_id, ids, decoded_sha256) for each row of docs; the digest is that of the text the ids give back.
 
     A null text has null ids and no digest, an empty one no ids. Rows with equal ids or texts are each encoded.
-    Texts of chunk characters or more go through the chunked scan, equal ones once. Other columns are left out. An
-    empty table gives an empty table.
+    Texts of chunk characters or more are cut into chunks, equal ones once. Other columns are left out. An empty
+    table gives an empty table.
     """
-    model = model or PieceModel.load()
-    if chunk < model.reach:
+    model = model or load_model()
+    merges = isinstance(model, MergeModel)
+    if not merges and chunk < model.reach:
         raise ValueError(f"a chunk has at least {model.reach} characters")
-    shared, reach = docs.sparkSession.sparkContext.broadcast(model), model.reach
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     source = identified(docs, doc_id, text)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -477,14 +661,16 @@ def encode(
     long = F.coalesce(F.length("text"), F.lit(0)) >= chunk  # with the space before it, more than one chunk
     short = map_batches(source.where(~long), step, f"doc_id {kind_of(source, 'doc_id')}, ids array<int>, decoded_sha256 string")
     giants = source.where(long).withColumn("digest", F.sha2("text", 256))
-    coded = decode(_giant(giants.select("text", "digest"), shared, reach, chunk), model=model)
+    distinct = giants.select("text", "digest")
+    coded = _giant_merged(distinct, shared, chunk) if merges else _giant(distinct, shared, model.reach, chunk)
+    coded = decode(coded, model=model)
     coded = giants.select("doc_id", "digest").join(coded, "digest")
     return short.union(coded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256")))
 
 
 def decode(coded: DataFrame, ids: str = "ids", name: str = "decoded", model: PieceModel | None = None) -> DataFrame:
     """coded with one more column, the text of ids; null for null."""
-    model = model or PieceModel.load()
+    model = model or load_model()
     shared = coded.sparkSession.sparkContext.broadcast(model)
     at = coded.columns.index(ids)
 
