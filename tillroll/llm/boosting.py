@@ -47,15 +47,17 @@ class BoostedTrees:
     base: float = 0.0
     fitted: list[Tree] = field(default_factory=list)
 
-    def fit(self, rows: np.ndarray, labels: np.ndarray) -> BoostedTrees:
-        share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
+    def fit(self, rows: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> BoostedTrees:
+        weights = np.ones(len(rows)) if weights is None else weights
+        share = np.clip(np.average(labels, weights=weights), 1e-3, 1 - 1e-3)
         self.base = float(np.log(share / (1 - share)))
         score = np.full(len(rows), self.base)
         cuts = [np.unique(np.quantile(column, np.linspace(0, 1, 33)[1:-1])) for column in rows.T]
         for _ in range(self.trees):
             chance = 1 / (1 + np.exp(-score))
             tree = Tree()
-            self._grow(tree, rows, labels - chance, chance * (1 - chance), np.arange(len(rows)), cuts, self.depth)
+            gradient, weight = weights * (labels - chance), weights * chance * (1 - chance)
+            self._grow(tree, rows, gradient, weight, np.arange(len(rows)), cuts, self.depth)
             self.fitted.append(tree)
             score += tree.predict(rows)
         return self

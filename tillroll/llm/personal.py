@@ -5,11 +5,12 @@ recall propose further spans, which may overlap: digits in groups, national phon
 quadruples, addresses with a spelled-out at sign. Each proposal has format and context features, without the
 traits by which the base decides (the plus sign, the at sign, the kind of dots). Proposals over a base span are
 the positive examples, all others the negative ones, so that the trees' score is the chance that a span of this
-look is confirmed personal data. On examples held out from training, each kind gets the lowest threshold above
+look is confirmed personal data. From the scores of all proposals, each kind gets the lowest threshold above
 which a stated share of proposals is confirmed. Proposals apart from the base spans that reach it are added.
 
-Two Arrow passes over the texts, one for the examples and one for the spans. The trees train on the driver on a
-bounded sample of examples; nothing else is collected or shuffled.
+Two Arrow passes over the texts, one for the examples and one for the spans. Equal examples are counted in a shuffle.
+The trees train on the driver on a bounded sample of the distinct ones, that has its part of each kind, confirmed or
+not, whatever the others' number. All of them are then scored in tasks, and only counts by score reach the driver.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from tillroll.llm.texts import as_text, identified, kind_of, map_batches
 from tillroll.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
-EXAMPLES = 20_000  # most examples that train the trees
+EXAMPLES = 20_000  # distinct examples that train the trees, at most about that many
 PRECISION = 0.95
-LEAST_CONFIRMED = 20  # held-out confirmed examples of a kind, below which it adds nothing
+STEPS = 4096  # scores are counted by their multiples of 1 / STEPS
 Span = tuple[int, int, str]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -191,45 +192,74 @@ def _examples(texts: DataFrame) -> DataFrame:
     return map_batches(texts, step, "kind string, confirmed boolean, features array<double>")
 
 
-def thresholds(kinds: np.ndarray, chance: np.ndarray, confirmed: np.ndarray, precision: float) -> dict[str, float]:
-    """For each kind the lowest score from which on the confirmed share of held-out examples is precision."""
+def thresholds(
+    kinds: np.ndarray, chance: np.ndarray, confirmed: np.ndarray, precision: float, copies: np.ndarray | None = None
+) -> dict[str, float]:
+    """For each kind the lowest score from which on the confirmed share of examples is precision."""
     found = {}
+    copies = np.ones(len(chance)) if copies is None else copies
     for kind in KINDS:
-        own = kinds == kind
-        order = np.argsort(-chance[own], kind="stable")
-        score, good = chance[own][order], confirmed[own][order]
-        if good.sum() < LEAST_CONFIRMED:
-            continue
-        share = np.cumsum(good) / np.arange(1, len(good) + 1)
-        last = np.r_[score[1:] != score[:-1], True]  # equal scores go together
+        own = np.flatnonzero(kinds == kind)
+        own = own[np.argsort(-chance[own], kind="stable")]
+        score, good = chance[own], copies[own] * confirmed[own]
+        share = np.cumsum(good) / np.cumsum(copies[own])
+        last = np.r_[score[1:] != score[:-1], np.ones(min(1, len(own)), bool)]  # equal scores go together
         enough = np.flatnonzero((share >= precision) & last)
         if len(enough):
             found[kind] = float(max(score[enough[-1]], 0.5))
     return found
 
 
-def train(docs: DataFrame, text: str = "text", examples: int = EXAMPLES, precision: float = PRECISION) -> Detector:
-    """A detector whose trees learn from at most about that many examples, chosen by a hash of their features.
+def _fitted(table: DataFrame, examples: int) -> BoostedTrees:
+    """Trees of a sample of (kind, confirmed, features, copies), chosen by a hash of the features.
 
-    Every fifth is held out for the thresholds. Without both confirmed and other examples only the base counts.
+    Kinds weigh by their distinct examples in the sample, and inside a kind the examples by their copies in the table.
     """
-    table = stored(_examples(docs.select(as_text(text).alias("text"))), "examples")
-    count = table.count()
-    if count > examples:
-        # Equal examples share their features, so each is told apart by its place in the file.
-        digest = F.pmod(F.xxhash64("features", "kind", F.monotonically_increasing_id()), F.lit(1 << 30))
-        table = table.where(digest < int(examples / count * (1 << 30)))
-    rows = table.select("kind", "confirmed", "features").toArrow()
+    sizes = {(r["kind"], r["confirmed"]): r["count"] for r in table.groupBy("kind", "confirmed").count().collect()}
+    most = examples / len(sizes)
+    share = F.lit(1.0)
+    for (kind, confirmed), size in sizes.items():
+        share = F.when((F.col("kind") == kind) & (F.col("confirmed") == confirmed), min(1.0, most / size)).otherwise(share)
+    sample = table.withColumn("share", share).where(F.pmod(F.xxhash64("features"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    rows = sample.select("kind", "confirmed", "features", (F.col("copies") / F.col("share")).alias("weight")).toArrow()
     kinds = np.array(rows["kind"].to_pylist(), object)
-    confirmed = np.array(rows["confirmed"].to_pylist(), bool)
-    if not confirmed.any() or confirmed.all():
+    labels = np.array(rows["confirmed"].to_pylist(), float)
+    points, weights = np.array(rows["features"].to_pylist()), rows["weight"].to_numpy().copy()
+    for kind in KINDS:
+        own = kinds == kind
+        weights[own] *= own.sum() / max(weights[own].sum(), 1e-300)
+    order = np.lexsort((*points.T, labels))  # the same trees whatever order the rows came in
+    return BoostedTrees().fit(points[order], labels[order], weights[order])
+
+
+def _counts(table: DataFrame, trees: BoostedTrees) -> DataFrame:
+    """(kind, step, confirmed, copies) of (kind, confirmed, features, copies), by the step that the score reaches."""
+    shared = table.sparkSession.sparkContext.broadcast(trees)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        points = np.array(batch.column(2).to_pylist())
+        steps = np.floor(shared.value.chance(points) * STEPS).astype(np.int64) if len(points) else []
+        found = {"kind": batch.column(0), "step": pa.array(steps, pa.int64())}
+        return pa.RecordBatch.from_pydict(found | {"confirmed": batch.column(1), "copies": batch.column(3)})
+
+    scored = map_batches(table, step, "kind string, step long, confirmed boolean, copies long")
+    return scored.groupBy("kind", "step", "confirmed").agg(F.sum("copies").alias("copies"))
+
+
+def train(docs: DataFrame, text: str = "text", examples: int = EXAMPLES, precision: float = PRECISION) -> Detector:
+    """A detector whose trees learn from about that many distinct examples, and whose thresholds come from all.
+
+    Without both confirmed and other examples only the base counts.
+    """
+    found = _examples(docs.select(as_text(text).alias("text"))).groupBy("kind", "confirmed", "features")
+    table = stored(found.agg(F.count("*").alias("copies")), "examples")
+    if table.select("confirmed").distinct().count() < 2:
         return Detector()
-    points = np.array(rows["features"].to_pylist())
-    order = np.lexsort((*points.T, kinds.astype(str)))  # the same trees whatever order the rows came in
-    kinds, confirmed, points = kinds[order], confirmed[order], points[order]
-    held = np.arange(len(points)) % 5 == 0
-    trees = BoostedTrees().fit(points[~held], confirmed[~held].astype(float))
-    return Detector(trees, thresholds(kinds[held], trees.chance(points[held]), confirmed[held], precision))
+    trees = _fitted(table, examples)
+    rows = _counts(table, trees).toArrow().to_pydict()
+    kinds, confirmed = np.array(rows["kind"], object), np.array(rows["confirmed"], bool)
+    chance, copies = np.array(rows["step"]) / STEPS, np.array(rows["copies"], float)
+    return Detector(trees, thresholds(kinds, chance, confirmed, precision, copies))
 
 
 def joined(spans: list[Span]) -> str:
