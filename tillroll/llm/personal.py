@@ -3,9 +3,11 @@
 The base finds email and network addresses, card and phone numbers by format and check. Generators with a high
 recall propose further spans, which may overlap: digits in groups, national phone numbers, dotted or dashed
 quadruples, addresses with a spelled-out at sign. Each proposal has format and context features, without the
-traits by which the base decides (the plus sign, the at sign, the kind of dots). Proposals over a base span are
-the positive examples, all others the negative ones, so that the trees' score is the chance that a span of this
-look is confirmed personal data. From the scores of all proposals, each kind gets the lowest threshold above
+traits by which the base decides (the plus sign, the at sign, the kind of dots). What is known of a proposal without
+these traits labels it (``evidence``): checks such as Luhn's, number ranges, the grouping of digits and context words
+confirm it; failed checks, words such as "part" or "version" before it and adjoining letters refute it. A proposal with
+neither is no example, but gets a score as all others do. So the trees' score is the chance that a span of this look is
+personal data, whether or not the base finds any. From the scores of all proposals, each kind gets the lowest threshold above
 which a stated share of proposals is confirmed. Proposals apart from the base spans that reach it are added.
 
 Two Arrow passes over the texts, one for the examples and one for the spans. Equal examples are counted in a shuffle.
@@ -107,6 +109,68 @@ def proposals(text: str) -> list[Span]:
     return in_order(list(found))
 
 
+_CONTEXT = {
+    "email": r"e-?mail|mail|contact|contact (?:me|us) at|write to|reach (?:me|us) at",
+    "ip": r"ip|ip address|host|server|ping|gateway",
+    "card": r"card|card number|visa|mastercard|amex",
+    "phone": r"tel|telephone|phone|phone number|call|call (?:me|us) at|fax|mobile|cell|dial|whatsapp",
+}
+_CONTEXT = {kind: re.compile(rf"(?<![A-Za-z])(?:{words})\W{{0,3}}$", re.IGNORECASE) for kind, words in _CONTEXT.items()}
+_OTHER = re.compile(
+    r"(?<![A-Za-z])(?:part|serial|series|isbn|issn|order|invoice|version|article|sku|item|token|id|key|ref|release|build"
+    r"|section|chapter|lot|model)(?: (?:no\.?|nr\.?|number))?\W{0,3}$",
+    re.IGNORECASE,
+)
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[ .-]?(?:0[1-9]|1[0-2])[ .-]?(?:0[1-9]|[12][0-9]|3[01])")
+
+
+def _address_evidence(inside: str, named: bool) -> bool | None:
+    local, host = re.split(r"@| ?[(\[{]at[)\]}] ?", inside, maxsplit=1, flags=re.IGNORECASE)
+    labels = re.split(r"\.| ?[(\[{]dot[)\]}] ?", host, flags=re.IGNORECASE)
+    if len(labels) == 1:
+        return named or None
+    return len(labels[-1]) > 1 and labels[-1].isalpha() and any(c.isalpha() for c in local)
+
+
+def _network_evidence(parts: list[str], named: bool) -> bool | None:
+    if not all(part == str(int(part)) and int(part) <= 255 for part in parts):
+        return False
+    return named or sum(map(len, parts)) >= 9 or None  # longer parts are seldom in range by chance
+
+
+def _phone_evidence(digits: str, groups: list[str], inside: str, named: bool) -> bool | None:
+    if named:
+        return True
+    if _DATE.fullmatch(inside):
+        return False
+    national = groups[1:] if groups[0] == "1" else groups
+    if [len(group) for group in national] == [3, 3, 4]:
+        return "(" in inside or (national[0][0] > "1" and national[1][0] > "1") or None
+    return None
+
+
+def evidence(text: str, span: Span) -> bool | None:
+    """Whether a proposal is personal data, by what the base does not decide by; None where nothing tells."""
+    start, end, kind = span
+    inside = text[start:end]
+    before = text[max(0, start - 40) : start].rstrip("+(")
+    named = bool(_CONTEXT[kind].search(before))
+    if kind == "email":
+        return _address_evidence(inside, named)
+    if _OTHER.search(before) or text[start - 1 : start].isalnum() or text[end : end + 1].isalnum():
+        return False
+    groups = re.findall(r"[0-9]+", inside)
+    if kind == "ip":
+        more = re.compile(r"[.,_-][0-9]")  # a longer row of numbers
+        return False if more.match(text, end) else _network_evidence(groups, named)
+    if _QUAD.fullmatch(inside) and all(map(_small, groups)):
+        return False
+    digits = "".join(groups)
+    if kind == "phone":
+        return _phone_evidence(digits, groups, inside, named)
+    return luhn(digits) and (named or "2" <= digits[0] <= "6" or None)
+
+
 def _class(character: str) -> int:
     tests = (str.isspace, str.isalpha, str.isdigit, bool)
     return next((i for i, test in enumerate(tests, 1) if test(character)), 0)
@@ -170,16 +234,15 @@ class Detector:
 
 
 def _examples(texts: DataFrame) -> DataFrame:
-    """(kind, confirmed, features) of every proposal in the column text."""
+    """(kind, confirmed, features) of every proposal that evidence tells about in the column text."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         kinds, confirmed, rows = [], [], []
         for text in batch.column(0).to_pylist():
-            if text and _ANY.search(text) and (found := proposals(text)):
-                base = base_spans(text)
-                for span in found:
+            for span in proposals(text) if text and _ANY.search(text) else ():
+                if (told := evidence(text, span)) is not None:
                     kinds.append(span[2])
-                    confirmed.append(_meets(span, [b for b in base if b[2] == span[2]]))
+                    confirmed.append(told)
                     rows.append(features(text, span))
         return pa.RecordBatch.from_pydict(
             {
@@ -249,17 +312,19 @@ def _counts(table: DataFrame, trees: BoostedTrees) -> DataFrame:
 def train(docs: DataFrame, text: str = "text", examples: int = EXAMPLES, precision: float = PRECISION) -> Detector:
     """A detector whose trees learn from about that many distinct examples, and whose thresholds come from all.
 
-    Without both confirmed and other examples only the base counts.
+    Where all examples are confirmed, every score is high, and where none is, low. A kind without any example has
+    precision itself as its threshold, since scores are chances. Without an example of any kind only the base counts.
     """
     found = _examples(docs.select(as_text(text).alias("text"))).groupBy("kind", "confirmed", "features")
     table = stored(found.agg(F.count("*").alias("copies")), "examples")
-    if table.select("confirmed").distinct().count() < 2:
+    if table.isEmpty():
         return Detector()
     trees = _fitted(table, examples)
     rows = _counts(table, trees).toArrow().to_pydict()
     kinds, confirmed = np.array(rows["kind"], object), np.array(rows["confirmed"], bool)
     chance, copies = np.array(rows["step"]) / STEPS, np.array(rows["copies"], float)
-    return Detector(trees, thresholds(kinds, chance, confirmed, precision, copies))
+    unseen = {kind: precision for kind in KINDS if kind not in kinds}
+    return Detector(trees, unseen | thresholds(kinds, chance, confirmed, precision, copies))
 
 
 def joined(spans: list[Span]) -> str:
