@@ -6,7 +6,21 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillroll.llm import archive, classlm, decontamination, neardup, personal, pieces, repetition, units, weaklabels, wordpiece
+from tillroll.llm import (
+    alignment,
+    archive,
+    classlm,
+    decontamination,
+    language,
+    neardup,
+    periodic,
+    personal,
+    pieces,
+    repetition,
+    units,
+    weaklabels,
+    wordpiece,
+)
 from tillroll.session import run_folder
 
 BENCHMARK = [(1, "one two three four five six seven eight nine ten"), (2, None), (3, ""), (None, "alpha beta gamma")]
@@ -31,6 +45,9 @@ PER_ROW = {
     "classlm": classlm.corpus_scores,
     "neardup": neardup.near_groups,
     "wordpiece": wordpiece.token_counts,
+    "language": lambda docs: language.predict(docs, language.fit(docs, label="label")),
+    "alignment": alignment.token_alignment,
+    "periodic": periodic.periodic_runs,
     "pieces": lambda docs: pieces.decode(pieces.encode(docs, chunk=1000)),
 }
 SAME_COLUMNS = {

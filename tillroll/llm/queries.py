@@ -3,11 +3,26 @@
 from __future__ import annotations
 
 import os
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import archive, classlm, decontamination, neardup, personal, pieces, repetition, units, weaklabels, wordpiece
+from tillroll.llm import (
+    alignment,
+    archive,
+    classlm,
+    decontamination,
+    language,
+    neardup,
+    periodic,
+    personal,
+    pieces,
+    repetition,
+    units,
+    weaklabels,
+    wordpiece,
+)
 from tillroll.session import apply_runtime_settings, run_folder
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -74,6 +89,44 @@ def coded_and_decoded(docs: DataFrame) -> DataFrame:
     return pieces.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language.fit(docs, learn_from=F.coalesce(~held_out, F.lit(True)))
+    return language.predict(docs, model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.token_alignment(table(spark, folder, "documents"))
+
+
+def repeating(doc_id: object, words: list[bytes]) -> list[bytes]:
+    """The words of a document, of every tenth id by its checksum made to repeat from some word on."""
+    checksum = crc32(str(doc_id).encode())
+    n, g = len(words), checksum // 10
+    if doc_id is None or checksum % 10 or not n:
+        return words
+    start = g % n
+    period = 1 + (n - start) // (3 + g % 8)
+    return words[:start] + [words[start + i % period] for i in range(n - start)]
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(table(spark, folder, "documents"), rewrite=repeating)
+    best = periodic.strongest("runs")
+    lines = F.transform("runs", lambda run: F.concat_ws(",", run["start"], run["length"], run["period"]))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(lines, lambda line: F.concat(line, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_quality_classifier": op2_quality_classifier,
@@ -85,6 +138,9 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_language_id": op11_language_id,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 # Five hexadecimal digits of the digest make four characters of base 32.
