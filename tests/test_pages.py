@@ -1,0 +1,86 @@
+"""One read of the lines gives every section of the pages."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+from tables import retail
+
+from tillroll.operators.filters import SalesFilter
+from tillroll.operators.lattice import cuboids
+from tillroll.plans import dashboard, pages
+from tillroll.plans.registry import NARROW, TWO_YEARS, UNSOLD
+from tillroll.sources.warehouse import PreparedTables
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def counted(df):
+    return sorted(df.columns), Counter(tuple(r) for r in df.select(sorted(df.columns)).collect())
+
+
+def assert_as_own_functions(tables, chosen):
+    for name, section in pages.page_sections(tables, chosen).items():
+        assert counted(section) == counted(getattr(dashboard, name)(tables, chosen)), name
+
+
+@pytest.mark.parametrize("chosen", [SalesFilter(), TWO_YEARS, NARROW, UNSOLD, SalesFilter(categories=("SMALL",))])
+def test_sections_are_those_of_the_dashboard(spark, chosen):
+    assert_as_own_functions(PreparedTables(spark, FOLDER), chosen)
+
+
+def test_gaps_orphans_and_namesakes(spark):
+    tables = retail(
+        spark,
+        customers=[("c1", "Ann", "A", "X"), ("c2", "Ann", "A", None), ("c3", "Bo", "B", "Y")],
+        products=[("p1", "Pen", "Office", "B1", 1, 5), ("p2", "Pen", None, None, None, 5), ("p3", "Cup", "Home", "B1", 2, 1)],
+        orders=[
+            ("o1", "c1", "2024-01-31", None, "Delivered", 1),
+            ("o2", "c2", "2024-02-01", "UPI", None, 1),
+            ("o3", "c9", "2024-02-01", "UPI", "Pending", 1),
+            ("o4", None, "2024-03-01", "UPI", "Pending", 1),
+            ("o5", "c3", "2024-03-02", "UPI", "Pending", 1),
+        ],
+        items=[
+            ("o1", "p1", 2, 10), ("o1", "p2", 1, 4), ("o2", "p1", 1, None), ("o3", "p3", None, 5), ("o4", "p9", 3, 7),
+            ("o8", "p1", 1, 9), (None, "p3", 1, 3), ("o1", None, 1, 2), ("o3", "p3", 1, 6),
+        ],
+    )
+    for chosen in (SalesFilter(), SalesFilter(categories=("Office",)), SalesFilter(states=("X",))):
+        assert_as_own_functions(tables, chosen)
+
+
+def test_no_lines(spark):
+    assert_as_own_functions(retail(spark), SalesFilter())
+
+
+def test_one_read_of_the_lines(spark):
+    tables = PreparedTables(spark, FOLDER)
+    first = pages.line_sums(tables, NARROW)._jdf.queryExecution().executedPlan().toString()
+    assert first.count("lineitem.parquet") == 1
+    # What follows starts from stored sums.
+    page = pages.page(tables, NARROW)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in page
+
+
+def test_groupings_start_from_the_smallest_that_holds_them(spark):
+    rows = spark.range(2000).select(
+        (F.col("id") % 500).alias("a"), (F.col("id") % 10).alias("b"), (F.col("id") % 4).alias("c"), F.lit(1).alias("n")
+    )
+    groupings = {"ab": ["a", "b"], "bc": ["b", "c"], "b": ["b"], "c": ["c"]}
+    found = cuboids(rows, groupings, ["n"])
+    for name, columns in groupings.items():
+        assert counted(found[name]) == counted(rows.groupBy(*columns).agg(F.sum("n").alias("n")))
+    # b is in ab (500 rows) and in bc (20); c only in bc.
+    files = {name: found[name].inputFiles() for name in groupings}
+    assert files["b"] == files["c"] == files["bc"] != files["ab"]
+    total = cuboids(rows, groupings | {"all": []}, ["n"])["all"]
+    assert [r["n"] for r in total.collect()] == [2000]
+
+
+def test_a_total_of_nothing_is_a_row(spark):
+    rows = spark.createDataFrame([], "a int, n int")
+    found = cuboids(rows, {"a": ("a",), "all": ()}, ["n"])
+    assert [tuple(r) for r in found["all"].collect()] == [(None,)] and found["a"].count() == 0

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tillroll.operators import quantiles
 from tillroll.operators.quantiles import _hit, _Search, cut_offs, score
 
 
@@ -82,3 +83,33 @@ def test_no_rows_give_no_cut_offs(spark):
 def test_score_counts_the_cut_offs_below(spark):
     df = spark.createDataFrame([(v,) for v in (1, 2, 3, 9)], "v int")
     assert [r[0] for r in df.select(score(F.col("v"), [2.0, 3.0])).collect()] == [1, 1, 2, 3]
+
+
+def reads(monkeypatch):
+    """How often the rows are read, the sketch included."""
+    made = []
+    for name in ("_sketched", "_narrowed"):
+        inner = getattr(quantiles, name)
+        monkeypatch.setattr(quantiles, name, lambda *args, inner=inner: made.append(1) or inner(*args))
+    return made
+
+
+@pytest.mark.parametrize("kind", ["spread", "few", "hot", "same"])
+def test_a_sketch_and_one_count_are_enough(spark, monkeypatch, kind):
+    values = values_of(kind, 20_000)
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(9)
+    made = reads(monkeypatch)
+    assert cut_offs(df, ["v"], 5, buckets=4000)["v"] == exact(values, 5)
+    assert len(made) == (1 if kind == "same" else 2)
+
+
+def test_a_bracket_that_misses_is_found_out(spark, monkeypatch):
+    """Sketched values that lie far off cost further reads, and no exactness."""
+    values = values_of("hot", 3000) + [math.nan, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    sketched = quantiles._sketched
+    for shift in (-60.0, 45.0, 1000.0):
+        move = lambda found: (*found[:3], [x + shift for x in found[3]])  # noqa: E731,B023
+        wrong = lambda *args: {c: move(found) for c, found in sketched(*args).items()}  # noqa: E731,B023
+        monkeypatch.setattr(quantiles, "_sketched", wrong)
+        assert cut_offs(df, ["v"], 5)["v"] == exact(values[:3000], 5)

@@ -148,3 +148,50 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
 def test_local_session_is_shared(spark):
     assert local_session() is spark or local_session().sparkContext is spark.sparkContext
+
+
+ITEM_LINES = """order_item_id,order_id,product_id,quantity,unit_price
+I1,O1,P1,1,2.50
+I2,O1,P1,many,2.50
+I3,O1,P1,1
+I4,O1,P1,1,2.50,7
+I5,"O ""1"", b",P1,,2.5
+I6,O1,P1,2,cheap
+I7,O1,,2,99999999999.99
+"""
+
+
+def test_lines_that_do_not_fit_are_set_aside(spark, tmp_path):
+    extract, rejects = tmp_path / "items.csv", str(tmp_path / "rejects")
+    extract.mkdir()
+    (extract / "a.csv").write_text(ITEM_LINES)
+    (extract / "b.csv").write_text(ITEM_LINES.splitlines()[0] + "\nI9,O9,P9,3,1\n")
+    good = files.load_csv(spark, str(extract), schemas.ORDER_ITEMS, rejects, most_rejects=5)
+    assert good.schema == schemas.ORDER_ITEMS
+    found = {r[0]: r for r in rows(good)}
+    assert set(found) == {"I1", "I5", "I9"} and found["I5"][1] == 'O "1", b' and found["I5"][3] is None
+    bad = {r["line"].split(",")[0]: r for r in spark.read.parquet(rejects).collect()}
+    assert {i: r["reason"] for i, r in bad.items()} == {
+        "I2": "quantity is no int",
+        "I3": "wrong number of values",
+        "I4": "wrong number of values",
+        "I6": "unit_price is no decimal(10,2)",
+        "I7": "unit_price is no decimal(10,2)",
+    }
+    assert all(r["file"].endswith("/items.csv/a.csv") for r in bad.values())
+    assert bad["I6"]["line"] == "I6,O1,P1,2,cheap"
+
+
+def test_too_many_rejects_stop_the_load_after_they_were_written(spark, tmp_path):
+    (tmp_path / "items.csv").write_text(ITEM_LINES)
+    with pytest.raises(ValueError, match="5 lines .* were rejected, more than 4"):
+        files.load_csv(spark, str(tmp_path / "items.csv"), schemas.ORDER_ITEMS, str(tmp_path / "r"), most_rejects=4)
+    assert spark.read.parquet(str(tmp_path / "r")).count() == 5
+
+
+def test_a_load_without_rejects_and_one_with_a_wrong_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n".join(ITEM_LINES.splitlines()[:2]) + "\n")
+    assert files.load_csv(spark, str(tmp_path / "a.csv"), schemas.ORDER_ITEMS, str(tmp_path / "r"), 0).count() == 1
+    (tmp_path / "b.csv").write_text("order_item_id,product_id,order_id,quantity,unit_price\nI1,P1,O1,1,2\n")
+    with pytest.raises(Exception, match="header|Header"):
+        files.load_csv(spark, str(tmp_path / "b.csv"), schemas.ORDER_ITEMS, str(tmp_path / "s")).collect()

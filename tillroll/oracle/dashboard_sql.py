@@ -87,3 +87,58 @@ for _key in (
     "d17_daily_profit",
 ):
     BODIES[f"{_key}_all"] = BODIES[_key].replace("narrow", "master").replace("two_years", "master")
+
+for _key in ("d01_filtered_sales", "d06_daily_sales"):
+    BODIES[f"{_key}_dated"] = BODIES[_key]
+BODIES["d03_home_kpis_bucketed"] = BODIES["d03_home_kpis"]
+
+# Section of the page, its statement, label, measures.
+_SECTIONS = (
+    ("home_kpis", "d03_home_kpis", "NULL", ("total_revenue", "total_profit", "total_orders", "total_customers")),
+    ("revenue_by_category", "d04_revenue_by_category", "category", ("revenue",)),
+    ("order_status_counts", "d05_order_status_counts", "order_status", ("count",)),
+    ("daily_sales", "d06_daily_sales", '"Date"', ("Revenue",)),
+    ("monthly_sales", "d07_monthly_sales", "month_year", ("revenue",)),
+    ("revenue_by_payment_method", "d08_revenue_by_payment", "payment_method", ("revenue",)),
+    ("top_product_names", "d09_top_product_names", "product_name", ("revenue",)),
+    ("top_brands", "d10_top_brands", "brand", ("revenue",)),
+    ("items_by_category", "d11_items_by_category", "category", ("quantity",)),
+    ("top_states", "d14_top_states", "state", ("revenue",)),
+    ("profit_margin", "d15_profit_margin", "NULL", ("total_revenue", "total_profit", "margin_percentage")),
+    ("profit_by_category", "d16_profit_by_category", "category", ("profit",)),
+)
+
+
+def _page(source: str) -> str:
+    parts = []
+    for section, key, label, measures in _SECTIONS:
+        body = BODIES[key]
+        for other in ("narrow", "two_years", "master"):
+            body = body.replace(f"FROM {other}", f"FROM {source}")
+        parts += [
+            f"SELECT '{section}' AS section, CAST({label} AS VARCHAR) AS label, '{measure}' AS measure, "
+            f'CAST("{measure}" AS DOUBLE) AS amount FROM ({body})'
+            for measure in measures
+        ]
+    return "\nUNION ALL ".join(parts)
+
+
+BODIES["d19_page"] = _page("narrow")
+BODIES["d19_page_all"] = _page("master")
+
+
+def _distinct(columns: str = "", where: str = "TRUE") -> str:
+    return f"""
+SELECT {columns + ',' if columns else ''} COUNT(DISTINCT order_id) AS distinct_orders,
+       COUNT(DISTINCT customer_id) AS distinct_customers
+FROM (SELECT *, strftime(order_date, '%Y-%m') AS month FROM master) WHERE {where}
+{'GROUP BY ' + columns if columns else ''}
+"""
+
+
+BODIES["b01_distinct_by_category"] = _distinct("category")
+BODIES["b02_distinct_by_state"] = _distinct("state")
+BODIES["b03_distinct_by_month"] = _distinct("month")
+BODIES["b04_distinct_of_a_union"] = _distinct(
+    where="category IN ('ECONOMY', 'SMALL') AND state <> 'ASIA' AND month BETWEEN '1996-11' AND '1998-02'"
+)

@@ -59,5 +59,33 @@ UNION ALL SELECT 'v_seller_performance', COUNT(DISTINCT seller_id) FROM summary
 UNION ALL SELECT 'v_regional_sales', COUNT(DISTINCT customer_state) FROM summary
 UNION ALL SELECT 'v_payment_analysis', COUNT(*) FROM
   (SELECT DISTINCT payment_type, payment_installments FROM payments)
+""",
+    "k06_refresh_months": """
+, deleted AS (
+  SELECT o_orderkey AS order_id FROM orders
+  WHERE year(o_orderdate) = 1999 AND month(o_orderdate) = 5 AND o_orderkey % 5 = 0
+), kept AS (
+  SELECT * FROM summary WHERE order_id NOT IN (SELECT order_id FROM deleted)
+), kept_payments AS (
+  SELECT * FROM payments WHERE order_id NOT IN (SELECT order_id FROM deleted)
+), by_payment AS (
+  SELECT payment_type, payment_installments, COUNT(DISTINCT order_id) AS orders, SUM(payment_value) AS paid
+  FROM kept_payments GROUP BY ALL
+)
+SELECT 'v_sales_summary' AS mart, COUNT(*) AS row_count, CAST(SUM(price) AS DOUBLE) AS revenue,
+       COUNT(DISTINCT order_id) AS orders FROM kept
+UNION ALL SELECT 'v_monthly_sales', COUNT(DISTINCT strftime(order_purchase_timestamp, '%Y-%m')),
+  CAST(SUM(price) AS DOUBLE), COUNT(DISTINCT order_id) FROM kept
+UNION ALL SELECT 'v_category_performance', COUNT(DISTINCT category), CAST(SUM(price) AS DOUBLE),
+  COUNT(DISTINCT (category, order_id)) FROM kept
+UNION ALL SELECT 'v_customer_segments', COUNT(DISTINCT customer_unique_id), CAST(SUM(price) AS DOUBLE),
+  COUNT(DISTINCT order_id) FROM kept
+UNION ALL SELECT 'v_seller_performance', COUNT(DISTINCT seller_id), CAST(SUM(price) AS DOUBLE),
+  COUNT(DISTINCT (seller_id, order_id)) FROM kept
+UNION ALL SELECT 'v_regional_sales', COUNT(DISTINCT customer_state), CAST(SUM(price) AS DOUBLE),
+  COUNT(DISTINCT order_id) FROM kept
+UNION ALL SELECT 'v_payment_analysis', COUNT(*), CAST(SUM(paid) AS DOUBLE), CAST(SUM(orders) AS BIGINT)
+  FROM by_payment
 """,
 }
+BODIES["v_sales_summary_bucketed"] = BODIES["v_sales_summary"]

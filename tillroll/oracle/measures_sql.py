@@ -137,5 +137,28 @@ FROM delivered WHERE delivery_days IS NOT NULL GROUP BY 1
 SELECT CAST(SUM(price) AS DOUBLE) AS total_revenue, COUNT(DISTINCT order_id) AS total_orders
 FROM summary
 WHERE year(order_purchase_timestamp) = 1997 AND quarter(order_purchase_timestamp) = 2
+""",
+    "m19_running_daily": """
+, days AS (
+  SELECT CAST(order_purchase_timestamp AS DATE) AS day, SUM(price) AS revenue FROM summary
+  WHERE order_purchase_timestamp IS NOT NULL GROUP BY 1
+)
+SELECT day, CAST(revenue AS DOUBLE) AS revenue,
+       CAST(SUM(revenue) OVER (PARTITION BY year(day) ORDER BY day) AS DOUBLE) AS year_to_date,
+       CAST(SUM(revenue) OVER (ORDER BY day) AS DOUBLE) AS to_date
+FROM days
+""",
+    "m20_running_orders": """
+, sold AS (
+  SELECT order_id, order_purchase_timestamp, SUM(price) AS revenue FROM summary
+  WHERE order_purchase_timestamp IS NOT NULL GROUP BY 1, 2
+)
+SELECT order_id, order_purchase_timestamp, CAST(revenue AS DOUBLE) AS revenue,
+       CAST(SUM(revenue) OVER (PARTITION BY year(order_purchase_timestamp)
+            ORDER BY order_purchase_timestamp, order_id) AS DOUBLE) AS year_to_date,
+       CAST(SUM(revenue) OVER (ORDER BY order_purchase_timestamp, order_id) AS DOUBLE) AS to_date
+FROM sold
 """,
 }
+# The same rows out of a stored copy.
+BODIES["m16_year_quarter_slice_dated"] = BODIES["m16_year_quarter_slice"]

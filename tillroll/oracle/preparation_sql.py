@@ -44,5 +44,13 @@ FROM master GROUP BY 1
 SELECT product_id, product_name, category, brand, CAST(cost_price AS DOUBLE) AS cost_price,
        stock_quantity
 FROM products WHERE stock_quantity < 10
+""",
+    "p10_csv_rejects": """
+SELECT CASE order_item_id % 1000 WHEN 1 THEN 'quantity is no int'
+            WHEN 2 THEN 'unit_price is no decimal(10,2)' ELSE 'loaded' END AS outcome,
+       COUNT(*) AS line_count,
+       CAST(SUM(CASE WHEN order_item_id % 1000 IN (1, 2) THEN NULL ELSE quantity END) AS BIGINT) AS units
+FROM order_items GROUP BY 1
 """,
 }
+BODIES["p05_sales_master_bucketed"] = BODIES["p05_sales_master"]

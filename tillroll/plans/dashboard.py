@@ -11,6 +11,9 @@ Groups without a key value are left out, as the dashboard leaves them out.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,14 +94,20 @@ def home_kpis(t: RetailTables, chosen: SalesFilter = EVERYTHING) -> DataFrame:
     Summing per order, then per customer, makes both distinct counts plain
     counts of rows that are already unique.
     """
-    per_customer = (
-        _sales_per_order(t, chosen, ("customer_id",), profit=True)
-        .groupBy("customer_id")
-        .agg(
-            F.sum("revenue").alias("revenue"),
-            F.sum("profit").alias("profit"),
-            F.count("order_id").alias("orders"),
-        )
+    return _kpis_of_orders(_sales_per_order(t, chosen, ("customer_id",), profit=True))
+
+
+def home_kpis_of_parts(parts: Sequence[RetailTables], chosen: SalesFilter = EVERYTHING) -> DataFrame:
+    """:func:`home_kpis` of tables that are stored in parts, of which each order lies in one with all its lines."""
+    per_order = [_sales_per_order(t, chosen, ("customer_id",), profit=True) for t in parts]
+    return _kpis_of_orders(reduce(DataFrame.unionByName, per_order))
+
+
+def _kpis_of_orders(per_order: DataFrame) -> DataFrame:
+    per_customer = per_order.groupBy("customer_id").agg(
+        F.sum("revenue").alias("revenue"),
+        F.sum("profit").alias("profit"),
+        F.count("order_id").alias("orders"),
     )
     return per_customer.agg(
         _sum_or_zero("revenue").alias("total_revenue"),

@@ -6,7 +6,7 @@ import uuid
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions import dates
@@ -140,7 +140,12 @@ def customer_segments(facts: DataFrame) -> DataFrame:
     with the quintile cut-offs over all customers. The customer rows are read
     three times (last day, cut-offs, scores), so they are stored in between.
     """
-    per_customer = stored(_customer_activity(facts), "customer-activity")
+    return segments_of(_customer_activity(facts))
+
+
+def segments_of(activity: DataFrame) -> DataFrame:
+    """Scores and segments of customers with their last_day, frequency and monetary."""
+    per_customer = stored(activity, "customer-activity")
     newest = per_customer.agg(F.max("last_day")).scalar()
     customers = per_customer.select(
         "customer_unique_id",
@@ -208,6 +213,11 @@ def refresh(model: StoreModel, folder: str, keep: int = 2) -> DataFrame:
     target = f"{folder}/{datetime.now(UTC):{REFRESH_FORMAT}}-{uuid.uuid4().hex[:8]}"
     with scratch(spark):
         written = _write_marts(model, target)
+    return publish(spark, folder, written, keep)
+
+
+def publish(spark: SparkSession, folder: str, written: dict[str, DataFrame], keep: int) -> DataFrame:
+    """Move the views to the written marts and delete old refreshes; the row counts of the marts."""
     views = {name: replace_view(df, name) for name, df in written.items()}
     refreshes = [name for name in subfolders(spark, folder) if name.startswith(REFRESH)]
     for old in refreshes[: -max(keep, 1)]:

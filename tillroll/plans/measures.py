@@ -21,7 +21,7 @@ from tillroll.functions import bins, dates
 from tillroll.functions.money import reported
 from tillroll.functions.ratios import percent_or_zero, ratio, ratio_or_zero
 from tillroll.model import StoreModel
-from tillroll.operators import periods, shares, toplists
+from tillroll.operators import periods, running, shares, toplists
 from tillroll.operators.filters import SalesFilter
 
 PURCHASED = "order_purchase_timestamp"
@@ -136,6 +136,27 @@ def ytd_revenue(facts: DataFrame) -> DataFrame:
     )
 
 
+def running_daily(facts: DataFrame) -> DataFrame:
+    """Revenue of each day with the totals up to it, of its year and of all years. Undated sales are left out."""
+    day = F.to_date(PURCHASED)
+    days = facts.where(F.col(PURCHASED).isNotNull()).groupBy(day.alias("day")).agg(F.sum("price").alias("revenue"))
+    return _running(days.withColumn("order_year", F.year("day")), ["day"], "revenue").drop("order_year")
+
+
+def running_orders(facts: DataFrame) -> DataFrame:
+    """Revenue of each order with the totals up to it; orders of one moment go by their id."""
+    orders = facts.where(F.col(PURCHASED).isNotNull()).select(
+        "order_id", PURCHASED, F.col("price").alias("revenue"), F.year(PURCHASED).alias("order_year")
+    )
+    return _running(orders, [PURCHASED, "order_id"], "revenue").drop("order_year")
+
+
+def _running(rows: DataFrame, order_by: list[str], value: str) -> DataFrame:
+    in_year = running.running_total(rows, order_by, value, "year_to_date", within=["order_year"])
+    ever = running.running_total(in_year, order_by, value, "to_date")
+    return ever.withColumns({c: reported(c) for c in (value, "year_to_date", "to_date")})
+
+
 def repeat_rate(facts: DataFrame) -> DataFrame:
     """Customers with two or more orders, of all customers with any."""
     per_customer = facts.groupBy("customer_unique_id").agg(F.count("order_id").alias("orders"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +16,12 @@ from tillroll.functions.money import reported
 from tillroll.operators import integrity
 from tillroll.operators.filters import SalesFilter
 from tillroll import schemas
-from tillroll.plans import dashboard, marts, measures, preparation, relations, sales
+from tillroll.plans import dashboard, distinct, increments, marts, measures, pages, preparation, relations, sales
 from tillroll.plans.measures import DELIVERED, ESTIMATED, PURCHASED
-from tillroll.session import apply_runtime_settings, run_folder
-from tillroll.sources import catalog, files
+from tillroll.model import RetailTables, StoreModel
+from tillroll.session import apply_runtime_settings, run_folder, shared_folder, subfolders
+from tillroll.sources import catalog, colocated, files
+from tillroll.sources.dated import DatedStore, DatedTables, facts_of
 from tillroll.sources.warehouse import PreparedTables, WarehouseStore, WarehouseTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,6 +285,160 @@ def _refresh_marts(spark: SparkSession, folder: str) -> DataFrame:
     return marts.refresh(_store(spark, folder), run_folder(spark, "marts"))
 
 
+def _stored_copy(spark: SparkSession, folder: str, purpose: str, last: str, write: Callable[[str], None]) -> str:
+    """The path of a stored copy of the tables of ``folder``, made by the first query of the application that reads it.
+
+    ``last`` is the part of the copy that ``write`` makes last; without it the copy is made again.
+    """
+    name = hashlib.sha256(f"{spark.sparkContext.applicationId} {folder}".encode()).hexdigest()[:16]
+    path = f"{shared_folder(spark).rstrip('/')}/{purpose}-{name}"
+    if last not in subfolders(spark, path):
+        write(path)
+    return path
+
+
+def _dated(spark: SparkSession, folder: str) -> DatedTables:
+    """Orders and lines stored by month."""
+    tables = _prepared(spark, folder)
+    path = _stored_copy(spark, folder, "dated", "calendar", lambda path: DatedTables(tables, path).store())
+    return DatedTables(tables, path)
+
+
+def _dated_page(plan: Callable[..., DataFrame], chosen: SalesFilter) -> Query:
+    return lambda spark, folder: plan(_dated(spark, folder).within(chosen), chosen)
+
+
+def _dated_sales(spark: SparkSession, folder: str) -> DataFrame:
+    return _line_report(dashboard.filtered_sales(_dated(spark, folder).within(NARROW), NARROW))
+
+
+def _dated_slice(spark: SparkSession, folder: str) -> DataFrame:
+    """The year and quarter slice of the report, over lines stored by month."""
+    tables = _dated(spark, folder).within(QUARTER)
+    orders = tables.orders.select("order_id", F.col("order_date").alias(PURCHASED))
+    lines = tables.order_items.join(orders, "order_id").groupBy("order_id", PURCHASED)
+    facts = lines.agg(F.sum("unit_price").alias("price"), F.count(F.lit(1)).alias("lines"))
+    return measures.revenue_in_period(facts, year=SLICE_YEAR, quarter=SLICE_QUARTER)
+
+
+def _bitmaps(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored bitmaps of distinct orders and customers."""
+    tables = _retail(spark, folder)
+
+    def write(path: str) -> None:
+        files.replace_table(distinct.bitmap_rows(tables), f"{path}/bitmaps")
+
+    path = _stored_copy(spark, folder, "distinct", "bitmaps", write)
+    return spark.read.parquet(f"{path}/bitmaps")
+
+
+def _distinct(*by: str, chosen: str | None = None) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        wanted = None if chosen is None else F.expr(chosen)
+        return distinct.distinct_counts(_bitmaps(spark, folder), *by, chosen=wanted)
+
+    return run
+
+
+UNION = "category IN ('ECONOMY', 'SMALL') AND state <> 'ASIA' AND month BETWEEN '1996-11' AND '1998-02'"
+
+
+# So that both parts of a bucketed copy hold orders.
+BUCKETS, HOT_LINES = 8, 8
+
+
+def _bucketed(spark: SparkSession, folder: str, facts: dict[str, DataFrame], model: str) -> str:
+    """A database of facts bucketed by order, made by the first query that reads it."""
+    database = f"{model}_{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
+    last = list(facts)[-1]
+    if not spark.catalog.tableExists(f"{database}.{last}{colocated.HOT}"):
+        colocated.write_facts(facts, database, BUCKETS, HOT_LINES)
+    return database
+
+
+def _retail_parts(spark: SparkSession, folder: str) -> list[RetailTables]:
+    tables = _prepared(spark, folder)
+    facts = {"orders": tables.orders, "order_items": tables.order_items}
+    return colocated.retail_parts(tables, _bucketed(spark, folder, facts, "bucketed_retail"))
+
+
+def _store_parts(spark: SparkSession, folder: str) -> list[StoreModel]:
+    store = _store(spark, folder)
+    model = StoreModel(**facts_of(store), customers=store.customers, products=store.products, sellers=store.sellers)
+    return colocated.store_parts(model, _bucketed(spark, folder, facts_of(store), "bucketed_store"))
+
+
+def _master_of_parts(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [preparation.sales_master(part) for part in _retail_parts(spark, folder)]
+    return _line_report(reduce(DataFrame.unionByName, parts))
+
+
+def _kpis_of_parts(spark: SparkSession, folder: str) -> DataFrame:
+    return dashboard.home_kpis_of_parts(_retail_parts(spark, folder), NARROW)
+
+
+def _summary_of_parts(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [marts.sales_summary(part) for part in _store_parts(spark, folder)]
+    return _doubles(reduce(DataFrame.unionByName, parts), "price", "payment_value")
+
+
+def _csv_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines as a CSV extract in which some amounts are no numbers: what is loaded and what is rejected."""
+    lines = _retail(spark, folder).order_items
+    number = F.col("order_item_id") % 1000
+    broken = lines.select(
+        "order_item_id",
+        "order_id",
+        "product_id",
+        F.when(number == 1, "many").otherwise(F.col("quantity").cast("string")).alias("quantity"),
+        F.when(number == 2, "n/a").otherwise(F.col("unit_price").cast("string")).alias("unit_price"),
+    )
+    extract = run_folder(spark, "broken-lines")
+    files.export_csv(broken, extract)
+    rejects = run_folder(spark, "rejects")
+    loaded = files.load_csv(spark, extract, schemas.ORDER_ITEMS, rejects)
+    reasons = spark.read.parquet(rejects).groupBy(F.col("reason").alias("outcome"))
+    count = F.count(F.lit(1)).alias("line_count")
+    loaded = loaded.agg(F.lit("loaded").alias("outcome"), count, F.sum("quantity").alias("units"))
+    return loaded.unionByName(reasons.agg(count, F.lit(None).cast("long").alias("units")))
+
+
+# What changes between the two refreshes of k06: a third of a month arrives late, a fifth of another is deleted.
+LATE = "year(order_purchase_timestamp) = 1998 AND month(order_purchase_timestamp) = 3 AND order_id % 3 = 0"
+DELETED = "year(order_purchase_timestamp) = 1999 AND month(order_purchase_timestamp) = 5 AND order_id % 5 = 0"
+# The revenue and order columns of each mart.
+MART_SUMS = {
+    "v_sales_summary": ("price", None),
+    "v_monthly_sales": ("total_revenue", "order_count"),
+    "v_category_performance": ("total_revenue", "total_orders"),
+    "v_customer_segments": ("monetary", "frequency"),
+    "v_seller_performance": ("total_revenue", "total_orders"),
+    "v_regional_sales": ("total_revenue", "total_orders"),
+    "v_payment_analysis": ("total_value", "order_count"),
+}
+
+
+def _refresh_months(spark: SparkSession, folder: str) -> DataFrame:
+    """All marts without the late orders, then the months brought up to date that late and deleted orders changed."""
+    model = _store(spark, folder)
+    late, deleted = model.orders.where(LATE), model.orders.where(DELETED)
+    store = DatedStore(model, run_folder(spark, "dated-facts"))
+    facts = facts_of(model)
+    store.write({name: rows.join(late.select("order_id"), "order_id", "left_anti") for name, rows in facts.items()})
+    target = run_folder(spark, "dated-marts")
+    increments.refresh_months(store, target)
+    store.append({name: rows.join(late.select("order_id"), "order_id", "left_semi") for name, rows in facts.items()})
+    store.remove(deleted, increments.changed_months(deleted))
+    increments.refresh_months(store, target, increments.changed_months(late, deleted))
+    sums = []
+    for mart, (revenue, orders) in MART_SUMS.items():
+        amount = reported(F.sum(F.col(revenue).cast("decimal(18,2)")))
+        number = F.sum(orders) if orders else F.count_distinct("order_id")
+        rows = spark.table(mart).agg(F.count(F.lit(1)).alias("row_count"), amount.alias("revenue"), number.alias("orders"))
+        sums.append(rows.select(F.lit(mart).alias("mart"), "*"))
+    return reduce(DataFrame.unionByName, sums)
+
+
 def _primary_keys(spark: SparkSession, folder: str) -> DataFrame:
     return integrity.check_primary_keys(_retail(spark, folder).named())
 
@@ -327,7 +485,9 @@ PREPARATION: dict[str, Query] = {
     "p06_csv_roundtrip": _csv_roundtrip,
     "p07_table_replace": _table_replace,
     "p08_csv_load": _csv_load,
+    "p05_sales_master_bucketed": _master_of_parts,
     "p09_low_stock_export": _stock_export,
+    "p10_csv_rejects": _csv_rejects,
 }
 
 DASHBOARD: dict[str, Query] = {
@@ -359,6 +519,15 @@ DASHBOARD: dict[str, Query] = {
     "d17_daily_profit_all": _dashboard(dashboard.daily_profit),
     "d18_low_stock_report": _dashboard(dashboard.low_stock_report, threshold=LOW_STOCK),
     "d18_low_stock_count": _dashboard(dashboard.low_stock_count, threshold=LOW_STOCK),
+    "d01_filtered_sales_dated": _dated_sales,
+    "d03_home_kpis_bucketed": _kpis_of_parts,
+    "d19_page": _dashboard(pages.page, NARROW),
+    "d19_page_all": _dashboard(pages.page),
+    "b01_distinct_by_category": _distinct("category"),
+    "b02_distinct_by_state": _distinct("state"),
+    "b03_distinct_by_month": _distinct("month"),
+    "b04_distinct_of_a_union": _distinct(chosen=UNION),
+    "d06_daily_sales_dated": _dated_page(dashboard.daily_sales, NARROW),
     "d18_lowest_stock": _dashboard(dashboard.lowest_stock, threshold=LOW_STOCK),
 }
 
@@ -387,17 +556,21 @@ MEASURES: dict[str, Query] = {
     "m16_year_quarter_slice": _measure(
         measures.revenue_in_period, PURCHASED, chosen=QUARTER, year=SLICE_YEAR, quarter=SLICE_QUARTER
     ),
+    "m16_year_quarter_slice_dated": _dated_slice,
     "m01_core_kpis_sliced": _measure(measures.core_kpis, "review_score", chosen=SLICE),
     "m04_mom_growth_sliced": _measure(measures.mom_growth, PURCHASED, chosen=SLICE),
     "m12_state_details_sliced": _measure(
         measures.core_kpis, "customer_state", "review_score", by=("customer_state",), chosen=SLICE
     ),
+    "m19_running_daily": _measure(measures.running_daily, PURCHASED),
+    "m20_running_orders": _measure(measures.running_orders, PURCHASED),
     "m17_translated_categories": _translated_categories,
     "m18_located_customers": _located_customers,
 }
 
 MARTS: dict[str, Query] = {
     "v_sales_summary": _sales_summary,
+    "v_sales_summary_bucketed": _summary_of_parts,
     "v_monthly_sales": _measure(marts.monthly_sales, PURCHASED),
     "v_category_performance": _part_kpis,
     "v_customer_segments": _measure(marts.customer_segments, "customer_unique_id", PURCHASED),
@@ -409,6 +582,7 @@ MARTS: dict[str, Query] = {
     "v_payment_analysis": _payments(marts.payment_analysis),
     "k04_refresh_marts": _refresh_marts,
     "k05_catalog_tables": _catalog_tables,
+    "k06_refresh_months": _refresh_months,
 }
 
 CHECKS: dict[str, Query] = {
