@@ -11,7 +11,8 @@ from tables import retail, row_set
 from tillroll.operators.filters import SalesFilter
 from tillroll.plans import dashboard
 from tillroll.plans.registry import QUERIES
-from tillroll.sources.dated import MONTH, NO_MONTH, DatedTables
+from tillroll.sources.dated import MONTH, DatedTables
+from tillroll.sources.partitions import NO_VALUE
 from tillroll.sources.warehouse import PreparedTables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -52,7 +53,7 @@ def test_undated_and_unknown_orders_have_a_folder(spark, tmp_path):
     )
     dated = DatedTables(tables, str(tmp_path))
     dated.store()
-    assert glob.glob(str(tmp_path / f"order_items/{MONTH}={NO_MONTH}/*.parquet"))
+    assert glob.glob(str(tmp_path / f"order_items/{MONTH}={NO_VALUE}/*.parquet"))
     whole = dashboard.revenue_by_category(dated.within(SalesFilter()))
     assert row_set(whole) == {("Office", 150.0)}
     january = SalesFilter(start=date(2024, 1, 1), end=date(2024, 1, 31))

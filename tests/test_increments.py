@@ -11,7 +11,8 @@ from tables import store
 
 from tillroll.plans import increments, marts
 from tillroll.plans.measures import PURCHASED
-from tillroll.sources.dated import MONTH, NO_MONTH, DatedStore, facts_of, in_months, replace_months, write_months
+from tillroll.sources.dated import MONTH, DatedStore, facts_of, in_months, replace_months, write_months
+from tillroll.sources.partitions import NO_VALUE
 from tillroll.sources.warehouse import WarehouseStore
 
 FOLDER = "/root/testdata/sf0.001"
@@ -94,7 +95,7 @@ def test_orders_without_a_date_are_a_month_of_their_own(spark, tmp_path):
     model = undated(hand_model(spark, ORDERS, ITEMS, PAYMENTS))
     facts = DatedStore(model, str(tmp_path / "facts"))
     facts.write(facts_of(model))
-    assert glob.glob(str(tmp_path / f"facts/order_items/{MONTH}={NO_MONTH}/*.parquet"))
+    assert glob.glob(str(tmp_path / f"facts/order_items/{MONTH}={NO_VALUE}/*.parquet"))
     increments.refresh_months(facts, str(tmp_path / "marts"))
     gone = model.orders.where("order_id = 'D'")
     months = increments.changed_months(gone)

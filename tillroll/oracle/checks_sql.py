@@ -34,3 +34,25 @@ BODIES = {
         ]
     ),
 }
+
+# The tables after the second batch of the key state.
+_KNOWN = "(SELECT * FROM customers WHERE customer_id % 10 <> 0)"
+_TWICE = "(SELECT product_id FROM products UNION ALL SELECT product_id FROM products WHERE product_id % 100 = 7)"
+
+BODIES |= {
+    "c03_appended_primary_keys": "UNION ALL".join(
+        [
+            _primary("customers", _KNOWN, "customer_id"),
+            _primary("products", _TWICE, "product_id"),
+            _primary("orders", "sales_orders", "order_id"),
+            _primary("order_items", "order_items", "order_item_id"),
+        ]
+    ),
+    "c04_appended_foreign_keys": "UNION ALL".join(
+        [
+            _foreign("orders", "sales_orders", "customer_id", "customers", _KNOWN),
+            _foreign("order_items", "order_items", "order_id", "orders", "sales_orders"),
+            _foreign("order_items", "order_items", "product_id", "products", _TWICE),
+        ]
+    ),
+}

@@ -15,6 +15,7 @@ from tillroll.functions.dates import on_days
 from tillroll.functions.money import reported
 from tillroll.operators import integrity
 from tillroll.operators.filters import SalesFilter
+from tillroll.operators.keystate import KeyState
 from tillroll import schemas
 from tillroll.plans import dashboard, distinct, increments, marts, measures, pages, preparation, relations, sales
 from tillroll.plans.measures import DELIVERED, ESTIMATED, PURCHASED
@@ -22,6 +23,7 @@ from tillroll.model import RetailTables, StoreModel
 from tillroll.session import apply_runtime_settings, run_folder, shared_folder, subfolders
 from tillroll.sources import catalog, colocated, files
 from tillroll.sources.dated import DatedStore, DatedTables, facts_of
+from tillroll.sources.lookup import write_clustered
 from tillroll.sources.warehouse import PreparedTables, WarehouseStore, WarehouseTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -418,6 +420,41 @@ MART_SUMS = {
 }
 
 
+def _key_state(spark: SparkSession, folder: str) -> KeyState:
+    """The keys of the tables after a second batch; some customers never come, some products come twice."""
+    tables = _retail(spark, folder).named()
+    lines, products = tables["order_items"], tables["products"]
+
+    def write(path: str) -> None:
+        state = KeyState(spark, f"{path}/keys", KEY_BUCKETS)
+        known = tables["customers"].where("customer_id % 10 <> 0")
+        state.append(tables | {"customers": known, "order_items": lines.where("order_item_id % 10 <> 3")})
+        state.append({"products": products.where("product_id % 100 = 7"), "order_items": lines.where("order_item_id % 10 = 3")})
+        files.replace_table(spark.range(1), f"{path}/done")
+
+    path = _stored_copy(spark, folder, "keys", "done", write)
+    return KeyState(spark, f"{path}/keys", KEY_BUCKETS)
+
+
+KEY_BUCKETS = 16
+
+
+def _clustered_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders of one customer, out of a copy that is clustered by customer."""
+    tables = _retail(spark, folder)
+
+    def write(path: str) -> None:
+        write_clustered(tables.orders, f"{path}/orders", "customer_id", "order_id", LOOKUP_FILES)
+
+    path = _stored_copy(spark, folder, "lookup", "orders", write)
+    orders = spark.read.schema(tables.orders.schema).parquet(f"{path}/orders")
+    found = sales.customer_orders(RetailTables(None, None, orders, None), CUSTOMER)
+    return _doubles(found, "total_amount")
+
+
+LOOKUP_FILES = 16
+
+
 def _refresh_months(spark: SparkSession, folder: str) -> DataFrame:
     """All marts without the late orders, then the months brought up to date that late and deleted orders changed."""
     model = _store(spark, folder)
@@ -473,6 +510,7 @@ SALES: dict[str, Query] = {
     "q22_orders_above_city_avg": _sales(sales.orders_above_city_average),
     "q23_high_value_customers": _sales(sales.high_value_customers, above=HIGH_VALUE),
     "q24_customer_orders": _customer_orders,
+    "q24_customer_orders_clustered": _clustered_orders,
     "q25_row_counts": _sales(sales.row_counts),
 }
 
@@ -588,6 +626,8 @@ MARTS: dict[str, Query] = {
 CHECKS: dict[str, Query] = {
     "c01_pk_violations": _primary_keys,
     "c02_fk_violations": _foreign_keys,
+    "c03_appended_primary_keys": lambda spark, folder: _key_state(spark, folder).primary_keys(),
+    "c04_appended_foreign_keys": lambda spark, folder: _key_state(spark, folder).foreign_keys(),
 }
 
 QUERIES: dict[str, Query] = SALES | PREPARATION | DASHBOARD | MEASURES | MARTS | CHECKS

@@ -18,12 +18,17 @@ from pyspark.sql import types as T
 
 from tillroll.model import RetailTables, StoreModel
 from tillroll.operators.filters import SalesFilter
-from tillroll.session import remove_folder, run_folder, subfolders
+from tillroll.sources.partitions import (
+    Values,
+    among,
+    append_partitions,
+    read_partitions,
+    replace_partitions,
+    write_partitions,
+)
 
 MONTH = "sale_month"
-# What Spark calls the folder of rows without a month.
-NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
-Months = Iterable[int | None] | None
+Months = Values
 
 
 def month_of(ts: Column) -> Column:
@@ -33,57 +38,21 @@ def month_of(ts: Column) -> Column:
 
 def in_months(months: Months) -> Column:
     """Rows of the given months, of which None is that of rows without one; all rows for None."""
-    if months is None:
-        return F.lit(True)
-    known = [month for month in months if month is not None]
-    chosen = F.col(MONTH).isin(*known) if known else F.lit(False)
-    return chosen | F.col(MONTH).isNull() if None in set(months) else chosen
+    return among(MONTH, months)
 
 
 def read_months(spark: SparkSession, path: str, schema: T.StructType, months: Months = None) -> DataFrame:
     """The rows of some months, with their month as the last column."""
-    columns = T.StructType([f for f in schema if f.name != MONTH]).add(MONTH, T.IntegerType())
-    return spark.read.schema(columns).parquet(path).where(in_months(months))
+    return read_partitions(spark, path, schema, MONTH, months)
 
 
 def write_months(rows: DataFrame, path: str) -> DataFrame:
-    """Write a table anew, a folder a month. Large months get several files, small ones one."""
-    _by_month(rows).mode("overwrite").parquet(path)
-    return read_months(rows.sparkSession, path, rows.schema)
-
-
-def append_months(rows: DataFrame, path: str) -> None:
-    _by_month(rows).mode("append").parquet(path)
+    return write_partitions(rows, path, MONTH)
 
 
 def replace_months(rows: DataFrame, path: str, months: Iterable[int | None]) -> DataFrame:
-    """Make rows the whole content of the given months and leave all other months as they are.
-
-    rows must be of these months, and may be made from the table itself: they are staged in the shared folder first.
-    Only the folders of the months are written; one that is left without a row goes. Writing the same months again
-    after a failure gives the same table.
-    """
-    spark, wanted = rows.sparkSession, set(months)
-    staged = run_folder(spark, "months")
-    _by_month(rows).parquet(staged)
-    found = {_month_of_folder(name) for name in subfolders(spark, staged)}
-    if found - wanted:
-        raise ValueError(f"rows of months that are not to be replaced: {sorted(map(str, found - wanted))}")
-    replacing = _by_month(read_months(spark, staged, rows.schema)).mode("overwrite")
-    replacing.option("partitionOverwriteMode", "dynamic").parquet(path)
-    for month in wanted - found:
-        remove_folder(spark, f"{path}/{MONTH}={NO_MONTH if month is None else month}")
-    remove_folder(spark, staged)
-    return read_months(spark, path, rows.schema, wanted)
-
-
-def _month_of_folder(name: str) -> int | None:
-    value = name.removeprefix(f"{MONTH}=")
-    return None if value == NO_MONTH else int(value)
-
-
-def _by_month(rows: DataFrame):
-    return rows.hint("rebalance", MONTH).write.partitionBy(MONTH)
+    """Make rows, which must be of these months, their whole content."""
+    return replace_partitions(rows, path, MONTH, months)
 
 
 class DatedFacts:
@@ -110,7 +79,7 @@ class DatedFacts:
     def append(self, facts: dict[str, DataFrame]) -> None:
         """Add orders with all that hangs on them."""
         for name, rows in self.dated(facts).items():
-            append_months(rows, self.path(name))
+            append_partitions(rows, self.path(name), MONTH)
 
     def remove(self, orders: DataFrame, months: Iterable[int | None]) -> None:
         """Drop orders, by order_id, and all that hangs on them, from the months that hold them."""
