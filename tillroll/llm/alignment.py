@@ -50,6 +50,10 @@ RUNS_PER_SLOT = 64  # runs of a part that meet one copy of its counts
 REMEMBERED = 100_000  # units, twice
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPAN = re.compile(r"<0x([0-9A-F]{2})>")
+_LONG = 256  # characters of a unit that is read together with others
+_TOGETHER = 1 << 14  # characters of units read together
+# Fixed value: how byte-level tokenizers cut a text before they merge.
+_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_letters() -> dict[str, int]:
@@ -64,24 +68,8 @@ class Unit:
 
     __slots__ = ("first", "second", "groups", "pairs", "whole")
 
-    def __init__(self, first: list[int], second: list[int], spelled: list[bytes], other: list[bytes], raw: bytes):
-        self.first, self.second = len(first), len(second)
-        self.whole = b"".join(spelled) == raw and b"".join(other) == raw
-        ends = list(itertools.accumulate(map(len, spelled)))
-        other_ends = list(itertools.accumulate(map(len, other)))
-        groups, pairs = [], []
-        i = j = from_i = from_j = 0
-        while i < len(ends) and j < len(other_ends):
-            if ends[i] < other_ends[j]:
-                i += 1
-            elif ends[i] > other_ends[j]:
-                j += 1
-            else:
-                pairs.append(second[j] << 32 | first[i])
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, first[from_i:i]))}|{','.join(map(str, second[from_j:j]))}")
-                from_i, from_j = i, j
-        self.groups, self.pairs = ";".join(groups), pairs
+    def __init__(self, first: int, second: int, groups: str, pairs: list[int], whole: bool):
+        self.first, self.second, self.groups, self.pairs, self.whole = first, second, groups, pairs, whole
 
 
 class Tokenizers:
@@ -89,6 +77,7 @@ class Tokenizers:
 
     def __init__(self, byte_level: str = BYTE_LEVEL, pieces: str = PIECES):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -96,13 +85,22 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         letters = byte_letters()
         with open(byte_level, encoding="utf-8") as file:
-            vocabulary = json.load(file)["model"]["vocab"]
-        self.a_bytes = {i: bytes(letters[c] for c in entry) for entry, i in vocabulary.items() if set(entry) <= set(letters)}
+            model = json.load(file)["model"]
+        ranks = {bytes(letters[c] for c in entry): i for entry, i in model["vocab"].items() if set(entry) <= set(letters)}
+        if any(ranks[bytes(letters[c] for c in "".join(merge).replace(" ", ""))] != 256 + i for i, merge in enumerate(model["merges"])):
+            raise ValueError("the ids do not follow the merges, so that they are no ranks")
+        # The name of a special entry is ordinary text here, so it has no rank.
+        ranks = {entry: i for entry, i in ranks.items() if i < 256 + len(model["merges"])}
+        self.a_fast = tiktoken.Encoding("byte-level", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.a_bytes = {i: entry for entry, i in ranks.items()}
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in name.lstrip("▁") for name in names):
             raise ValueError("a piece goes on after a space, so that texts cannot be cut at spaces")
-        self.b_bytes = [self._spelled(name) for name in names]
+        self.b_bytes = dict(enumerate(map(self._spelled, names)))
+        self.a_sizes, self.b_sizes = (
+            np.array([len(of.get(i, b"")) for i in range(max(of) + 1)]) for of in (self.a_bytes, self.b_bytes)
+        )
         self.known: dict[str, Unit] = {}
         self.older: dict[str, Unit] = {}
 
@@ -117,17 +115,53 @@ class Tokenizers:
             # What was met since the last time stays, the rest goes.
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = list(dict.fromkeys(part for part in parts if part not in known))
-        known.update((part, older[part]) for part in new if part in older)
-        new = [part for part in new if part not in known]
-        for some in slices([len(part) for part in new], BYTES_AT_ONCE):
-            first = [e.ids for e in self.a.encode_batch([" " + part for part in new[some]], add_special_tokens=False)]
-            second = self.b.encode(new[some], num_threads=1)
-            for part, a, b in zip(new[some], first, second):
-                spelled, other = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-                known[part] = Unit(a, b, spelled, other, b" " + part.encode())
+        new = [part for part in dict.fromkeys(parts) if part not in known]
+        if older:
+            known.update((part, older[part]) for part in new if part in older)
+            new = [part for part in new if part not in known]
+        # Units that neither begin nor end with a space can be read as one text, and cut again.
+        plain = [part for part in new if len(part) <= _LONG and part and not part[0].isspace() and not part[-1].isspace()]
+        for some in slices([len(part) for part in plain], _TOGETHER):
+            known.update(zip(plain[some], self._spelled_units(plain[some])))
+        for part in new:
+            if part not in known:
+                first = self.a.encode(" " + part, add_special_tokens=False).ids
+                known[part] = self._cut(first, self.b.encode(part), [b" " + part.encode()])[0]
         return [known[part] for part in parts]
 
+    def _spelled_units(self, parts: list[str]) -> list[Unit]:
+        text = " ".join(parts)
+        raws = [b" " + part.encode() for part in parts]
+        return self._cut(self.a_fast.encode_ordinary(" " + text), self.b.encode(text), raws)
+
+    def _cut(self, first: list[int], second: list[int], raws: list[bytes]) -> list[Unit]:
+        """The units out of the ids of all of them, one after the other."""
+        raw = b"".join(raws)
+        if b"".join(map(self.a_bytes.__getitem__, first)) != raw or b"".join(map(self.b_bytes.__getitem__, second)) != raw:
+            if len(raws) == 1:
+                return [Unit(0, 0, "", [], False)]
+            # One of them is not given back; which one shows when each is read alone.
+            return [unit for one in raws for unit in self._spelled_units([one[1:].decode()])]
+        a, b = np.array(first, np.int64), np.array(second, np.int64)
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        cuts, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        pairs = (b[at_b] << 32 | a[at_a]).tolist()
+        first_names, second_names = list(map(str, first)), list(map(str, second))
+        groups, i, j = [], 0, 0
+        for to_i, to_j in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
+            if to_i - i == 1 and to_j - j == 1:
+                groups.append(f"{first_names[i]}|{second_names[j]}")
+            else:
+                groups.append(f"{','.join(first_names[i:to_i])}|{','.join(second_names[j:to_j])}")
+            i, j = to_i, to_j
+        # Every unit ends at a cut: its last one.
+        last = np.searchsorted(cuts, np.cumsum([len(one) for one in raws]))
+        units, start, i, j = [], 0, 0, 0
+        for stop, to_i, to_j in zip((last + 1).tolist(), (at_a[last] + 1).tolist(), (at_b[last] + 1).tolist()):
+            units.append(Unit(to_i - i, to_j - j, ";".join(groups[start:stop]), pairs[start:stop], True))
+            start, i, j = stop, to_i, to_j
+        return units
+
 
 @functools.cache
 def tokenizers(byte_level: str, pieces: str) -> Tokenizers:
