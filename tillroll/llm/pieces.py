@@ -12,17 +12,23 @@ No piece goes on past a space that follows another character, so a text falls in
 units of a batch are segmented together: all of them merge a pair at once, or walk the trie and the lattice at once,
 a position at a time.
 
-A giant document is cut into chunks. Merges do not reach from one unit to another, so that theirs begin with a unit
-and go on to the end of one. For the largest sum the chunks have a fixed length, wherever that falls. The state at
-a chunk's start is how many of its characters the piece that crosses the boundary takes. A chunk yields a matrix,
-for each state at its start and its end the best score between them. Max-plus products of these matrices are
-associative, and a scan of them gives the states of the best path at all boundaries; with these, each chunk is
-segmented by itself. Where two paths through a boundary have equal scores, the one that takes fewer characters past
-it counts.
+A giant document is cut into chunks of a fixed length, wherever that falls. A chunk yields a matrix, for each state
+at its start and its end the best score between them. Max-plus products of these matrices are associative, and a scan
+of them gives the states of the best path at all boundaries; with these, each chunk is traced back by itself.
+
+For the largest sum a state is how many characters the piece that crosses the boundary takes of the chunk behind it.
+Where two paths through a boundary have equal scores, the one that takes fewer characters past it counts.
+
+Merges are a path too: of all ways to cut a unit into pieces, exactly one has only pieces that their own characters
+merge to and only neighbours that, merged together, stay these two; it is what merging the whole unit gives. Such a
+pair weighs 0 and any other minus infinity. A state is the piece that holds the last character before the boundary.
+A unit that begins inside a chunk is a place that every path goes through, so that a matrix takes a walk over the
+ends of the chunk alone, or over all of it where a text has no space for so long.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import itertools
@@ -47,6 +53,7 @@ UNKNOWN_PENALTY = 10.0
 NEVER = -math.inf
 LONG_UNIT = 64  # characters, from which on a unit is merged by itself
 NO_RANK = 1 << 30
+_UNIT = re.compile(r"(?<=[^ ]) ")
 
 
 class _Children:
@@ -407,6 +414,10 @@ class MergeModel(PieceModel):
                 if left is not None and right is not None:
                     pairs[left, right] = number[piece]
         self.pairs = _Children(pairs)
+        self.number, self.reach = number, max(map(len, names), default=1)
+        # What was found out about pieces and pairs of them.
+        self.stays: dict[str, bool] = {}
+        self.fits: dict[tuple[str, str], bool] = {}
 
     def _symbols(self, characters: np.ndarray) -> np.ndarray:
         """The symbol of each code point, -1 for one that no piece has."""
@@ -506,18 +517,131 @@ class MergeModel(PieceModel):
         _, _, ids = self.segments([text])
         return 0.0, tuple(ids.tolist())
 
-    def segment(self, text: str, entry: int = 0, leave: int | None = None) -> list[int]:
-        """Ids of the pieces of text between two positions that units begin at."""
-        return self.sequences([self.units(text[entry:leave])])[2].tolist()
-
     def chunks(self, text: str, length: int) -> list[str]:
-        """text cut before the first unit that begins length characters or more behind the last cut."""
-        text, out, start = " " + text, [], 0
-        begin = re.compile(r"(?<=[^ ]) |\n" if self.lines else r"(?<=[^ ]) ")
-        while self.splits and (cut := begin.search(text, start + length)):
-            out.append(text[start : cut.start()])
-            start = cut.start()
-        return [*out, text[start:]]
+        """Parts of length characters, each with as many characters around it as a piece can reach over its ends."""
+        text = " " + text
+        return [text[max(0, at - self.reach) : at + length + self.reach] for at in range(0, len(text), length)]
+
+    def solid(self, piece: str) -> bool:
+        """Whether merging the piece's characters gives the piece; a single character always stays."""
+        if piece not in self.stays:
+            self.stays[piece] = len(piece) == 1 or self._alone(piece) == [self.number.get(piece)]
+        return self.stays[piece]
+
+    def follows(self, left: str, right: str) -> bool:
+        """Whether merging the characters of both pieces gives just these two."""
+        pair = left, right
+        if pair not in self.fits:
+            symbols = [self.number.get(left, -1), self.number.get(right, -1)]
+            self.fits[pair] = -1 in symbols or self._alone(left + right) == symbols
+        return self.fits[pair]
+
+    def _alone(self, text: str) -> list[int]:
+        return self._merged_alone(self._symbols(np.array(list(map(ord, text)), np.int64)))[1].tolist()
+
+    def ends(self, text: str, start: int) -> list[int]:
+        """Where the pieces end that can begin at start."""
+        found = [start + 1]
+        for end in range(start + 2, min(start + self.reach, len(text)) + 1):
+            if text[start:end] in self.number and self.solid(text[start:end]):
+                found.append(end)
+        return found
+
+    def states(self, text: str, at: int) -> list[tuple[int, int]]:
+        """(start, end) of the pieces that can hold the character before at, the same from both chunks that meet there."""
+        starts = range(max(0, at - self.reach), at)
+        return [(start, end) for start in starts for end in self.ends(text, start) if end >= at]
+
+    def walk(self, text: str, sources: list[tuple[int, int]], stop: int) -> tuple[dict[int, dict[int, int]], dict]:
+        """Follow pairs that fit from the sources to all pieces that begin before stop.
+
+        For each end and start of a piece, the set of sources that lead to it, as bits; and for each piece one before it.
+        """
+        sets: dict[int, dict[int, int]] = {}
+        for i, (start, end) in enumerate(sources):
+            sets.setdefault(end, {})[start] = 1 << i
+        before = {}
+        for at in range(min(sets, default=stop), stop):
+            if at not in sets:
+                continue
+            for end in self.ends(text, at):
+                whole = 0
+                for start, found in sets[at].items():
+                    # A source that begins where it ends stands for the begin of a unit, which fits any piece.
+                    if found & ~whole and (start == at or self.follows(text[start:at], text[at:end])):
+                        whole |= found
+                        before[at, end] = start, at
+                if whole:
+                    sets.setdefault(end, {})[at] = whole
+        return sets, before
+
+    def unit_begins(self, text: str, start: int, stop: int) -> tuple[int, int] | None:
+        """The first and the last place between start and stop at which a unit begins; None without one."""
+        first = 0 if start == 0 else None
+        if first is None and self.splits and (found := _UNIT.search(text, start, stop)):
+            first = found.start()
+        if first is None:
+            return None
+        last = text.rfind(" ", first + 1, stop)
+        while last > first and text[last - 1] == " ":
+            last = text.rfind(" ", first + 1, last)
+        return first, max(first, last) if self.splits else first
+
+    def body(self, text: str, part: int, length: int) -> tuple[int, int, bool]:
+        """Where a chunk begins and stops in its text, and whether it is the last one."""
+        start = self.reach if part else 0
+        return start, min(start + length, len(text)), start + length >= len(text)
+
+    def matrix(self, text: str, part: int, length: int) -> np.ndarray:
+        """From each state at the chunk's start to each at its stop: 0 where pieces that fit lead there, else NEVER."""
+        start, stop, last = self.body(text, part, length)
+        entries = self.states(text, start) if part else [(0, 0)]
+        leaves = self.states(text, stop)
+        begins = self.unit_begins(text, start, stop)
+        if begins is None:
+            sets, _ = self.walk(text, entries, stop)
+            found = [sets.get(end, {}).get(begin, 0) for begin, end in leaves]
+        else:
+            # Every path goes through the begin of a unit: in by the head, out by the tail.
+            first, final = begins
+            sets, _ = self.walk(text, entries, first)
+            into = functools.reduce(int.__or__, sets.get(first, {}).values(), 0)
+            sets, _ = self.walk(text, [(final, final)], stop)
+            found = [into if sets.get(end, {}).get(begin, 0) else 0 for begin, end in leaves]
+        if last:
+            found = [functools.reduce(int.__or__, found, 0)]
+        return np.array([[0.0 if sources >> i & 1 else NEVER for sources in found] for i in range(len(entries))])
+
+    def finish(self, text: str, part: int, length: int, entry: int, leave: int) -> list[int]:
+        """Ids of the pieces that begin in a chunk, between the states at its ends."""
+        start, stop, last = self.body(text, part, length)
+        source = self.states(text, start)[entry] if part else (0, 0)
+        leaves = self.states(text, stop)
+        targets = leaves if last else [leaves[leave]]
+        begins = self.unit_begins(text, start, stop)
+        if begins is None:
+            return self._traced(text, source, targets, stop)
+        first, final = begins
+        head = self._traced(text, source, [(at, first) for at in range(max(0, first - self.reach), first + 1)], first)
+        middle = self.sequences([self.units(text[first:final])])[2].tolist()
+        return head + middle + self._traced(text, (final, final), targets, stop)
+
+    def _traced(self, text: str, source: tuple[int, int], targets: list[tuple[int, int]], stop: int) -> list[int]:
+        """Ids of the pieces from behind the source to the target that it leads to."""
+        sets, before = self.walk(text, [source], stop)
+        reached = [target for target in targets if sets.get(target[1], {}).get(target[0])]
+        if not reached:
+            raise ValueError("no pieces that fit lead through a chunk")
+        at, found = reached[0], []
+        while at != source:
+            found.append(at)
+            at = before[at]
+        ids = []
+        for begin, end in reversed(found):
+            symbol = self.number.get(text[begin:end], -1)
+            known = symbol >= 0 and self.symbol_id[symbol] >= 0
+            ids += [int(self.symbol_id[symbol])] if known else self._spelled(text[begin])
+        return ids
 
 
 def load_model(path: str = MODEL) -> PieceModel:
@@ -585,12 +709,39 @@ def _whole(coded: DataFrame) -> DataFrame:
 def _giant_merged(docs: DataFrame, model, chunk: int) -> DataFrame:
     """(digest, ids) for each distinct text of docs (text, digest), by merges."""
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, counts, ids = model.value.sequences(map(model.value.units, batch.column(2).to_pylist()))
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
-        return pa.RecordBatch.from_pydict({"digest": batch.column(0), "part": batch.column(1), "ids": lists})
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [model.value.matrix(text, part, chunk) for part, text in zip(*(batch.column(i).to_pylist() for i in (1, 2)))]
+        return pa.RecordBatch.from_pydict(
+            {
+                "digest": batch.column(0),
+                "part": batch.column(1),
+                "text": batch.column(2),
+                "entries": [len(matrix) for matrix in found],
+                "matrix": [matrix.ravel() for matrix in found],
+            }
+        )
+
+    def states(table):
+        table = table.sort_by("part")
+        found = [np.array(m).reshape(n, -1) for m, n in zip(table["matrix"].to_pylist(), table["entries"].to_pylist())]
+        size = max(max(m.shape) for m in found)
+        matrices = np.full((len(found), size, size), NEVER)
+        for whole, matrix in zip(matrices, found):
+            whole[: matrix.shape[0], : matrix.shape[1]] = matrix
+        at = boundary_states(matrices)
+        return pa.table({"digest": table["digest"], "part": table["part"], "entry": at[:-1], "leave": at[1:]})
+
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = (batch.column(i).to_pylist() for i in (2, 1, 3, 4))
+        rows = [model.value.finish(text, part, chunk, entry, leave) for text, part, entry, leave in zip(*columns)]
+        return pa.RecordBatch.from_pydict({"digest": batch.column(0), "part": batch.column(1), "ids": _lists(rows)})
 
-    return _whole(map_batches(_cut(docs, model, chunk), step, "digest string, part long, ids array<int>"))
+    schema = "digest string, part long, text string, entries long, matrix array<double>"
+    parts = stored(map_batches(_cut(docs, model, chunk), measure, schema), "chunks")
+    of_text = parts.select("digest", "part", "entries", "matrix").groupBy("digest")
+    at = of_text.applyInArrow(states, "digest string, part long, entry long, leave long")
+    joined = parts.join(at, ["digest", "part"]).select("digest", "part", "text", "entry", "leave")
+    return _whole(map_batches(joined, finish, "digest string, part long, ids array<int>"))
 
 
 def _giant(docs: DataFrame, model, reach: int, chunk: int) -> DataFrame:
@@ -640,7 +791,7 @@ def encode(
     """
     model = model or load_model()
     merges = isinstance(model, MergeModel)
-    if not merges and chunk < model.reach:
+    if chunk < model.reach:
         raise ValueError(f"a chunk has at least {model.reach} characters")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = identified(docs, doc_id, text)
