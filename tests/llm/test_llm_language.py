@@ -40,27 +40,41 @@ def test_held_out_rows_labels_and_other_columns_are_no_input(spark):
     assert found == again
 
 
-def test_n_grams_of_a_word():
-    grams = [f"<{'añb'}>"[i : i + n] for n in language.SIZES for i in range(5 - n + 1)]
-    wanted = [language.xxh32_intdigest(g.encode()) % language.BUCKETS for g in grams]
-    assert sorted(language.buckets_of("añb").tolist()) == sorted(wanted)
-    assert not len(language.buckets_of("²")) and not len(language.buckets_of("Ⅷ"))
+def bucket_of(gram):
+    value = 0
+    for c in gram:
+        value = (value * 0x100000001B3 + ord(c)) % 2**64
+    return ((value + len(gram)) * 0x9E3779B97F4A7C15 % 2**64) >> 48
 
 
-def test_a_long_word_gives_all_its_n_grams(monkeypatch):
-    whole = np.sort(language.buckets_of("abcdefghij" * 30))
-    monkeypatch.setattr(language, "_AT_ONCE", 7)
-    assert np.array_equal(np.sort(language.buckets_of("abcdefghij" * 30)), whole)
+def grams(word):
+    marked = f"<{word}>" if any(map(str.isalpha, word)) else ""
+    return [marked[i : i + n] for n in language.SIZES for i in range(len(marked) - n + 1)]
+
+
+def found_grams(words):
+    return sorted((p, b) for places, buckets in language.n_grams(words) for p, b in zip(places.tolist(), buckets.tolist()))
+
+
+@pytest.mark.parametrize("at_once", [3, 7, 1 << 16])
+def test_n_grams_of_words(monkeypatch, at_once):
+    """However many characters are read at a time, a long word included."""
+    monkeypatch.setattr(language, "_AT_ONCE", at_once)
+    words = ["añb", "²", "x", "中文字", "", "Ⅷ", "abcdefghij" * 5, "𝐀b"]
+    assert found_grams(words) == sorted((i, bucket_of(g)) for i, word in enumerate(words) for g in grams(word))
+    assert not found_grams([]) and not found_grams(["12"])
 
 
 def test_sums_are_those_of_all_words(monkeypatch):
     monkeypatch.setattr(language, "_REMEMBERED", 8)
     vectors = np.random.default_rng(1).random((language.BUCKETS, language.WIDTH))
     sums = language.WordSums()
-    for text in (["one", "two", "one", "²"], [f"w{i}" for i in range(50)] + ["one"], []):
-        found = np.concatenate([language.buckets_of(word) for word in text] or [np.zeros(0, np.int64)])
-        count, total = sums.of(text, vectors)
-        assert count == len(found) and np.allclose(total, vectors[found].sum(axis=0))
+    texts = [["one", "two", "one", "²"], [f"w{i}" for i in range(50)] + ["one"], [], ["three", "one"]]
+    for _ in range(2):
+        counts, totals = sums.of(texts, vectors)
+        for words, count, total in zip(texts, counts, totals):
+            wanted = [bucket_of(g) for word in words for g in grams(word)]
+            assert count == len(wanted) and np.allclose(total, vectors[wanted].sum(axis=0))
 
 
 def test_a_text_without_a_letter_is_unknown(spark):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from tillroll.llm.texts import as_text, kind_of, map_batches, raw_texts
+from tillroll.llm.texts import as_text, kind_of, map_batches, raw_texts, slices
 
 SAMPLE = 4_000  # texts to learn from, of all languages together
 BUCKETS = 1 << 16
@@ -36,20 +36,39 @@ PRECISION = 0.98  # of accepted texts
 UNKNOWN = "und"
 _REMEMBERED = 200_000  # words
 _LETTERS = re.compile(r"[^\W\d_]+")
-_AT_ONCE = 1 << 16  # characters of a word whose n-grams are made at a time
+_AT_ONCE = 1 << 16  # characters whose n-grams are made at a time
+_STEP, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)  # odd factors of the hash
 
 
-def buckets_of(word: str) -> np.ndarray:
-    """The buckets of all n-grams of a word; none if it has no letter."""
-    if not any(map(str.isalpha, word)):
-        return np.zeros(0, np.int64)
-    marked, found = f"<{word}>", []
-    for start in range(0, len(marked), _AT_ONCE):
-        # Each piece goes on by the longest n-gram, less one, so that none is lost or made twice.
-        for size in SIZES:
-            stop = min(start + _AT_ONCE, len(marked) - size + 1)
-            found += [xxh32_intdigest(marked[i : i + size].encode()) & (BUCKETS - 1) for i in range(start, stop)]
-    return np.array(found, np.int64)
+def n_grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place of the word, bucket) of all n-grams of the words, size by size for some of the words at a time.
+
+    Places do not fall within one size. A word without a letter has none; a very long one comes in parts, which overlap
+    so that no n-gram is lost.
+    """
+    parts, owners = [], []
+    for place, word in enumerate(words):
+        if any(map(str.isalpha, word)):
+            marked = f"<{word}>"
+            for start in range(0, len(marked), _AT_ONCE):
+                parts.append(marked[start : start + _AT_ONCE + SIZES[-1] - 1])
+                owners.append(place)
+    for some in slices([len(part) for part in parts], _AT_ONCE):
+        codes = np.frombuffer("".join(parts[some]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        lengths = np.array([len(part) for part in parts[some]])
+        part = np.repeat(np.arange(len(lengths)), lengths)
+        inside = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        places = np.array(owners[some])[part]
+        hashed = np.zeros(len(codes), np.uint64)
+        for size in range(1, SIZES[-1] + 1):
+            # The hash of an n-gram goes on from that of its first n - 1 characters.
+            hashed = hashed[: len(codes) - size + 1] * _STEP + codes[size - 1 :]
+            ends = np.arange(size - 1, len(codes))
+            # Of a part that is followed by another one, the overlap only ends n-grams.
+            whole = (part[ends] == part[ends - size + 1]) & (inside[ends - size + 1] < _AT_ONCE)
+            if size in SIZES:
+                mixed = (hashed + np.uint64(size)) * _MIX
+                yield places[ends][whole], (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)[whole]
 
 
 def words_of(raw: bytes) -> list[str]:
@@ -57,30 +76,39 @@ def words_of(raw: bytes) -> list[str]:
 
 
 class WordSums:
-    """How many n-grams a text's words have and the sum of their vectors; words that come again are remembered."""
+    """How many n-grams the words of texts have and the sums of their vectors; words that come again are remembered."""
 
     def __init__(self):
         self.known: dict[str, int] = {}
         self.counts, self.sums = np.zeros(_REMEMBERED, np.int64), np.zeros((_REMEMBERED, WIDTH))
 
-    def _row(self, word: str, vectors: np.ndarray) -> int:
-        row = self.known.get(word)
-        if row is None:
-            row = self.known[word] = len(self.known)
-            found = buckets_of(word)
-            self.counts[row], self.sums[row] = len(found), vectors[found].sum(axis=0)
-        return row
-
-    def of(self, words: list[str], vectors: np.ndarray) -> tuple[int, np.ndarray]:
-        count, total = 0, np.zeros(WIDTH)
-        for start in range(0, len(words), _REMEMBERED // 2):
-            some = words[start : start + _REMEMBERED // 2]
-            if len(self.known) + len(some) > _REMEMBERED:
-                self.known.clear()
-            rows = [self._row(word, vectors) for word in some]
-            count += int(self.counts[rows].sum())
-            total += self.sums[rows].sum(axis=0)
-        return count, total
+    def of(self, texts: list[list[str]], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams, sum of their vectors) of each text."""
+        counts, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), WIDTH))
+        for i, words in enumerate(texts):
+            for start in range(0, len(words), _REMEMBERED // 2):
+                some = words[start : start + _REMEMBERED // 2]
+                new = [word for word in dict.fromkeys(some) if word not in self.known]
+                if len(self.known) + len(new) > _REMEMBERED:
+                    self.known.clear()
+                    new = list(dict.fromkeys(some))
+                self._learn(new, vectors)
+                rows = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
+                counts[i] += self.counts[rows].sum()
+                sums[i] += self.sums[rows].sum(axis=0)
+        return counts, sums
+
+    def _learn(self, words: list[str], vectors: np.ndarray) -> None:
+        first = len(self.known)
+        self.known.update(zip(words, range(first, first + len(words))))
+        self.counts[first : first + len(words)] = 0
+        self.sums[first : first + len(words)] = 0
+        for places, buckets in n_grams(words):
+            if len(places):
+                starts = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+                rows = first + places[starts]
+                self.counts[rows] += np.diff(np.r_[starts, len(places)])
+                self.sums[rows] += np.add.reduceat(vectors[buckets], starts, axis=0)
 
 
 @dataclass(frozen=True)
@@ -189,9 +217,10 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", learn_from: Co
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
         for raw in raw_texts(batch.column(1)):
-            counts = np.zeros(BUCKETS, np.int64)
-            for word, times in Counter(words_of(raw)).items():
-                np.add.at(counts, buckets_of(word), times)
+            words = Counter(words_of(raw))
+            times, counts = np.array(list(words.values())), np.zeros(BUCKETS, np.int64)
+            for places, buckets in n_grams(list(words)):
+                np.add.at(counts, buckets, times[places])
             found.append((np.flatnonzero(counts), counts[counts > 0]))
         return pa.RecordBatch.from_pydict(
             {
@@ -261,9 +290,7 @@ def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
         model, rows = shared.value, batch.num_rows
         names, scores = [UNKNOWN] * rows, np.zeros(rows)
         if model is not None:
-            found = [remembered.of(words_of(raw), model.vectors) for raw in raw_texts(batch.column(1))]
-            counts = np.array([count for count, _ in found], np.int64)
-            sums = np.array([total for _, total in found]).reshape(-1, WIDTH)
+            counts, sums = remembered.of(list(map(words_of, raw_texts(batch.column(1)))), model.vectors)
             some = np.flatnonzero(counts)
             chances = model.probabilities(sums[some] / counts[some, None])
             scores[some] = chances.max(axis=1, initial=0)
