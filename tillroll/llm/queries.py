@@ -64,7 +64,13 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return units.without_repeats(table(spark, folder, "documents"))
+    """Runs of repeated sentences; lines and paragraphs are the other units."""
+    return units.without_repeats(
+        table(spark, folder, "documents"),
+        unit="sentence",
+        least_words=units.SENTENCE_WORDS,
+        run_words=units.RUN_WORDS,
+    )
 
 
 def op7_class_model(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,32 +166,40 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM digests
 """
 
-LINES_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
-         generate_subscripts(string_split(text, chr(10)), 1) AS place
-  FROM documents WHERE text IS NOT NULL
+SENTENCES_SQL = r"""
+WITH sentences AS (
+  SELECT doc_id, text, unnest(found) AS sentence, generate_subscripts(found, 1) AS spot
+  FROM (SELECT doc_id, text, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+[\x20\x09-\x0D]*|[^.!?\n]+') AS found
+        FROM documents WHERE text IS NOT NULL)
 ),
 placed AS (
-  SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place) AS stop,
-         regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
-  FROM lines
+  SELECT *, CAST(sum(length(sentence)) OVER (PARTITION BY doc_id ORDER BY spot) AS BIGINT) AS stop,
+         regexp_extract_all(translate(sentence, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM sentences
 ),
 numbered AS (
-  SELECT *, stop - length(line) - 1 AS start,
-         CASE WHEN len(words) >= 5 THEN row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, place) END AS nth
-  FROM placed
+  SELECT doc_id, stop - length(sentence) AS start, stop, len(words) AS n_words,
+         row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS place,
+         row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, spot) AS nth
+  FROM placed WHERE len(words) >= 3
+),
+repeats AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM numbered WHERE nth > 1),
+runs AS (
+  SELECT doc_id, min(start) AS start, max(stop) AS stop FROM repeats GROUP BY doc_id, run HAVING sum(n_words) >= 30
 ),
-marked AS (SELECT *, least(stop, length(text)) AS finish, coalesce(nth, 1) > 1 AS gone FROM numbered)
-SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(m.kept, '') END AS text,
-       coalesce(m.removed, '') AS removed, coalesce(m.n_removed, 0) AS n_removed
-FROM documents d LEFT JOIN (
-  SELECT doc_id,
-    string_agg(substr(text, CAST(start + 1 AS BIGINT), CAST(finish - start AS BIGINT)), '' ORDER BY place) FILTER (NOT gone) AS kept,
-    string_agg(CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(finish AS BIGINT) AS VARCHAR), ',' ORDER BY place) FILTER (gone) AS removed,
-    count(*) FILTER (gone) AS n_removed
-  FROM marked GROUP BY doc_id
-) m ON m.doc_id = d.doc_id
+gaps AS (
+  SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM runs
+),
+kept AS (
+  SELECT g.doc_id,
+    string_agg(substr(d.text, CAST(before + 1 AS BIGINT), CAST(start - before AS BIGINT)), '' ORDER BY start) AS head,
+    max(stop) AS last,
+    string_agg(start || ':' || stop, ',' ORDER BY start) AS removed, count(*) AS n_removed
+  FROM gaps g JOIN documents d ON d.doc_id = g.doc_id GROUP BY g.doc_id
+)
+SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE k.head || substr(d.text, CAST(k.last + 1 AS BIGINT)) END AS text,
+       coalesce(k.removed, '') AS removed, coalesce(k.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
-ORACLES = {"op3_warc_archive": WARC_SQL, "op6_line_dedup": LINES_SQL}
+ORACLES = {"op3_warc_archive": WARC_SQL, "op6_line_dedup": SENTENCES_SQL}
