@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -106,3 +107,32 @@ def test_documents(spark, middle):
     for row in middle.where("n_chars < 1500").collect()[:120]:
         expected = {rows[k]["item_id"]: s for k, (_, s) in brute(row["text"].encode().lower().split(), items).items()}
         assert found.get(row["doc_id"], {}) == expected
+
+
+def test_copies_of_an_item_are_one_text_of_one_block(spark, docs):
+    """A text in a third of the benchmark takes the place of one, and every item gets its matches."""
+    from tillroll.session import stored
+
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(i, passage if i % 3 == 0 else " ".join(f"w{i}x{k}" for k in range(12))) for i in range(600)]
+    benchmark = stored(spark.createDataFrame(rows + [(1000, None), (1001, "")], "item_id long, text string"), "items")
+    sizes = [len(index.ids) for index in D._indexes(D._items(benchmark, "item_id", "text"), 4000)]
+    assert len(sizes) > 4 and sum(sizes) == 401 and max(sizes) < 2.5 * 401 / len(sizes)
+    source = docs([(1, f"before {passage} after"), (2, "nothing of it " * 9)])
+    found = D.benchmark_matches(source, benchmark, block_bytes=4000).collect()
+    assert sorted(r["item_id"] for r in found) == list(range(0, 600, 3)) and {r["doc_id"] for r in found} == {1}
+    kept = D.drop_contaminated(source, benchmark, block_bytes=300).collect()
+    assert [r["doc_id"] for r in kept] == [2]
+
+
+def test_candidates_in_small_bitmaps(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [[b"%d" % k for k in rng.integers(0, 50, 9)] for _ in range(40)]
+    size = D._Size(9, list(enumerate(words)))
+    prints = np.r_[size.prints, rng.integers(0, 1 << 63, 500).astype(np.uint64)]
+    pairs = lambda: sorted(zip(*(x.tolist() for x in size.candidates(prints))))
+    whole = pairs()
+    near = np.bitwise_count(prints[:, None] ^ size.prints[None, :])
+    assert {(w, i) for w, i, _ in whole} == set(zip(*(x.tolist() for x in np.nonzero(near <= D.RADIUS))))
+    monkeypatch.setattr(D, "BITMAP_BYTES", 21)
+    assert pairs() == whole

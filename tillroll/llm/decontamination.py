@@ -11,8 +11,8 @@ shingles, of the sizes of the items that own them, are fingerprinted. This leave
 similarity of 0.8 fingerprints differ in 9.7 of 64 bits on average with a deviation of 2.9, and the radius
 of 23 is more than four deviations away.
 
-The benchmark is the small side: it is cut into blocks of a measured number of bytes, each block's index is
-broadcast, and the documents pass by. Nothing is shuffled.
+The benchmark is the small side: its distinct texts are cut into blocks of a measured number of bytes, each block's
+index is broadcast, and the documents pass by. Only matches are shuffled, to the items that have their text.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import itertools
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,15 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tillroll.llm.texts import WORD, WORDS_AT_ONCE, as_text, identified, kind_of, map_batches, raw_texts, slices
+from tillroll.session import stored
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 23
 BLOCKS = 8  # of 8 bits
 BLOCK_BYTES = 4 << 20  # of benchmark text in one index
+BLOCKS_AT_ONCE = 8  # indexes that a task holds
+BITMAP_BYTES = 32 << 20  # of one search for candidates
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIXERS = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _FILTER_BITS = 22
@@ -99,7 +103,15 @@ class _Size:
         self.near = np.packbits(close, axis=2, bitorder="little")
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, item, distance) of all pairs within the radius."""
+        """(window, item, distance) of all pairs within the radius; a bitmap of BITMAP_BYTES at a time."""
+        at_once = max(1, BITMAP_BYTES // self.near.shape[2])
+        parts = []
+        for start in range(0, max(1, len(prints)), at_once):
+            window, *others = self._candidates(prints[start : start + at_once])
+            parts.append((window + start, *others))
+        return tuple(np.concatenate(columns) for columns in zip(*parts))
+
+    def _candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         blocks = prints.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
         found = self.near[0][blocks[:, 0]]
         for i in range(1, BLOCKS):
@@ -185,13 +197,23 @@ class BenchmarkIndex:
                     yield size.numbers[item], first, width, distance, similarity
 
 
-def _indexes(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
-    """An index for each block of the benchmark, a block at a time on the driver."""
+def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """(item_id, text, digest); equal texts are one to the search, however many items have them."""
     items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), as_text(text).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items.withColumn("digest", F.sha2("text", 256))
+
+
+def _indexes(items: DataFrame, block_bytes: int) -> Iterator[BenchmarkIndex]:
+    """An index for each block of the distinct texts of the items, a block at a time on the driver.
+
+    A block has about block_bytes of text, as distinct texts are dealt evenly; a single longer text makes it longer.
+    """
+    texts = items.where(F.length("text") > 0).groupBy("digest").agg(F.first("text").alias("text"))
+    texts = stored(texts, "benchmark-texts")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = math.ceil(total / block_bytes)
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).orderBy("item_id", "text").toArrow()
+        rows = texts.where(F.pmod(F.xxhash64("digest"), F.lit(blocks)) == block).orderBy("digest").toArrow()
         yield BenchmarkIndex(*(column.combine_chunks() for column in rows.columns))
 
 
@@ -218,10 +240,10 @@ def benchmark_matches(
     columns are left out. An empty table gives an empty table.
     """
     source = identified(docs, doc_id, text)
-    schema = f"doc_id {kind_of(source, 'doc_id')}, item_id {kind_of(benchmark, item_id)}, start long, end long, "
-    schema += "distance int, similarity double"
-    parts = []
-    for index in _indexes(benchmark, item_id, item_text, block_bytes):
+    schema = f"doc_id {kind_of(source, 'doc_id')}, digest string, start long, end long, distance int, similarity double"
+    items = _items(benchmark, item_id, item_text)
+    found = source.sparkSession.createDataFrame([], schema)
+    for index in _indexes(items, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def step(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
@@ -231,16 +253,13 @@ def benchmark_matches(
                 for item, first, words, *measured in found:
                     rows.append((row, item, spots[first][0], spots[first + words - 1][1], *measured))
             columns = [pa.array(c, kind) for c, kind in zip(list(zip(*rows)) or [()] * 6, _ARROW)]
-            ids = {"doc_id": batch.column(0).take(columns[0]), "item_id": shared.value.ids.take(columns[1])}
+            ids = {"doc_id": batch.column(0).take(columns[0]), "digest": shared.value.ids.take(columns[1])}
             return pa.RecordBatch.from_pydict({**ids, **dict(zip(("start", "end", "distance", "similarity"), columns[2:]))})
 
-        parts.append(map_batches(source, step, schema))
-    if not parts:
-        return source.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+        found = found.union(map_batches(source, step, schema))
+    # Each match goes to all items with its text.
+    matches = found.join(items.select("item_id", "digest"), "digest")
+    return matches.select("doc_id", "item_id", "start", "end", "distance", "similarity")
 
 
 def drop_contaminated(
@@ -253,11 +272,18 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns; edge cases as in benchmark_matches."""
     at = docs.columns.index(text)
-    for index in _indexes(benchmark, item_id, item_text, block_bytes):
+    shared_indexes = []
+    for index in _indexes(_items(benchmark, item_id, item_text), block_bytes):
+        if len(shared_indexes) == BLOCKS_AT_ONCE:
+            # The rows that are left are written, so that no task ever holds more indexes than these.
+            docs = stored(docs, "uncontaminated")
+            while shared_indexes:
+                shared_indexes.pop().unpersist()
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def step(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             return batch.filter(pa.array([not found for found in _found(shared.value, batch.column(at))]))
 
+        shared_indexes.append(shared)
         docs = map_batches(docs, step, docs.schema)
     return docs
