@@ -75,3 +75,44 @@ def test_score_is_that_of_the_features(small):
         buckets, values = W.features(raw, W.measure(raw), hashed)
         chance = 1 / (1 + np.exp(-(weights[buckets] @ np.array(values) - 0.3)))
         assert scorer.bad(raw, W.measure(raw)) == pytest.approx(chance)
+
+
+def test_sample_is_bounded_under_nulls_and_copies(spark):
+    rows = [(None if i % 3 == 0 else "the same text" if i % 3 == 1 else f"text number {i}",) for i in range(30_000)]
+    texts = spark.createDataFrame(rows, "text string")
+    found = [r["text"] for r in W.distinct_sample(texts, 2000).collect()]
+    assert len(found) == len(set(found)) and None not in found
+    assert 1700 < len(found) < 2300
+    assert len(W.distinct_sample(texts, 20_000).collect()) == 10_001
+
+
+def test_the_whole_against_a_plain_version(spark, small):
+    """Votes, posterior labels, hashed features and descent written out for all texts at once."""
+    rows = [(r["doc_id"], r["text"]) for r in small.collect()] + [(-1, None), (-2, ""), (0, "copy"), (1, "copy")]
+    measured = {text: W.measure((text or "").encode()) for _, text in rows}
+    votes = {text: W.votes(m) for text, m in measured.items()}
+    patterns = Counter(votes[text] for _, text in rows)
+    ordered = sorted(patterns)
+    posterior, _ = W.em(np.array(ordered), np.array([patterns[p] for p in ordered], float))
+    label = dict(zip(ordered, posterior))
+    hashed = W.Hashed()
+    texts = sorted({text for _, text in rows if text})
+    matrix = np.zeros((len(texts), W.BUCKETS))
+    for row, text in zip(matrix, texts):
+        buckets, values = W.features(text.encode(), measured[text], hashed)
+        np.add.at(row, buckets, values)
+    wanted = np.array([label[votes[text]] for text in texts])
+    weights, bias = np.zeros(W.BUCKETS), 0.0
+    squares, square = np.full(W.BUCKETS, 1e-8), 1e-8
+    for _ in range(W.STEPS):
+        miss = 1 / (1 + np.exp(-np.clip(matrix @ weights + bias, -30, 30))) - wanted
+        gradient, rest = matrix.T @ miss / len(texts), miss.mean()
+        squares, square = squares + gradient**2, square + rest**2
+        weights, bias = weights - gradient / np.sqrt(squares), bias - rest / np.sqrt(square)
+    found = {(r["doc_id"], r["votes"]): r for r in W.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc_id, text in rows:
+        row = found[doc_id, "".join(map(str, votes[text]))]
+        assert abs(row["weak_bad"] - label[votes[text]]) < 1e-6
+        if text in texts:
+            score = matrix[texts.index(text)] @ weights + bias
+            assert abs(row["bad"] - 1 / (1 + np.exp(-score))) < 1e-3 and row["kept"] == (row["bad"] < 0.5)

@@ -260,20 +260,28 @@ def _gradient(rows: DataFrame, weights: np.ndarray, bias: float) -> tuple[np.nda
     return out, rest, seen
 
 
+def distinct_sample(texts: DataFrame, sample: int) -> DataFrame:
+    """About sample of the distinct texts, chosen by their hash; all of them if they are fewer.
+
+    Nulls and empty texts are left out, and copies count once, so that neither fills the sample: however many rows
+    hold a text, one row of it is fitted.
+    """
+    texts = texts.where(F.length("text") > 0).withColumn("place", F.xxhash64("text"))
+    distinct = texts.agg(F.approx_count_distinct("place")).first()[0]
+    if distinct > sample:
+        texts = texts.where(F.pmod("place", F.lit(1 << 30)) < int(sample / distinct * (1 << 30)))
+    return texts.groupBy("place").agg(F.first("text").alias("text")).select("text")
+
+
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE, steps: int = STEPS) -> Scorer:
-    """Votes of all texts, then a scorer fitted on about sample texts chosen by a hash, or on all if they are fewer."""
+    """Votes of all texts, then a scorer fitted on about sample distinct texts, or on all if they are fewer."""
     texts = docs.select(as_text(text).alias("text"))
     patterns, counts = vote_patterns(texts)
     if not len(patterns):
         return Scorer(np.zeros(BUCKETS), 0.0)
     posterior, _ = em(patterns, counts)
     known = {tuple(p): float(x) for p, x in zip(patterns.tolist(), posterior)}
-    total = int(counts.sum())
-    if total > sample:
-        # Copies of a text fall out of the sample together; what counts here is what texts look like.
-        share = int(sample / total * (1 << 30))
-        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share)
-    rows = stored(_features(texts, known), "labelled")
+    rows = stored(_features(distinct_sample(texts, sample), known), "labelled")
     weights, bias = np.zeros(BUCKETS), 0.0
     squares, square = np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(steps):  # steps shrink with the gradients seen so far
