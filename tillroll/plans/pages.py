@@ -88,13 +88,16 @@ def page_sections(t: RetailTables, chosen: SalesFilter = EVERYTHING) -> dict[str
     by |= cuboids(stored(per_product, "product-sums"), PRODUCT_GROUPINGS, ["revenue", "units", "profit"])
 
     revenue, profit = _or_zero("revenue"), _or_zero("profit")
-    customers = by["customers"].agg(F.count("customer_id").alias("total_customers"))
+    totals = [
+        by["earned"].select(revenue.alias("total_revenue"), profit.alias("total_profit")),
+        by["sold"].select(F.coalesce("orders", F.lit(0)).alias("total_orders")),
+        by["customers"].agg(F.count("customer_id").alias("total_customers")),
+    ]
+    # One row each, of which every column has one value.
+    kpis = reduce(lambda rows, more: rows.unionByName(more, allowMissingColumns=True), totals)
     margin = percent_or_zero(F.coalesce("profit", F.lit(0)), F.coalesce("revenue", F.lit(0)))
     return {
-        "home_kpis": by["earned"]
-        .select(revenue.alias("total_revenue"), profit.alias("total_profit"))
-        .join(by["sold"].select(F.coalesce("orders", F.lit(0)).alias("total_orders")), F.lit(True))
-        .join(customers, F.lit(True)),
+        "home_kpis": kpis.agg(*[F.max(column).alias(column) for column in kpis.columns]),
         "revenue_by_category": _section(by["categories"], "category", revenue=revenue),
         "order_status_counts": _section(by["statuses"], "order_status", count=F.col("orders")),
         "daily_sales": _section(by["days"], "day", Revenue=revenue).withColumnRenamed("day", "Date"),
