@@ -88,4 +88,4 @@ UNION ALL SELECT 'v_payment_analysis', COUNT(*), CAST(SUM(paid) AS DOUBLE), CAST
   FROM by_payment
 """,
 }
-BODIES["v_sales_summary_bucketed"] = BODIES["v_sales_summary"]
+BODIES["k07_sales_summary_bucketed"] = BODIES["v_sales_summary"]

@@ -608,7 +608,7 @@ MEASURES: dict[str, Query] = {
 
 MARTS: dict[str, Query] = {
     "v_sales_summary": _sales_summary,
-    "v_sales_summary_bucketed": _summary_of_parts,
+    "k07_sales_summary_bucketed": _summary_of_parts,
     "v_monthly_sales": _measure(marts.monthly_sales, PURCHASED),
     "v_category_performance": _part_kpis,
     "v_customer_segments": _measure(marts.customer_segments, "customer_unique_id", PURCHASED),
