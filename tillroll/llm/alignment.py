@@ -4,7 +4,7 @@ Both tokenizers spell the bytes of a space and the text. Where a token of either
 linked, and the byte offsets of all links cut the tokens into groups. A pair's count is its links in the whole corpus.
 
 Counting is external. A task reads its texts once and radix-partitions its (pair, document) records by the second id;
-whenever it holds RECORDS of them, each part is sorted by second id, first id and document (side-major) and leaves as
+whenever it holds RECORDS links, they are counted by document and each part is sorted by second id, first id and document (side-major) and leaves as
 a zstd run, with a much smaller run of the part's pair counts beside it. Both are written as a table in the shared
 folder, so that a lost executor costs no second reading of the texts and document numbers stay what they were.
 
@@ -28,11 +28,12 @@ import json
 import os
 import re
 import struct
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,14 +45,15 @@ from tillroll.session import stored
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 RADIX = 32  # parts of the second ids
-RECORDS = 2_000_000  # (pair, document) records that a task holds before it writes runs
+RECORDS = 4_000_000  # links that a task holds before it writes runs
 FAN = 64  # count runs merged at once
 RUNS_PER_SLOT = 64  # runs of a part that meet one copy of its counts
-REMEMBERED = 100_000  # units, twice
+REMEMBERED = 150_000  # units, twice
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _SPAN = re.compile(r"<0x([0-9A-F]{2})>")
 _LONG = 256  # characters of a unit that is read together with others
 _TOGETHER = 1 << 14  # characters of units read together
+_TEXTS = 1 << 18  # bytes of texts whose units are looked up together
 # Fixed value: how byte-level tokenizers cut a text before they merge.
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -63,13 +65,14 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Unit:
-    """The tokens of one unit: how many of each, the text of its groups, its links as packed pairs, spelled rightly or not."""
+class Unit(NamedTuple):
+    """What both tokenizers make of one unit."""
 
-    __slots__ = ("first", "second", "groups", "pairs", "whole")
-
-    def __init__(self, first: int, second: int, groups: str, pairs: list[int], whole: bool):
-        self.first, self.second, self.groups, self.pairs, self.whole = first, second, groups, pairs, whole
+    first: int  # tokens of the first
+    second: int
+    groups: str
+    pairs: list[int]  # packed links
+    whole: bool  # whether both give its bytes back
 
 
 class Tokenizers:
@@ -101,6 +104,7 @@ class Tokenizers:
         self.a_sizes, self.b_sizes = (
             np.array([len(of.get(i, b"")) for i in range(max(of) + 1)]) for of in (self.a_bytes, self.b_bytes)
         )
+        self.names = list(map(str, range(max(len(self.a_sizes), len(self.b_sizes)))))
         self.known: dict[str, Unit] = {}
         self.older: dict[str, Unit] = {}
 
@@ -146,7 +150,7 @@ class Tokenizers:
         a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         cuts, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
         pairs = (b[at_b] << 32 | a[at_a]).tolist()
-        first_names, second_names = list(map(str, first)), list(map(str, second))
+        first_names, second_names = [self.names[i] for i in first], [self.names[i] for i in second]
         groups, i, j = [], 0, 0
         for to_i, to_j in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
             if to_i - i == 1 and to_j - j == 1:
@@ -169,16 +173,18 @@ def tokenizers(byte_level: str, pieces: str) -> Tokenizers:
     return Tokenizers(byte_level, pieces)
 
 
-def aligned(text: str | None, both: Tokenizers) -> list[Unit]:
-    """The units of a text; none if it is null or empty, or if either tokenizer does not give its bytes back."""
-    if not text:
-        return []
-    units: list[Unit] = []
-    parts = _CUT.split(text)
-    for some in slices([len(part) for part in parts], BYTES_AT_ONCE):
-        units += both.units(parts[some])
-    # A unit that is not whole cannot be made up for by another one: both only ever change characters in their place.
-    return units if all(unit.whole for unit in units) else []
+def aligned(texts: list[str | None], both: Tokenizers) -> Iterator[list[Unit]]:
+    """The units of each text; none if it is null or empty, or if either tokenizer does not give its bytes back."""
+    parts = [_CUT.split(text) if text else [] for text in texts]
+    flat, units = list(itertools.chain.from_iterable(parts)), []
+    for some in slices([len(part) for part in flat], BYTES_AT_ONCE):
+        units += both.units(flat[some])
+    at = 0
+    for own in parts:
+        found = units[at : at + len(own)]
+        at += len(own)
+        # A unit that is not whole cannot be made up for by another one: both only ever change characters in their place.
+        yield found if all(unit[-1] for unit in found) else []
 
 
 _PACKED = struct.Struct("<q")
@@ -215,48 +221,56 @@ def _read_pairs(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Spill:
-    """The (pair, document) records that a task holds, as runs once there are many."""
+    """The links of the documents that a task holds, as runs of (pair, document) records once there are many."""
 
     def __init__(self, radix: int):
         self.radix, self.run = radix, 0
-        self.documents, self.pairs, self.held = 0, [], 0
+        self.links, self.ends = [], []
+
+    @property
+    def held(self) -> int:
+        return len(self.links)
 
-    def add(self, units: list[Unit]) -> int:
-        """Take the links of a document; returns its number in the run."""
-        links = Counter(itertools.chain.from_iterable(unit.pairs for unit in units))
-        self.pairs.append((np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links))))
-        self.held += len(links)
-        self.documents += 1
-        return self.documents - 1
+    def add(self, pairs: Iterable[list[int]]) -> int:
+        """Take the links of a document, unit by unit; returns its number in the run."""
+        self.links.extend(itertools.chain.from_iterable(pairs))
+        self.ends.append(len(self.links))
+        return len(self.ends) - 1
 
     def runs(self) -> Iterator[tuple[int, bytes, bytes]]:
         """(part, run of records, run of pair counts) of what is held, which is then let go."""
-        sizes = [len(keys) for keys, _ in self.pairs]
-        keys = np.concatenate([keys for keys, _ in self.pairs]) if sizes else np.zeros(0, np.int64)
-        counts = np.concatenate([counts for _, counts in self.pairs]) if sizes else np.zeros(0, np.int64)
-        documents = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        parts = (keys >> 32) % self.radix
-        order = np.lexsort((documents, keys, parts))
-        keys, counts, documents, parts = keys[order], counts[order], documents[order], parts[order]
+        links, ends = np.fromiter(self.links, np.int64, len(self.links)), self.ends
+        self.run += 1
+        self.links, self.ends = [], []
+        second, first = links >> 32, links & 0xFFFFFFFF
+        documents = np.repeat(np.arange(len(ends)), np.diff([0, *ends]))
+        # One number that sorts by part, second id, first id and document; a part has every radix-th second id.
+        seconds, firsts = int(second.max(initial=0)) // self.radix + 1, int(first.max(initial=0)) + 1
+        order = ((second % self.radix * seconds + second // self.radix) * firsts + first) * len(ends) + documents
+        order.sort()
+        starts = np.flatnonzero(np.r_[True, order[1:] != order[:-1]]) if len(order) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[starts, len(order)])
+        pairs, documents = np.divmod(order[starts], len(ends))
+        second, first = np.divmod(pairs, firsts)
+        parts, second = np.divmod(second, seconds)
+        keys = (second * self.radix + parts) << 32 | first
         edges = np.searchsorted(parts, np.arange(self.radix + 1))
         for part, (start, stop) in enumerate(zip(edges[:-1], edges[1:])):
             if start == stop:
                 continue
-            some, times = keys[start:stop], counts[start:stop]
-            firsts = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
-            lengths = np.diff(np.r_[firsts, len(some)])
+            some, counts = keys[start:stop], times[start:stop]
+            heads = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
+            lengths = np.diff(np.r_[heads, len(some)])
             # The pairs are stored once each, with the number of records that follow for them.
-            records = zstandard.ZstdCompressor(level=3).compress(
-                _PACKED.pack(len(firsts))
-                + _steps(some[firsts]).tobytes()
+            records = zstandard.ZstdCompressor(level=1).compress(
+                _PACKED.pack(len(heads))
+                + _steps(some[heads]).tobytes()
                 + lengths.astype(np.int32).tobytes()
-                + documents[start:stop].tobytes()
-                + np.minimum(times, 255).astype(np.uint8).tobytes()
-                + times[times >= 255].tobytes()
+                + documents[start:stop].astype(np.int32).tobytes()
+                + np.minimum(counts, 255).astype(np.uint8).tobytes()
+                + counts[counts >= 255].tobytes()
             )
-            yield part, records, _pair_run(some[firsts], np.add.reduceat(times, firsts))
-        self.run += 1
-        self.documents, self.pairs, self.held = 0, [], 0
+            yield part, records, _pair_run(some[heads], np.add.reduceat(counts, heads))
 
 
 def read_records(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -324,13 +338,14 @@ def _encoded(source: DataFrame, radix: int, records: int, byte_level: str, piece
                 columns = dict(zip(names, map(list, zip(*found))))
                 return rows(batch.column(0).slice(start, stop - start), run=[base + spill.run] * len(found), **columns)
 
-            # One text at a time becomes a Python string.
-            for i, text in enumerate(batch.column(1)):
-                units = aligned(text.as_py(), both)
-                groups = hashlib.sha256(";".join(u.groups for u in units).encode()).hexdigest() if units else ""
-                a, b = sum(u.first for u in units), sum(u.second for u in units)
-                links = sum(len(u.pairs) for u in units)
-                found.append((spill.add(units), a, b, links, links, groups))
+            # Some texts at a time become Python strings, or a single long one.
+            sizes = [size or 0 for size in pc.binary_length(batch.column(1)).to_pylist()]
+            texts = (batch.column(1)[some].to_pylist() for some in slices(sizes, _TEXTS))
+            for i, units in enumerate(itertools.chain.from_iterable(aligned(some, both) for some in texts)):
+                first, second, groups, pairs, _ = zip(*units) if units else ((),) * 5
+                before, number, digest = spill.held, spill.add(pairs), hashlib.sha256(";".join(groups).encode()).hexdigest()
+                links = spill.held - before
+                found.append((number, sum(first), sum(second), links, links, digest if units else ""))
                 if spill.held >= records:
                     yield documents(i + 1)
                     start, found = i + 1, []
