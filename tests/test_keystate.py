@@ -6,7 +6,7 @@ import glob
 
 from tables import row_set
 
-from tillroll.operators import integrity
+from tillroll.operators import integrity, keystate
 from tillroll.operators.keystate import BUCKET, KeyState
 
 KEYS = {"customers": "customer_id string", "products": "product_id string", "orders": "order_id string, customer_id string"}
@@ -60,3 +60,21 @@ def test_a_batch_opens_its_own_buckets_only(spark, tmp_path):
             file.write(b"not a table")
     state.append(made(spark, **second))
     assert_as_checked(spark, state, [first, second])
+
+
+def test_a_batch_is_counted_in_one_shuffle(spark, tmp_path):
+    rows = made(spark, orders=[("o1", "c1")], order_items=[("i1", "o1", "p1")])
+    plan = KeyState(spark, str(tmp_path))._counts_of_batch("orders", rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_large_buckets_are_added_up_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keystate, "ROWS_AT_ONCE", 40)
+    state = KeyState(spark, str(tmp_path), buckets=3)
+    batches = [{"customers": [(f"c{i % 400}",) for i in range(500)] + [(None,)]} for _ in range(3)]
+    for batch in batches:
+        state.append(made(spark, **batch))
+    assert_as_checked(spark, state, batches)
+    assert not glob.glob(f"{tmp_path}/*/*-staged-*")
+    files = glob.glob(f"{tmp_path}/customers/values/{BUCKET}=*/*.parquet")
+    assert len(files) > 6 and max(spark.read.parquet(f).count() for f in files) < 134

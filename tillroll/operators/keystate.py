@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.schemas import FOREIGN_KEYS, PRIMARY_KEYS
-from tillroll.session import stored
-from tillroll.sources.partitions import read_partitions, replace_partitions
+from tillroll.session import remove_folder, run_folder
+from tillroll.sources.partitions import partition_values, read_partitions, replace_partitions, write_partitions
 
 BUCKET = "bucket"
 BUCKETS = 1024
+ROWS_AT_ONCE = 250_000
 
 
 def references_to(table: str) -> list[tuple[str, str]]:
@@ -39,15 +40,31 @@ class KeyState:
             counts = self._counts_of_batch(table, batch)
             if counts is None:
                 continue
-            counts = stored(counts, f"{table}-counts")
-            touched = [row[BUCKET] for row in counts.select(BUCKET).distinct().collect()]
-            before = self._read(f"{table}/values", counts.schema, touched)
-            sums = [F.sum(c).alias(c) for c in counts.columns if c not in ("value", BUCKET)]
-            after = counts.unionByName(before).groupBy("value", BUCKET).agg(*sums)
-            after = replace_partitions(after.select(counts.columns), self._path(f"{table}/values"), BUCKET, touched)
+            touched, after = self._counted_in(self._path(f"{table}/values"), counts)
             violations = after.groupBy(BUCKET).agg(*_violations(table))
             replace_partitions(violations, self._path(f"{table}/violations"), BUCKET, touched)
 
+    def _counted_in(self, path: str, counts: DataFrame) -> tuple[set[int], DataFrame]:
+        """The buckets that a batch touches, and their rows with it. The first batch is the state; later ones are added up with it."""
+        held = partition_values(self.spark, path, BUCKET)
+        if not held:
+            first = write_partitions(counts, path, BUCKET)
+            return partition_values(self.spark, path, BUCKET), first
+        batch = run_folder(self.spark, "key-counts")
+        added = write_partitions(counts, batch, BUCKET)
+        touched = partition_values(self.spark, batch, BUCKET)
+        before = read_partitions(self.spark, path, counts.schema, BUCKET, touched)
+        both = added.unionByName(before)
+        # A value has one row on each side, so whole buckets, or parts of large ones, can meet in a task and stay there.
+        tasks = -(-max(both.count(), 1) // ROWS_AT_ONCE)
+        part = F.pmod(F.xxhash64("value", F.lit(0)), F.lit(-(-tasks // max(len(touched), 1)))).cast("int")
+        met = both.withColumn("part", part).repartition(tasks, BUCKET, "part")
+        sums = [F.sum(c).alias(c) for c in counts.columns if c not in ("value", BUCKET)]
+        after = met.groupBy(BUCKET, "part", "value").agg(*sums).select(counts.columns)
+        after = replace_partitions(after, path, BUCKET, touched, arranged=True)
+        remove_folder(self.spark, batch)
+        return touched, after
+
     def primary_keys(self) -> DataFrame:
         """The rows of :func:`integrity.check_primary_keys` for all rows counted so far."""
         columns = ["duplicate_keys", "surplus_rows", "null_keys"]
@@ -76,13 +93,14 @@ class KeyState:
         for name, (source, column) in uses.items():
             if source in batch:
                 value = F.col(column).cast("string").alias("value")
-                counts = batch[source].groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-                parts.append(counts.select("value", *[(F.col("n") if u == name else F.lit(0).cast("long")).alias(u) for u in uses]))
+                parts.append(batch[source].select(value, *[F.lit(int(u == name)).cast("long").alias(u) for u in uses]))
         if not parts:
             return None
-        bucket = F.pmod(F.xxhash64("value"), F.lit(self.buckets)).cast("int")
         rows = reduce(DataFrame.unionByName, parts).groupBy("value").agg(*[F.sum(u).alias(u) for u in uses])
-        return rows.withColumn(BUCKET, bucket)
+        return rows.withColumn(BUCKET, self._bucket())
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("value"), F.lit(self.buckets)).cast("int")
 
     def _totals(self, table: str, columns: list[str]) -> DataFrame:
         schema = T.StructType([T.StructField(c, T.LongType()) for c in columns])
