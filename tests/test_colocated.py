@@ -8,6 +8,7 @@ from functools import reduce
 
 import pytest
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tables import retail, row_set
 
 from tillroll.plans import dashboard, marts, preparation
@@ -83,3 +84,15 @@ def test_a_hot_order_lies_apart(spark, hot):
     whole = preparation.sales_master(hot).groupBy("order_id", "customer_name", "profit").count()
     assert row_set(together) == row_set(whole)
     assert row_set(dashboard.home_kpis_of_parts([regular, apart])) == row_set(dashboard.home_kpis(hot))
+
+
+def test_more_lines_have_more_buckets(spark, hot, monkeypatch):
+    monkeypatch.setattr(colocated, "LINES_PER_BUCKET", 100)
+    database = f"large_{uuid.uuid4().hex[:12]}"
+    colocated.write_facts({"orders": hot.orders, "order_items": hot.order_items}, database, 2, 500)
+    regular, apart = colocated.retail_parts(hot, database)
+    buckets = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE FORMATTED {database}.order_items").collect()}
+    assert buckets["Num Buckets"] == "31"
+    sizes = regular.order_items.groupBy(F.input_file_name()).count()
+    assert max(r["count"] for r in sizes.collect()) < 400
+    assert sum(part.order_items.count() for part in (regular, apart)) == 3002

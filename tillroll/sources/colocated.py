@@ -4,7 +4,7 @@ Rows of one order lie in buckets of the same number, so that joins and sums by o
 by one task, and nothing splits it at run time. Orders with more than ``hot_lines`` lines therefore go to tables of
 their own, which are not bucketed: joins over them shuffle, and adaptive execution splits them. There are at most as
 many such orders as lines / hot_lines. Every order lies in one of the two parts, so results by order are those of the
-parts put together.
+parts put together. A larger table gets more buckets, so that one fits a task at any size.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from tillroll.session import run_folder, stored
 
 HOT_LINES = 1_000_000
 BUCKETS = 64
+LINES_PER_BUCKET = 1_000_000
 KEY = "order_id"
 REGULAR, HOT = "", "_hot"
 
@@ -28,12 +29,13 @@ def write_facts(
 ) -> None:
     """Store tables that have an order_id, one of them ``order_items``, in a new database.
 
-    Facts without an order go with the hot ones, as nothing is known of their number.
+    There are ``buckets`` of them, or more where a bucket would hold over LINES_PER_BUCKET lines on average. Facts without an order go with the hot ones, as nothing is known of their number.
     """
     spark = facts["order_items"].sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{run_folder(spark, database)}'")
     counts = facts["order_items"].where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count(F.lit(1)).alias("lines"))
     hot = stored(counts.where(F.col("lines") > hot_lines).select(KEY), "hot-orders")
+    buckets = max(buckets, -(-facts["order_items"].count() // LINES_PER_BUCKET))
     for name, rows in facts.items():
         regular = rows.where(F.col(KEY).isNotNull()).join(hot, KEY, "left_anti").select(*rows.columns)
         bucketed = regular.repartition(buckets, KEY).write.bucketBy(buckets, KEY).sortBy(KEY)
