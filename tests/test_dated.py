@@ -90,3 +90,17 @@ def test_an_append_and_a_removal(spark, tmp_path):
     dated.update_calendar()
     days = {d for d, _ in row_set(dashboard.daily_sales(dated.within(SPRING), SPRING))}
     assert days == {d for d, _ in expected if d.month != 4}
+
+
+def test_lines_are_not_sorted_to_find_their_month(spark, tmp_path):
+    tables = PreparedTables(spark, FOLDER)
+    dated = DatedTables(tables, str(tmp_path))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        orders = dated.dated_orders({"orders": tables.orders})
+        lines = dated.dated_others({"order_items": tables.order_items}, orders)["order_items"]
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tillroll.model import RetailTables, StoreModel
 from tillroll.operators.filters import SalesFilter
+from tillroll.session import stored
 from tillroll.sources.partitions import (
     Values,
     among,
@@ -64,21 +65,33 @@ class DatedFacts:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def dated(self, facts: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """The tables with the month of each row's order; order_id is unique in orders."""
+    def dated_orders(self, facts: dict[str, DataFrame]) -> DataFrame:
         orders = facts["orders"].withColumn(MONTH, month_of(F.col(self.ordered_at)))
-        months = orders.select("order_id", MONTH)
-        others = {name: rows.join(months, "order_id", "left") for name, rows in facts.items() if name != "orders"}
-        columns = {"orders": orders, **others}
-        return {name: columns[name].select(*schema.names, MONTH) for name, schema in self.schemas.items()}
+        return orders.select(*self.schemas["orders"].names, MONTH)
+
+    def dated_others(self, facts: dict[str, DataFrame], orders: DataFrame) -> dict[str, DataFrame]:
+        """The other tables with the month of each row's order; order_id is unique in orders.
+
+        The months, two narrow columns, are the side that is hashed, so that the wide rows need no sort.
+        """
+        months = orders.select("order_id", MONTH).hint("shuffle_hash")
+        return {
+            name: facts[name].join(months, "order_id", "left").select(*schema.names, MONTH)
+            for name, schema in self.schemas.items()
+            if name != "orders"
+        }
 
     def write(self, facts: dict[str, DataFrame]) -> None:
-        for name, rows in self.dated(facts).items():
+        """Orders first: the others take their months from the written ones."""
+        orders = write_months(self.dated_orders(facts), self.path("orders"))
+        for name, rows in self.dated_others(facts, orders).items():
             write_months(rows, self.path(name))
 
     def append(self, facts: dict[str, DataFrame]) -> None:
         """Add orders with all that hangs on them."""
-        for name, rows in self.dated(facts).items():
+        orders = stored(self.dated_orders(facts), "added-orders")
+        append_partitions(orders, self.path("orders"), MONTH)
+        for name, rows in self.dated_others(facts, orders).items():
             append_partitions(rows, self.path(name), MONTH)
 
     def remove(self, orders: DataFrame, months: Iterable[int | None]) -> None:
