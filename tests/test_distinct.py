@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 from tables import retail, row_set
 
+from tillroll.operators import numbering
 from tillroll.operators.numbering import dense_numbers
 from tillroll.plans import distinct
 from tillroll.plans.preparation import sales_master
@@ -94,3 +96,22 @@ def test_no_task_numbers_all(spark):
     # The only single partition orders one count for each cluster.
     single = plan.split("Exchange SinglePartition")
     assert len(single) == 2 and "HashAggregate" in single[1]
+
+
+def test_rows_of_a_task_do_not_grow(spark, tables, bitmaps, monkeypatch):
+    monkeypatch.setattr(distinct, "ROWS_AT_ONCE", 5000)
+    rows = distinct.bitmap_rows(tables)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    # Bitmaps are made where the rows of a stretch meet, in as many tasks as the number of rows asks for.
+    assert len(re.findall(r"Exchange hashpartitioning\(stretch[^)]*\), REPARTITION_BY_NUM", plan)) == 2
+    found = stored(rows, "bitmaps")
+    for by in ("category", "state", "month"):
+        assert row_set(distinct.distinct_counts(found, by)) == row_set(distinct.distinct_counts(bitmaps, by))
+
+
+def test_a_large_cluster_is_numbered_in_more_pieces(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "KEYS_PER_PIECE", 100)
+    keys = spark.range(3000).selectExpr("id", "0 AS c")
+    numbered = dense_numbers(keys, "id", "c", 2)
+    assert sorted(r["number"] for r in numbered.collect()) == list(range(1, 3001))
+    assert "REPARTITION_BY_NUM" in numbered._jdf.queryExecution().executedPlan().toString()

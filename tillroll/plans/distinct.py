@@ -6,7 +6,8 @@ kept here holds, for each (category, state, month), the numbers of its orders an
 their sizes: exact, and without a shuffle of the lines.
 
 Orders are numbered month by month and customers state by state, so that a group has bitmaps for few stretches, and a
-stretch is well filled. A bitmap takes 4,096 bytes in memory; Parquet squeezes the empty ones.
+stretch is well filled. The rows of a stretch meet in one task, whose number of rows does not grow with the table, and
+are put into bitmaps there. A bitmap takes 4,096 bytes in memory; Parquet squeezes the empty ones.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from tillroll.session import stored
 
 GROUPS = ("category", "state", "month")
 ORDERS, CUSTOMERS = "orders", "customers"
+ROWS_AT_ONCE = 500_000
 
 
 def sold_groups(t: RetailTables) -> DataFrame:
@@ -40,12 +42,18 @@ def bitmap_rows(t: RetailTables) -> DataFrame:
     sold = stored(sold_groups(t), "sold-groups")
     kinds = []
     for kind, key, cluster in ((ORDERS, "order_id", "month"), (CUSTOMERS, "customer_id", "state")):
-        known = sold.where(F.col(key).isNotNull())
+        known = sold.where(F.col(key).isNotNull()).select(key, *GROUPS)
+        if kind == CUSTOMERS:
+            # One row of a customer in a group is enough; so has a hot one no more rows than there are groups.
+            known = stored(known.distinct(), "customer-groups")
         # An order has one month and a customer one state; should a source disagree, the first counts for the number.
         keys = stored(known.groupBy(key).agg(F.min(cluster).alias(cluster)), f"{kind}-keys")
-        numbered = known.join(dense_numbers(keys, key, cluster), key)
+        tasks = -(-max(known.count(), 1) // ROWS_AT_ONCE)
+        numbered = known.repartition(tasks, key).join(dense_numbers(keys, key, cluster), key)
+        numbered = numbered.select(*GROUPS, "number", F.bitmap_bucket_number("number").alias("stretch"))
         kinds.append(
-            numbered.groupBy(*GROUPS, F.bitmap_bucket_number("number").alias("stretch"))
+            numbered.repartition(tasks, "stretch")
+            .groupBy(*GROUPS, "stretch")
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("numbers"))
             .select(F.lit(kind).alias("kind"), "*")
         )
