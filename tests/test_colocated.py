@@ -96,3 +96,18 @@ def test_more_lines_have_more_buckets(spark, hot, monkeypatch):
     sizes = regular.order_items.groupBy(F.input_file_name()).count()
     assert max(r["count"] for r in sizes.collect()) < 400
     assert sum(part.order_items.count() for part in (regular, apart)) == 3002
+
+def test_buckets_hold_few_lines_and_are_no_more_than_spark_allows(spark, hot, monkeypatch):
+    assert colocated.LINES_PER_BUCKET <= 200_000
+    monkeypatch.setattr(colocated, "LINES_PER_BUCKET", 1)
+    before = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "40")
+    try:
+        database = f"few_{uuid.uuid4().hex}"
+        facts = {"orders": hot.orders, "order_items": hot.order_items}
+        colocated.write_facts(facts, database, buckets=4, hot_lines=500)
+        buckets = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE FORMATTED {database}.order_items").collect()}
+        assert buckets["Num Buckets"] == "40"
+    finally:
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", before)
+

@@ -19,7 +19,7 @@ from tillroll.session import run_folder, stored
 
 HOT_LINES = 1_000_000
 BUCKETS = 64
-LINES_PER_BUCKET = 1_000_000
+LINES_PER_BUCKET = 200_000
 KEY = "order_id"
 REGULAR, HOT = "", "_hot"
 
@@ -29,13 +29,15 @@ def write_facts(
 ) -> None:
     """Store tables that have an order_id, one of them ``order_items``, in a new database.
 
-    There are ``buckets`` of them, or more where a bucket would hold over LINES_PER_BUCKET lines on average. Facts without an order go with the hot ones, as nothing is known of their number.
+    There are ``buckets`` of them, or more where a bucket would hold over LINES_PER_BUCKET lines on average, up to the
+    number that Spark allows. Facts without an order go with the hot ones, as nothing is known of their number.
     """
     spark = facts["order_items"].sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{run_folder(spark, database)}'")
     counts = facts["order_items"].where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count(F.lit(1)).alias("lines"))
     hot = stored(counts.where(F.col("lines") > hot_lines).select(KEY), "hot-orders")
-    buckets = max(buckets, -(-facts["order_items"].count() // LINES_PER_BUCKET))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    buckets = max(buckets, min(most, -(-facts["order_items"].count() // LINES_PER_BUCKET)))
     for name, rows in facts.items():
         regular = rows.where(F.col(KEY).isNotNull()).join(hot, KEY, "left_anti").select(*rows.columns)
         bucketed = regular.repartition(buckets, KEY).write.bucketBy(buckets, KEY).sortBy(KEY)
